@@ -58,20 +58,21 @@ def train_test_split(df: DataFrame, keys: Sequence[str], test_size: float = 0.2,
     return out.withColumn("is_test", is_test).drop("_hash", "_cuts")
 
 
-def ordered_folds(df: DataFrame, order: str, k: int = 5, label: str | None = None,
-                  small_cells: int = SMALL_CELLS) -> DataFrame:
-    """Add ``fold`` 0..k-1: equal contiguous blocks along a unique number key, per class if
-    ``label`` is given; the first blocks take the remainder."""
+def ordered_folds(df: DataFrame, order: str, k: int = 5, label: str | None = None, name: str = "fold",
+                  fit_on: DataFrame | None = None, small_cells: int = SMALL_CELLS) -> DataFrame:
+    """Add ``name`` 0..k-1: equal contiguous blocks along a unique number key, per class if
+    ``label`` is given; the first blocks take the remainder. ``fit_on`` sets other rows to
+    take the block borders from."""
     def ranks(n: int) -> list[int]:
         size, extra = divmod(n, k)
         starts = [i * size + min(i, extra) for i in range(1, k)]
         return [s for s in starts if s < n]
 
-    found = order_statistics(df, [order], ranks, label, small_cells)
+    found = order_statistics(df if fit_on is None else fit_on, [order], ranks, label, small_cells)
     cuts = {g: vals for (g, _), (_, vals) in found.items()}
     out = _with_thresholds(df, order, cuts, label)
     passed = F.size(F.filter(F.col("_cuts"), lambda c: c <= col(order)))
-    return out.withColumn("fold", F.coalesce(passed, F.lit(0)).cast("int")).drop("_cuts")
+    return out.withColumn(name, F.coalesce(passed, F.lit(0)).cast("int")).drop("_cuts")
 
 
 def hash_fold(keys: Sequence[str], k: int = 5, seed: int | None = None) -> Column:

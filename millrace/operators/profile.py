@@ -155,10 +155,10 @@ def target_summary(df: DataFrame, target: str, k: int = 10) -> DataFrame:
     """Mean, std, min, max, n_unique of a number target; the k top values of any other."""
     t = col(target)
     if is_number(df.schema[target].dataType):
-        values = df.where(t.isNotNull()).groupBy(t.cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        stats = df.agg(F.avg(t.cast("double")).alias("mean"), F.stddev_samp(t.cast("double")).alias("std"),
-                       F.min(t).cast("double").alias("min"), F.max(t).cast("double").alias("max"))
-        return stats.crossJoin(F.broadcast(values.agg(F.count(F.lit(1)).alias("n_unique"))))
+        return df.agg(
+            F.avg(t.cast("double")).alias("mean"), F.stddev_samp(t.cast("double")).alias("std"),
+            F.min(t).cast("double").alias("min"), F.max(t).cast("double").alias("max"),
+            F.count_distinct(t).alias("n_unique"))
     counts = df.where(t.isNotNull()).groupBy(t.cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.desc("n"), "value").limit(k)
 
