@@ -176,3 +176,9 @@ def cleaning_plan(spark, sf_dir):
         {"step": "drop_constants", "columns": ["l_tax", "l_linestatus"]},
     ]
     return prepare.run_cleaning(derived(spark, sf_dir, DIRTY), steps, "l_quantity").df
+
+
+@query("drop_few_duplicate_rows", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def drop_few_duplicate_rows(spark, sf_dir):
+    """Only rows whose hash repeats are shuffled whole."""
+    return clean.drop_duplicates(derived(spark, sf_dir, "dup_orders"), few=True)

@@ -135,9 +135,11 @@ def order_statistics(
     move. Without ``by`` the group is 0.
     """
     columns = list(columns)
-    group = (col(by) if by else F.lit(0)).alias("g")
-    base = df.where(col(by).isNotNull()) if by else df
-    counted = base.groupBy(group).agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)])
+    counts = [F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)]
+    if by:
+        counted = df.where(col(by).isNotNull()).groupBy(col(by).alias("g")).agg(*counts)
+    else:
+        counted = df.agg(F.lit(0).alias("g"), *counts)
     sizes = {r["g"]: [r[f"n{i}"] for i in range(len(columns))] for r in counted.collect()}
     group_type = df.schema[by].dataType if by else T.IntegerType()
 

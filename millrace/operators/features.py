@@ -16,6 +16,7 @@ from ..functions.columns import col, is_feature, is_number, is_text, present, te
 from ..functions.parsing import time_parse
 from ..functions.running import running_sum
 from ..functions.storage import stored
+from ..functions.value_counts import value_counts
 
 # A code table up to this many levels is sorted once and broadcast; a longer one
 # is numbered range by range and joined by shuffle.
@@ -57,22 +58,53 @@ class Codes:
 def _level_table(df: DataFrame, column: str, levels: list) -> DataFrame:
     schema = T.StructType([T.StructField("level", df.schema[column].dataType),
                            T.StructField("code", T.IntegerType())])
-    return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(levels)], schema)
+    return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(sorted(levels))], schema)
 
 
-def fit_codes(df: DataFrame, columns: Sequence[str], broadcast_levels: int = BROADCAST_LEVELS) -> list[Codes]:
-    """Number the sorted distinct values of each column from 0."""
-    fitted = []
+def _short_levels(df: DataFrame, columns: list[str]) -> dict[str, list]:
+    """Distinct values of columns known to have few; numbers and text share one shuffle."""
+    shared = [c for c in columns if _plain(df.schema[c].dataType)]
+    found: dict[str, list] = {c: [] for c in columns}
+    for r in value_counts(df, shared).collect() if shared else []:
+        found[shared[r["cid"]]].append(next(r[k] for k in ("l", "d", "s") if r[k] is not None))
     for c in columns:
-        levels = df.where(col(c).isNotNull()).groupBy(col(c).alias("level")).agg(F.lit(1).alias("one"))
-        head = levels.select("level").limit(broadcast_levels + 1).collect()
-        if len(head) <= broadcast_levels:
-            fitted.append(Codes(c, _level_table(df, c, sorted(r["level"] for r in head)), True))
-            continue
-        numbered = running_sum(levels, ["level"], ["one"])
-        table = numbered.select("level", F.col("before_one").cast("int").alias("code"))
-        fitted.append(Codes(c, stored(table, "codes"), False))
-    return fitted
+        if c not in shared:
+            found[c] = [r[0] for r in df.select(col(c)).where(col(c).isNotNull()).distinct().collect()]
+    return found
+
+
+def _long_codes(df: DataFrame, column: str) -> Codes:
+    """Number the levels range by range; no task and not the driver holds them all."""
+    levels = df.where(col(column).isNotNull()).groupBy(col(column).alias("level")).agg(F.lit(1).alias("one"))
+    table = running_sum(levels, ["level"], ["one"]).select("level", F.col("before_one").cast("int").alias("code"))
+    return Codes(column, stored(table, "codes"), False)
+
+
+def fit_codes(df: DataFrame, columns: Sequence[str], broadcast_levels: int = BROADCAST_LEVELS) -> list[Codes]:
+    """Number the sorted distinct values of each column from 0.
+
+    One sketch pass tells short columns from long ones. Short ones are read
+    together, a bounded number of levels at a time; the rest are numbered by Spark.
+    """
+    cols = list(columns)
+    if not cols:
+        return []
+    row = df.agg(*[F.approx_count_distinct(col(c), 0.02).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    sizes = {c: row[f"n{i}"] for i, c in enumerate(cols)}
+    short = [c for c in cols if sizes[c] <= broadcast_levels]
+    fitted: dict[str, Codes] = {}
+    batch: list[str] = []
+    for i, c in enumerate(short):
+        batch.append(c)
+        if i + 1 == len(short) or sum(sizes[b] for b in batch) + sizes[short[i + 1]] > broadcast_levels:
+            for name, levels in _short_levels(df, batch).items():
+                fitted[name] = Codes(name, _level_table(df, name, levels), True)
+            batch = []
+    return [fitted.get(c) or _long_codes(df, c) for c in cols]
+
+
+def _plain(dtype: T.DataType) -> bool:
+    return is_text(dtype) or isinstance(dtype, (T.IntegralType, T.FloatType, T.DoubleType))
 
 
 def apply_codes(df: DataFrame, codes: Sequence[Codes], output: dict[str, str] | None = None) -> DataFrame:
@@ -83,10 +115,9 @@ def apply_codes(df: DataFrame, codes: Sequence[Codes], output: dict[str, str] |
     """
     for item in codes:
         name = (output or {}).get(item.column, item.column)
-        table = F.broadcast(item.table) if item.small else item.table
-        joined = df.join(table, col(item.column).eqNullSafe(F.col("level")) if item.small
-                         else col(item.column) == F.col("level"), "left")
-        code = F.coalesce(F.col("code"), F.lit(MISSING_CODE)).cast("int")
+        table = item.table.select(F.col("level").alias("_level_"), F.col("code").alias("_code_"))
+        joined = df.join(F.broadcast(table) if item.small else table, col(item.column) == F.col("_level_"), "left")
+        code = F.coalesce(F.col("_code_"), F.lit(MISSING_CODE)).cast("int")
         kept = [code.alias(name) if c == name else col(c) for c in df.columns]
         if name not in df.columns:
             kept.append(code.alias(name))

@@ -192,19 +192,32 @@ class Profile:
         return [c for c in self.dtypes if self.n_unique.get(c, 2) <= 1]
 
 
-def profile(df: DataFrame, exact: bool = True) -> Profile:
-    """Row count, nulls, cardinality, skew and copies of a table, in three jobs."""
+def profile(df: DataFrame, exact: bool = True, known_unique: dict[str, int] | None = None) -> Profile:
+    """Row count, nulls, skew, cardinality and copies of a table.
+
+    Counts and skew share one scan. ``known_unique`` gives cardinalities found
+    before, so that only the other columns are counted.
+    """
     numeric, text = number_names(df), text_names(df)
-    nulls = {r["column"]: r["missing"] for r in missing(df).collect()}
-    n_rows = shape(df).first()["n_rows"]
-    skews = {r["column"]: r["skew"] for r in skew(df).collect()} if numeric else {}
+    n_rows, nulls, skews = 0, {}, {}
+    for part in chunks(df.columns, WIDE):
+        measures = [F.count_if(col(c).isNull()).alias(f"n{i}") for i, c in enumerate(part)]
+        measures += [corrected_skew(col(c)).alias(f"s{i}") for i, c in enumerate(part) if c in numeric]
+        row = df.agg(F.count(F.lit(1)).alias("rows"), *measures).first()
+        n_rows = row["rows"]
+        nulls.update({c: row[f"n{i}"] for i, c in enumerate(part)})
+        skews.update({c: row[f"s{i}"] for i, c in enumerate(part) if c in numeric})
+    unique = {c: n for c, n in (known_unique or {}).items() if c in nulls}
+    rest = [c for c in countable(df) if c not in unique]
+    if rest:
+        unique |= {r["column"]: r["n_unique"] for r in cardinality(df, rest, exact).collect()}
     return Profile(
         n_rows=n_rows,
         dtypes=dict(df.dtypes),
         numeric=numeric,
         text=text,
         missing=nulls,
-        n_unique={r["column"]: r["n_unique"] for r in cardinality(df, exact=exact).collect()},
+        n_unique=unique,
         skewed=[c for c in numeric if skews[c] is not None and abs(skews[c]) > SKEW_LIMIT],
         duplicates=duplicate_rows(df).first()["duplicate_rows"],
         skew=skews,

@@ -146,32 +146,43 @@ def order_falls(df: DataFrame, columns: Sequence[str], order_by: Sequence[str])
     return falls
 
 
-def id_columns(df: DataFrame, target: str | None = None, order_by: Sequence[str] = (), skip: Sequence[str] = (),
-               text_ids: bool = True, n_rows: int | None = None, n_unique: dict[str, int] | None = None) -> list[str]:
+def column_counts(df: DataFrame) -> tuple[int, dict[str, int], dict[str, int]]:
+    """Rows, non-null values per column, and per column how many parse as a number, in one scan."""
+    n_rows, filled, parsed = 0, {}, {}
+    for part in chunks(df.schema.fields, 100):
+        measures = [F.count(col(f.name)).alias(f"n{i}") for i, f in enumerate(part)]
+        measures += [F.count(num_parse(f)).alias(f"p{i}") for i, f in enumerate(part)]
+        row = df.agg(F.count(F.lit(1)).alias("rows"), *measures).first()
+        n_rows = row["rows"]
+        filled.update({f.name: row[f"n{i}"] for i, f in enumerate(part)})
+        parsed.update({f.name: row[f"p{i}"] for i, f in enumerate(part)})
+    return n_rows, filled, parsed
+
+
+def _ids(df: DataFrame, near: list[str], parsed: dict[str, int], order_by: Sequence[str], text_ids: bool) -> list[str]:
+    found = {c for c in near if parsed[c] == 0} if text_ids else set()
+    ordered = [c for c in near if parsed[c] > 0] if order_by else []
+    if ordered:
+        lead = df.schema[order_by[0]].dataType
+        if is_number(lead) or is_time(lead):
+            ordered = _coarse_survivors(df, order_by[0], ordered)
+    if ordered:
+        found |= {c for c, n in order_falls(df, ordered, order_by).items() if n == 0}
+    return [c for c in near if c in found]
+
+
+def id_columns(df: DataFrame, target: str | None = None, order_by: Sequence[str] = (),
+               text_ids: bool = True) -> list[str]:
     """Columns that are near-unique and never fall in row order.
 
     Row order must be named: without ``order_by`` no number column is tested.
     Text that never parses as a number has nothing to fall, so near-unique text
     is an ID at once (``text_ids=False`` turns this off).
     """
-    n_rows = df.count() if n_rows is None else n_rows
-    if n_unique is None:
-        n_unique = {r["column"]: r["n_unique"] for r in cardinality(df).collect()}
-    near = [c for c in countable(df) if c != target and c not in skip
-            and n_unique.get(c, 0) / max(n_rows, 1) > ID_SHARE]
-    if not near:
-        return []
-    counts = df.agg(*[F.count(num_parse(df.schema[c])).alias(f"n{i}") for i, c in enumerate(near)]).first()
-    blank = [c for i, c in enumerate(near) if counts[f"n{i}"] == 0]
-    ordered = [c for c in near if c not in blank]
-    found = set(blank if text_ids else [])
-    if ordered and order_by:
-        lead = df.schema[order_by[0]].dataType
-        if is_number(lead) or is_time(lead):
-            ordered = _coarse_survivors(df, order_by[0], ordered)
-        if ordered:
-            found |= {c for c, n in order_falls(df, ordered, order_by).items() if n == 0}
-    return [c for c in near if c in found]
+    n_rows, _, parsed = column_counts(df)
+    near = [r["column"] for r in cardinality(df).collect()
+            if r["column"] != target and r["n_unique"] / max(n_rows, 1) > ID_SHARE]
+    return _ids(df, [c for c in df.columns if c in near], parsed, order_by, text_ids)
 
 
 # Whole report ------------------------------------------------------------------------
@@ -185,6 +196,7 @@ class Validation:
 
     issues: list[tuple[str, str, str | None, str]] = field(default_factory=list)
     fixes: dict[str, str] = field(default_factory=dict)
+    n_unique: dict[str, int] = field(default_factory=dict)
 
     @property
     def severity(self) -> str:
@@ -206,14 +218,9 @@ def validate(df: DataFrame, target: str, task: str = "regression", order_by: Seq
         if action:
             report.fixes[column] = action
 
-    filled: dict[str, int] = {}
-    n_rows = 0
-    for part in chunks(df.columns, 200):
-        row = df.agg(F.count(F.lit(1)).alias("rows"),
-                     *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(part)]).first()
-        n_rows = row["rows"]
-        filled.update({c: row[f"n{i}"] for i, c in enumerate(part)})
-    n_unique = {r["column"]: r["n_unique"] for r in cardinality(df).collect()}
+    n_rows, filled, parsed = column_counts(df)
+    n_unique = report.n_unique = {r["column"]: r["n_unique"] for r in cardinality(df).collect()}
+    text = [f.name for f in df.schema.fields if is_text(f.dataType) and f.name != target]
 
     if target not in df.columns:
         note(target, "target_missing", None, "target column is not in the table")
@@ -224,20 +231,21 @@ def validate(df: DataFrame, target: str, task: str = "regression", order_by: Seq
         if task == "classification" and n_unique.get(target, 0) > CLASS_LIMIT:
             note(target, "target_classes", None, f"{n_unique[target]} classes; consider regression")
 
-    for r in numeric_text(df, target).where("is_numeric_text").collect():
-        note(r["column"], "numeric_text", "convert_to_numeric", f"{r['parsed_share']:.1%} of values are numbers")
+    for c in text:
+        if filled[c] and parsed[c] / filled[c] > NUMERIC_SHARE:
+            note(c, "numeric_text", "convert_to_numeric", f"{parsed[c] / filled[c]:.1%} of values are numbers")
 
-    for c in id_columns(df, target, order_by, list(report.fixes), text_ids, n_rows, n_unique):
+    near = [c for c in countable(df) if c != target and c not in report.fixes
+            and n_unique[c] / max(n_rows, 1) > ID_SHARE]
+    for c in _ids(df, near, parsed, order_by, text_ids):
         note(c, "id", "drop_id", f"{n_unique[c]} distinct values, never falling")
 
     if n_rows >= WIDE_TEXT_ROWS:
-        for f in df.schema.fields:
-            if not is_text(f.dataType) or f.name == target or f.name in report.fixes:
-                continue
-            if n_unique[f.name] / n_rows > WIDE_TEXT_SHARE:
-                keep = re.search(STRUCTURED_NAMES, f.name, re.IGNORECASE)
-                note(f.name, "high_cardinality_kept" if keep else "high_cardinality",
-                     None if keep else "drop_high_cardinality", f"{n_unique[f.name]} distinct values")
+        for c in text:
+            if c not in report.fixes and n_unique[c] / n_rows > WIDE_TEXT_SHARE:
+                keep = re.search(STRUCTURED_NAMES, c, re.IGNORECASE)
+                note(c, "high_cardinality_kept" if keep else "high_cardinality",
+                     None if keep else "drop_high_cardinality", f"{n_unique[c]} distinct values")
 
     for c in df.columns:
         if filled[c] == 0:

@@ -65,7 +65,7 @@ FITTERS: dict[str, Callable[[DataFrame, list[str], dict], Applier]] = {
     "remove_outliers": _fit_outliers,
     "drop_constants": lambda df, cols, step: lambda d: clean.drop_columns(d, cols),
     "fix_dtypes": lambda df, cols, step: lambda d: clean.convert(d, cols, step.get("target_dtype", "numeric")),
-    "drop_duplicates": lambda df, cols, step: clean.drop_duplicates,
+    "drop_duplicates": lambda df, cols, step: lambda d: clean.drop_duplicates(d, step.get("few", False)),
     "encode_categorical": _fit_encoding,
     "log_transform": _fit_log,
     "polynomial_features": lambda df, cols, step: lambda d: features.powers(d, cols, step.get("degree", 2)),
@@ -73,6 +73,7 @@ FITTERS: dict[str, Callable[[DataFrame, list[str], dict], Applier]] = {
     "datetime_decompose": _fit_dates,
 }
 SHUFFLES = {"drop_duplicates"}
+FEW_COPIES = 1_000_000
 
 
 @dataclass
@@ -153,9 +154,11 @@ def prepare(df: DataFrame, plan: dict, target: str, found: Profile | None = None
     ``Prepared.apply`` on the rest.
     """
     df = null_nan(df)
-    checked = check_plan(plan, found or profile(df), target, heavy_rows)
+    found = found or profile(df)
+    checked = check_plan(plan, found, target, heavy_rows)
+    few = found.n_rows > FEW_COPIES and found.duplicates <= FEW_COPIES
     state = Prepared(df, plan=checked)
-    _clean(state, checked["cleaning_steps"], target)
+    _clean(state, [s | {"few": few} if s["step"] in SHUFFLES else s for s in checked["cleaning_steps"]], target)
     _engineer(state, checked["feature_steps"], target)
     return state
 
@@ -163,9 +166,10 @@ def prepare(df: DataFrame, plan: dict, target: str, found: Profile | None = None
 def auto_prepare(df: DataFrame, target: str, task: str = "regression", order_by: Sequence[str] = ()) -> Prepared:
     """Validate, fix, profile, and run the default plan."""
     df = null_nan(df)
-    fixes = validate.validate(df, target, task, order_by).fixes
+    report = validate.validate(df, target, task, order_by)
+    fixes = report.fixes
     fixed = validate.apply_fixes(df, fixes)
-    found = profile(fixed)
+    found = profile(fixed, known_unique={c: n for c, n in report.n_unique.items() if c not in fixes})
     state = prepare(fixed, default_plan(found, target), target, found)
     state.appliers.insert(0, lambda d: validate.apply_fixes(d, fixes))
     state.steps.insert(0, ("apply_fixes", list(fixes)))
