@@ -339,7 +339,7 @@ def _held_out(spark, df, target, task, metric, key, name, build):
     """Fit one candidate on the training part and score the held-out rows."""
     table, names, n_classes = selection.modelling_table(df, target, task, [key])
     trainer = selection._Trainer(table, task, metric, len(names), n_classes, 5)
-    model = build(trainer.facts()).fit(trainer.train)
+    model = trainer.fit(build)
     predicted = selection._predict(model, trainer.test, task)
     score = metrics.regression_scores if task == "regression" else metrics.classification_scores
     return score(predicted).withColumn("model_name", F.lit(name)), model, trainer, names

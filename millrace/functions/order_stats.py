@@ -22,20 +22,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import col
+from .columns import chunks, col
 
 STEPS = 4096
 OCTAVE_STEPS = 64
 OCTAVE_SHIFT = 1100 * OCTAVE_STEPS
 # Up to this many cells one sorted pass beats several small jobs.
 SMALL_CELLS = 500_000
+MAX_INLINE_RANGES = 32
+WIDE = 50  # columns taken together
 
 
-def _family(dtype: T.DataType) -> str:
-    """Type the values of a column are compared in, exact for every input."""
+EXACT_DOUBLE = 2**53
+
+
+def _family(dtype: T.DataType, low: object, high: object) -> str:
+    """Type the values of a column are compared in, exact for the range it holds."""
     if isinstance(dtype, T.DecimalType):
         return dtype.simpleString()
-    if isinstance(dtype, T.LongType):
+    if isinstance(dtype, T.LongType) and low is not None and max(abs(low), abs(high)) > EXACT_DOUBLE:
         return "bigint"
     return "double"
 
@@ -51,11 +56,21 @@ def _linear(v: Column, lo: Column, hi: Column) -> Column:
     return F.floor(share * STEPS)
 
 
-def _long(df: DataFrame, columns: Sequence[str], family: str, by: str | None) -> DataFrame:
-    cells = [
-        F.struct(F.lit(i).alias("cid"), col(c).cast(family).alias("v"))
-        for i, c in enumerate(columns)
-    ]
+def _long(df: DataFrame, columns: dict[int, str], family: str, by: str | None,
+          spans: dict[int, list[tuple]] | None = None) -> DataFrame:
+    """One row ``(g, cid, v)`` per non-null cell of the given columns, inside ``spans`` if given.
+
+    Only columns that still have an open target are read.
+    """
+    cells = []
+    for cid, name in columns.items():
+        v = col(name).cast(family)
+        if spans is not None:
+            inside = F.lit(False)
+            for lo, hi in dict.fromkeys(spans[cid]):
+                inside = inside | v.between(F.lit(lo).cast(family), F.lit(hi).cast(family))
+            v = F.when(inside, v)
+        cells.append(F.struct(F.lit(cid).alias("cid"), v.alias("v")))
     group = (col(by) if by else F.lit(0)).alias("g")
     out = df.select(group, F.inline(F.array(*cells))).where("v IS NOT NULL")
     return out.where("g IS NOT NULL") if by else out
@@ -76,46 +91,52 @@ def _locate(hist: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _refine(long: DataFrame, wanted: list[tuple], group_type: T.DataType, family: str) -> dict:
-    """``wanted`` holds ``(tid, g, cid, rank)``; returns ``tid -> value``."""
-    spark = long.sparkSession
-    found: dict[int, object] = {}
-    frame = spark.createDataFrame(wanted, T.StructType([
+def _targets(spark, wanted: list[tuple], group_type: T.DataType) -> DataFrame:
+    return spark.createDataFrame(wanted, T.StructType([
         T.StructField("tid", T.IntegerType()), T.StructField("g", group_type),
         T.StructField("cid", T.IntegerType()), T.StructField("rank", T.LongType())]))
+
+
+def _refine(df: DataFrame, members: list[str], wanted: list[tuple], by: str | None, group_type: T.DataType,
+            family: str) -> dict:
+    """``wanted`` holds ``(tid, g, cid, rank)``; returns ``tid -> value``."""
+    spark = df.sparkSession
+    kind = T._parse_datatype_string(family)
     stats = [F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")]
+    long = _long(df, dict(enumerate(members)), family, by)
     hist = long.groupBy("g", "cid", _octave(F.col("v")).alias("b")).agg(*stats)
-    rows = _locate(hist, frame, ["g", "cid"]).collect()
+    rows = _locate(hist, _targets(spark, wanted, group_type), ["g", "cid"]).collect()
     place = {tid: (g, cid) for tid, g, cid, _ in wanted}
+    found: dict[int, object] = {}
     while True:
         found.update({r["tid"]: r["lo"] for r in rows if r["lo"] == r["hi"]})
         open_rows = [r for r in rows if r["lo"] != r["hi"]]
         if not open_rows:
             return found
         spans: dict[tuple, int] = {}
-        targets = []
+        targets, ranges = [], {}
         for r in open_rows:
-            key = (*place[r["tid"]], r["lo"], r["hi"])
+            g, cid = place[r["tid"]]
+            key = (g, cid, r["lo"], r["hi"])
+            ranges.setdefault(cid, []).append((r["lo"], r["hi"]))
             targets.append((r["tid"], spans.setdefault(key, len(spans)), r["rank"]))
         span_frame = spark.createDataFrame(
             [(sid, *key) for key, sid in spans.items()],
             T.StructType([T.StructField("sid", T.IntegerType()), T.StructField("g", group_type),
                           T.StructField("cid", T.IntegerType()),
-                          T.StructField("slo", T._parse_datatype_string(family)),
-                          T.StructField("shi", T._parse_datatype_string(family))]))
+                          T.StructField("slo", kind), T.StructField("shi", kind)]))
+        # Few ranges become a condition on the scan; with many groups the join alone decides.
+        limits = ranges if max(map(len, ranges.values())) <= MAX_INLINE_RANGES else None
+        long = _long(df, {cid: members[cid] for cid in ranges}, family, by, limits)
         inside = long.join(F.broadcast(span_frame), ["g", "cid"]).where("v >= slo AND v <= shi")
-        bucket = _linear(F.col("v"), F.col("slo"), F.col("shi")).alias("b")
-        hist = inside.groupBy("sid", bucket).agg(*stats)
+        hist = inside.groupBy("sid", _linear(F.col("v"), F.col("slo"), F.col("shi")).alias("b")).agg(*stats)
         frame = spark.createDataFrame(targets, "tid int, sid int, rank bigint")
         rows = _locate(hist, frame, ["sid"]).collect()
 
 
 def _sorted_pass(long: DataFrame, wanted: list[tuple], group_type: T.DataType) -> dict:
     """Small inputs: count distinct values and read the ranks off a running sum."""
-    spark = long.sparkSession
-    frame = spark.createDataFrame(wanted, T.StructType([
-        T.StructField("tid", T.IntegerType()), T.StructField("g", group_type),
-        T.StructField("cid", T.IntegerType()), T.StructField("rank", T.LongType())]))
+    frame = _targets(long.sparkSession, wanted, group_type)
     hist = (long.groupBy("g", "cid", F.col("v").alias("b")).agg(F.count(F.lit(1)).alias("n"))
             .withColumns({"lo": F.col("b"), "hi": F.col("b")}))
     return {r["tid"]: r["lo"] for r in _locate(hist, frame, ["g", "cid"]).collect()}
@@ -136,16 +157,21 @@ def order_statistics(
     """
     columns = list(columns)
     counts = [F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)]
+    longs = [c for c in columns if isinstance(df.schema[c].dataType, T.LongType)]
+    counts += [f(col(c)).alias(f"{n}{i}") for i, c in enumerate(longs) for n, f in (("lo", F.min), ("hi", F.max))]
     if by:
         counted = df.where(col(by).isNotNull()).groupBy(col(by).alias("g")).agg(*counts)
     else:
         counted = df.agg(F.lit(0).alias("g"), *counts)
-    sizes = {r["g"]: [r[f"n{i}"] for i in range(len(columns))] for r in counted.collect()}
+    counted = counted.collect()
+    sizes = {r["g"]: [r[f"n{i}"] for i in range(len(columns))] for r in counted}
+    ends = {c: [v for r in counted for v in (r[f"lo{i}"], r[f"hi{i}"]) if v is not None] for i, c in enumerate(longs)}
     group_type = df.schema[by].dataType if by else T.IntegerType()
 
     families: dict[str, list[str]] = {}
     for c in columns:
-        families.setdefault(_family(df.schema[c].dataType), []).append(c)
+        low, high = (min(ends[c]), max(ends[c])) if ends.get(c) else (None, None)
+        families.setdefault(_family(df.schema[c].dataType, low, high), []).append(c)
     result: dict[tuple, tuple[int, list]] = {}
     for family, members in families.items():
         wanted, slots = [], {}
@@ -161,11 +187,13 @@ def order_statistics(
                     wanted.append((len(wanted), g, cid, r))
         if not wanted:
             continue
-        long = _long(df, members, family, by)
         cells = sum(sizes[g][columns.index(c)] for g, c in slots)
-        values = (_sorted_pass(long, wanted, group_type) if cells <= small_cells
-                  else _refine(long, wanted, group_type, family))
-        at = {(g, cid, r): values[tid] for tid, g, cid, r in wanted}
+        if cells <= small_cells:
+            values = _sorted_pass(_long(df, dict(enumerate(members)), family, by), wanted, group_type)
+        else:
+            values = _refine(df, members, wanted, by, group_type, family)
+        restore = int if family == "double" else lambda v: v
+        at = {(g, cid, r): restore(values[tid]) if members[cid] in longs else values[tid] for tid, g, cid, r in wanted}
         for (g, c), (n, picks) in slots.items():
             result[(g, c)] = (n, [at[(g, members.index(c), r)] for r in picks])
     return result
@@ -190,7 +218,10 @@ def quantiles(
         return out
 
     out = {}
-    for (g, c), (n, vals) in order_statistics(df, columns, ranks, by, small_cells).items():
+    found = {}
+    for part in chunks(list(columns), WIDE):
+        found |= order_statistics(df, part, ranks, by, small_cells)
+    for (g, c), (n, vals) in found.items():
         qs = []
         for i, p in enumerate(probs):
             if n == 0:

@@ -14,8 +14,9 @@ from .columns import col, is_number, is_text, is_time
 # take '1d' and '1.5f', hence the guard in front of it.
 NUMBER_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI]nf(inity)?)\s*$"
 
-# Fixed formats tried in order.
-TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
+# Fixed pattern: ISO dates, with or without a time. Spark's cast reads these without
+# raising per bad row, unlike format-driven parsing; it would also take a bare year.
+ISO_PATTERN = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]\S.*)?\s*$"
 
 
 def text_number(c: Column) -> Column:
@@ -36,12 +37,14 @@ def num_parse(field: T.StructField) -> Column:
     return c.cast("double") if is_number(dtype) else F.lit(None).cast("double")
 
 
-def time_parse(field: T.StructField, formats: Sequence[str] = TIME_FORMATS) -> Column:
-    """The column as a zone-free timestamp. Plain numbers are not read as times."""
+def time_parse(field: T.StructField, formats: Sequence[str] = ()) -> Column:
+    """The column as a zone-free timestamp: ISO text, or text in the first of ``formats``
+    that fits. Plain numbers are not read as times."""
     c, dtype = col(field.name), field.dataType
     if is_time(dtype):
         return c.cast("timestamp_ntz")
     if is_text(dtype):
-        parsed = [F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz") for f in formats]
-        return F.coalesce(*parsed)
+        if not formats:
+            return F.when(c.rlike(ISO_PATTERN), F.trim(c).try_cast("timestamp_ntz"))
+        return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz") for f in formats])
     return F.lit(None).cast("timestamp_ntz")

@@ -1,12 +1,13 @@
 """Counts of every distinct value of many columns in one shuffle.
 
-All columns are put in long form ``(cid, l, d, s)`` (one typed value field is
+All columns are put in long form ``(cid, l, d, s, t)`` (one typed value field is
 set), counted map-side and shuffled once by value. A value that fills a third
 of a column leaves each task as one row, so it makes no hot partition.
 """
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,21 +16,36 @@ from pyspark.sql import types as T
 
 from .columns import col, is_flat
 
-KEY = ["cid", "l", "d", "s"]
+SLOTS = {"l": "bigint", "d": "double", "s": "string", "t": "timestamp_ntz"}
+KEY = ["cid", *SLOTS]
 
 
 def _typed(field: T.StructField) -> Column:
-    """Struct with the value in the field of its family: integer, float or text."""
+    """Struct with the value in the field of its family: integer, float, text or time.
+
+    Instants go by their microseconds, which unlike local time repeat for none.
+    """
     c, dtype = col(field.name), field.dataType
     slot = "s"
-    if isinstance(dtype, T.IntegralType):
+    if isinstance(dtype, T.TimestampType):
+        slot, c = "l", F.unix_micros(c)
+    elif isinstance(dtype, T.IntegralType):
         slot = "l"
     elif isinstance(dtype, (T.FloatType, T.DoubleType)):
         slot = "d"
-    types = {"l": "bigint", "d": "double", "s": "string"}
-    return F.struct(*[
-        (c if k == slot else F.lit(None)).cast(t).alias(k) for k, t in types.items()
-    ])
+    elif isinstance(dtype, (T.DateType, T.TimestampNTZType)):
+        slot = "t"
+    return F.struct(*[(c if k == slot else F.lit(None)).cast(t).alias(k) for k, t in SLOTS.items()])
+
+
+def slot_value(row, dtype: T.DataType) -> object:
+    """The Python value of a long-form row, as the column's own type."""
+    value = next((row[k] for k in SLOTS if row[k] is not None), None)
+    if isinstance(dtype, T.TimestampType) and value is not None:
+        return datetime.datetime(1970, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(microseconds=value)
+    if isinstance(dtype, T.DateType) and value is not None:
+        return value.date()
+    return value
 
 
 def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -41,13 +57,13 @@ def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ]
     return (
         df.select(F.explode(F.array(*cells)).alias("cell"))
-        .select("cell.cid", "cell.v.l", "cell.v.d", "cell.v.s")
-        .where("l IS NOT NULL OR d IS NOT NULL OR s IS NOT NULL")
+        .select("cell.cid", *[f"cell.v.{k}" for k in SLOTS])
+        .where(" OR ".join(f"{k} IS NOT NULL" for k in SLOTS))
     )
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``cid, l, d, s, n``: how often each non-null value of each column occurs."""
+    """``cid, l, d, s, t, n``: how often each non-null value of each column occurs."""
     return long_values(df, columns).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -90,8 +106,5 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
     if not cols:
         return {}
     best = value_counts(df, cols).groupBy("cid").agg(
-        F.min(F.struct((-F.col("n")).alias("n"), "l", "d", "s")).alias("m"))
-    found = {}
-    for r in best.collect():
-        found[cols[r["cid"]]] = next((r["m"][k] for k in ("l", "d", "s") if r["m"][k] is not None), None)
-    return found
+        F.min(F.struct((-F.col("n")).alias("n"), *SLOTS)).alias("m"))
+    return {cols[r["cid"]]: slot_value(r["m"], df.schema[cols[r["cid"]]].dataType) for r in best.collect()}

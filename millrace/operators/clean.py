@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import chunks, col, is_number, is_text, present
 from ..functions.order_stats import quantiles
 from ..functions.parsing import num_parse, time_parse
-from ..functions.storage import stored
 from ..functions.value_counts import modes
+from .profile import BROADCAST_HASHES, repeated_hashes
 
 UNKNOWN = "Unknown"
 FENCE = 1.5
@@ -161,7 +161,7 @@ def convert(df: DataFrame, columns: Sequence[str], kind: str = "numeric") -> Dat
     return df.withColumns({c: make(df.schema[c]) for c in cols}) if make and cols else df
 
 
-def drop_duplicates(df: DataFrame, few: bool = False, broadcast_hashes: int = 1_000_000) -> DataFrame:
+def drop_duplicates(df: DataFrame, few: bool = False, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """One of each group of equal rows. Copies collapse map-side, so a hot row is no hot spot.
 
     Dropping copies shuffles whole rows. If copies are known to be ``few``, only a
@@ -171,11 +171,10 @@ def drop_duplicates(df: DataFrame, few: bool = False, broadcast_hashes: int = 1_
     """
     if not few:
         return df.dropDuplicates()
-    hashed = df.withColumn("_hash_", F.xxhash64(*[col(c) for c in df.columns]))
-    repeated = stored(hashed.groupBy("_hash_").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_hash_"),
-                      "repeated")
+    repeated = repeated_hashes(df)
     if repeated.count() > broadcast_hashes:
         return df.dropDuplicates()
+    hashed = df.withColumn("_hash_", F.xxhash64(*[col(c) for c in df.columns]))
     single = hashed.join(F.broadcast(repeated), "_hash_", "left_anti").drop("_hash_")
     copies = hashed.join(F.broadcast(repeated), "_hash_", "left_semi").drop("_hash_")
     return single.unionByName(copies.dropDuplicates())

@@ -16,7 +16,7 @@ from ..functions.columns import col, is_feature, is_number, is_text, present, te
 from ..functions.parsing import time_parse
 from ..functions.running import running_sum
 from ..functions.storage import stored
-from ..functions.value_counts import value_counts
+from ..functions.value_counts import slot_value, value_counts
 
 # A code table up to this many levels is sorted once and broadcast; a longer one
 # is numbered range by range and joined by shuffle.
@@ -62,11 +62,12 @@ def _level_table(df: DataFrame, column: str, levels: list) -> DataFrame:
 
 
 def _short_levels(df: DataFrame, columns: list[str]) -> dict[str, list]:
-    """Distinct values of columns known to have few; numbers and text share one shuffle."""
-    shared = [c for c in columns if _plain(df.schema[c].dataType)]
+    """Distinct values of columns known to have few, most of them from one shuffle."""
+    shared = [c for c in columns if not isinstance(df.schema[c].dataType, (T.BooleanType, T.DecimalType))]
     found: dict[str, list] = {c: [] for c in columns}
     for r in value_counts(df, shared).collect() if shared else []:
-        found[shared[r["cid"]]].append(next(r[k] for k in ("l", "d", "s") if r[k] is not None))
+        name = shared[r["cid"]]
+        found[name].append(slot_value(r, df.schema[name].dataType))
     for c in columns:
         if c not in shared:
             found[c] = [r[0] for r in df.select(col(c)).where(col(c).isNotNull()).distinct().collect()]
@@ -103,10 +104,6 @@ def fit_codes(df: DataFrame, columns: Sequence[str], broadcast_levels: int = BRO
     return [fitted.get(c) or _long_codes(df, c) for c in cols]
 
 
-def _plain(dtype: T.DataType) -> bool:
-    return is_text(dtype) or isinstance(dtype, (T.IntegralType, T.FloatType, T.DoubleType))
-
-
 def apply_codes(df: DataFrame, codes: Sequence[Codes], output: dict[str, str] | None = None) -> DataFrame:
     """Replace values by codes; null and values not seen at fit time become -1.
 
@@ -135,13 +132,14 @@ def label_encode(df: DataFrame, columns: Sequence[str], target: str | None = Non
 
 def fit_levels(df: DataFrame, columns: Sequence[str], max_levels: int = 10_000) -> dict[str, list]:
     """Sorted levels per column. More than ``max_levels`` output columns is refused, not cut."""
-    found = {}
-    for c in columns:
-        rows = df.select(col(c).alias("v")).where("v IS NOT NULL").distinct().limit(max_levels + 1).collect()
-        if len(rows) > max_levels:
+    cols = list(columns)
+    if not cols:
+        return {}
+    row = df.agg(*[F.approx_count_distinct(col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    for i, c in enumerate(cols):
+        if row[f"n{i}"] > max_levels:
             raise ValueError(f"{c!r} has more than {max_levels} levels; label-encode it")
-        found[c] = sorted(r["v"] for r in rows)
-    return found
+    return {c: sorted(levels) for c, levels in _short_levels(df, cols).items()}
 
 
 def one_hot(df: DataFrame, columns: Sequence[str], levels: dict[str, list] | None = None) -> DataFrame:
@@ -224,24 +222,26 @@ def fit_dates(df: DataFrame, columns: Sequence[str]) -> dict[str, bool]:
     if not cols:
         return {}
     tests = []
+    parsed = df.select(*[time_parse(df.schema[c]).alias(f"t{i}") for i, c in enumerate(cols)])
     for i, c in enumerate(cols):
-        t = time_parse(df.schema[c])
+        t = F.col(f"t{i}")
         tests += [F.count(t).alias(f"n{i}"), F.count_if((F.hour(t) != 0) | t.isNull()).alias(f"h{i}")]
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *tests).first()
+    row = parsed.agg(F.count(F.lit(1)).alias("rows"), *tests).first()
     rows = row["rows"]
     return {c: row[f"h{i}"] > 0 for i, c in enumerate(cols) if rows and row[f"n{i}"] / rows >= TIME_SHARE}
 
 
 def apply_dates(df: DataFrame, parts: dict[str, bool]) -> DataFrame:
     for c, with_hour in parts.items():
-        t = time_parse(df.schema[c])
+        df = df.withColumn("_time_", time_parse(df.schema[c]))  # parsed once for all parts
+        t = F.col("_time_")
         made = {
             f"{c}_year": F.year(t), f"{c}_month": F.month(t), f"{c}_day": F.dayofmonth(t),
             f"{c}_dayofweek": F.weekday(t),
         }
         if with_hour:
             made[f"{c}_hour"] = F.hour(t)
-        df = df.withColumns(made).drop(c)
+        df = df.withColumns(made).drop(c, "_time_")
     return df
 
 

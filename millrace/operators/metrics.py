@@ -86,12 +86,8 @@ def classification_scores(df: DataFrame, label: str = "label", prediction: str =
         *[(F.sum(F.col(m) * F.col("support")) / total).alias(m) for m in ("f1", "precision", "recall")])
 
 
-def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """Area under the curve of a 0/1 label against a score, ties counted half, as ``roc_auc``.
-
-    Rows are first reduced to counts per distinct score; the number of negatives
-    below each score is a running sum over range partitions, not one window.
-    """
+def _areas(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
+    """``roc_auc`` and ``n_pos``, the number of positives, per group."""
     by = list(by)
     y = col(label).cast("double")
     per_score = df.groupBy(*[col(c) for c in by], col(score).cast("double").alias("_score")).agg(
@@ -99,7 +95,17 @@ def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> Da
     below = running_sum(per_score, ["_score"], ["_neg"], by)
     won = F.sum(F.col("_pos") * (F.col("before__neg") + F.col("_neg") / 2))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg").cast("double")
-    return below.groupBy(*[col(c) for c in by]).agg((won / F.nullif(pairs, F.lit(0.0))).alias("roc_auc"))
+    return below.groupBy(*[col(c) for c in by]).agg(
+        (won / F.nullif(pairs, F.lit(0.0))).alias("roc_auc"), F.sum("_pos").alias("n_pos"))
+
+
+def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """Area under the curve of a 0/1 label against a score, ties counted half, as ``roc_auc``.
+
+    Rows are first reduced to counts per distinct score; the number of negatives
+    below each score is a running sum over range partitions, not one window.
+    """
+    return _areas(df, label, score, by).drop("n_pos")
 
 
 def roc_auc_ovr(df: DataFrame, label: str, scores: str, n_classes: int, by: Sequence[str] = ()) -> DataFrame:
@@ -108,8 +114,6 @@ def roc_auc_ovr(df: DataFrame, label: str, scores: str, n_classes: int, by: Sequ
     cells = [F.struct(F.lit(i).alias("_class"), col(scores)[i].alias("_s"),
                       (col(label).cast("int") == i).cast("int").alias("_y")) for i in range(n_classes)]
     long = df.select(*[col(c) for c in by], F.inline(F.array(*cells)))
-    areas = roc_auc(long, "_y", "_s", [*by, "_class"])
-    support = long.groupBy(*[col(c) for c in by], "_class").agg(F.sum("_y").alias("_n"))
-    both = areas.join(F.broadcast(support), [*by, "_class"]).where("_n > 0")
-    return both.groupBy(*[col(c) for c in by]).agg(
-        (F.sum(F.col("roc_auc") * F.col("_n")) / F.sum("_n")).alias("roc_auc"))
+    areas = _areas(long, "_y", "_s", [*by, "_class"]).where("n_pos > 0 AND roc_auc IS NOT NULL")
+    return areas.groupBy(*[col(c) for c in by]).agg(
+        (F.sum(F.col("roc_auc") * F.col("n_pos")) / F.sum("n_pos")).alias("roc_auc"))

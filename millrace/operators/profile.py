@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import chunks, col, is_number, is_text, number_names, text_names
 from ..functions.order_stats import quantiles
+from ..functions.storage import stored
 from ..functions.value_counts import cardinality, column_name, countable, value_counts
 
 HIGH_CARDINALITY = 50
 SKEW_LIMIT = 1.0
 WIDE = 50  # columns per aggregate, to stay within generated-code limits
+BROADCAST_HASHES = 1_000_000  # 8 MB of row hashes
 
 
 def _per_column(df: DataFrame, columns: Sequence[str], measures: dict) -> DataFrame:
@@ -88,18 +90,26 @@ def constant_columns(df: DataFrame) -> DataFrame:
     return cardinality(df).where(F.col("n_unique") <= 1)
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
+def repeated_hashes(df: DataFrame) -> DataFrame:
+    """``_hash_``: the 64-bit row hashes that occur more than once, stored."""
+    hashes = df.select(F.xxhash64(*[col(c) for c in df.columns]).alias("_hash_")).groupBy("_hash_")
+    return stored(hashes.agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_hash_"), "repeated")
+
+
+def duplicate_rows(df: DataFrame, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """``duplicate_rows``: rows beyond the first of each group of equal rows, nulls equal.
 
-    Only a 64-bit hash per row is shuffled at first; full rows are compared just
-    for hashes that occur twice, so a table without copies moves 8 bytes a row.
+    Only a hash per row is shuffled at first, so a table without copies moves 8
+    bytes a row. Whole rows are compared just for hashes that repeat, if those are
+    few enough to broadcast. Either way copies are counted map-side before a shuffle.
     """
-    cols = countable(df)
-    rows = df.select(F.xxhash64(*[col(c) for c in cols]).alias("_h"), *[col(c) for c in cols])
-    twice = (rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"))
-    again = rows.join(twice, "_h", "left_semi")
-    same = again.groupBy("_h", *[col(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
-    return same.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
+    df = df.select(*[col(c) for c in countable(df)])
+    repeated = repeated_hashes(df)
+    if repeated.count() <= broadcast_hashes:
+        hashed = df.withColumn("_hash_", F.xxhash64(*[col(c) for c in df.columns]))
+        df = hashed.join(F.broadcast(repeated), "_hash_", "left_semi").drop("_hash_")
+    same = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n_"))
+    return same.agg(F.coalesce(F.sum(F.col("_n_") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
 def corrected_skew(c: Column) -> Column:
@@ -224,18 +234,40 @@ def profile(df: DataFrame, exact: bool = True, known_unique: dict[str, int] | No
     )
 
 
+def column_stats(df: DataFrame) -> DataFrame:
+    """Nulls of every column and, for numbers, moments, range and skew, from one scan."""
+    makers = {
+        "count": lambda c: F.count(c), "mean": lambda c: F.avg(c.cast("double")),
+        "std": lambda c: F.stddev_samp(c.cast("double")), "min": lambda c: F.min(c).cast("double"),
+        "max": lambda c: F.max(c).cast("double"), "skew": corrected_skew,
+    }
+    out = None
+    for part in chunks(df.schema.fields, WIDE):
+        measures, cells = [F.count(F.lit(1)).alias("rows")], []
+        for i, f in enumerate(part):
+            measures.append(F.count_if(col(f.name).isNull()).alias(f"missing_{i}"))
+            numeric = is_number(f.dataType)
+            measures += [make(col(f.name)).alias(f"{m}_{i}") for m, make in makers.items() if numeric]
+            cells.append(F.struct(
+                F.lit(f.name).alias("column"), F.col(f"missing_{i}").alias("missing"),
+                F.round(_share(F.col(f"missing_{i}") * 100.0, F.col("rows")), 2).alias("missing_pct"),
+                *[(F.col(f"{m}_{i}") if numeric else F.lit(None)).cast("bigint" if m == "count" else "double").alias(m)
+                  for m in makers]))
+        table = df.agg(*measures).select(F.inline(F.array(*cells)))
+        out = table if out is None else out.unionAll(table)
+    flag = F.when(F.col("count").isNotNull(), F.coalesce(F.abs("skew") > SKEW_LIMIT, F.lit(False)))
+    return out.withColumn("is_skewed", flag)
+
+
 def profile_table(df: DataFrame) -> DataFrame:
     """One row per column: type, nulls, cardinality, distribution, skew, flags."""
+    points = quantiles(df, number_names(df), (0.25, 0.5, 0.75)) if number_names(df) else {}
     types = df.sparkSession.createDataFrame(
-        [(i, c, t, "number" if is_number(df.schema[c].dataType)
-          else "text" if is_text(df.schema[c].dataType) else "other")
-         for i, (c, t) in enumerate(df.dtypes)],
-        "position int, column string, dtype string, kind string")
-    out = types.join(F.broadcast(missing(df)), "column", "left")
-    out = out.join(F.broadcast(cardinality(df)), "column", "left")
-    if number_names(df):
-        out = out.join(F.broadcast(describe(df)), "column", "left")
-        out = out.join(F.broadcast(skew(df)), "column", "left")
+        [(i, f.name, f.dataType.simpleString(),
+          "number" if is_number(f.dataType) else "text" if is_text(f.dataType) else "other",
+          *points.get(f.name, [None] * 3)) for i, f in enumerate(df.schema.fields)],
+        "position int, column string, dtype string, kind string, q25 double, q50 double, q75 double")
+    out = types.join(F.broadcast(column_stats(df)), "column").join(F.broadcast(cardinality(df)), "column", "left")
     return out.withColumns({
         "is_constant": F.col("n_unique") <= 1,
         "is_high_cardinality": (F.col("kind") == "text") & (F.col("n_unique") > HIGH_CARDINALITY),

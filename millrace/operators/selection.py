@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import logging
 import math
@@ -76,7 +77,7 @@ def modelling_table(df: DataFrame, target: str, task: str, keys: Sequence[str],
             table = ordered_folds(table, order, k, by, name, fit_on=table.where(~F.col("is_test")))
         else:
             table = table.withColumn(name, hash_fold(keys, k, seed))
-    return stored(table, "modelling"), names, n_classes
+    return stored(table, "modelling", ["is_test", "fold"]), names, n_classes
 
 
 def _scores(predicted: DataFrame, task: str, metric: str, n_classes: int, by: Sequence[str]) -> dict[int, dict]:
@@ -123,29 +124,39 @@ class _Trainer:
         spread = sum(r["n"] * (r["v"] + (r["m"] - mean) ** 2) for r in cells)
         return TrainingFacts(n, self.n_features, self.n_classes, math.sqrt(spread / n) if n else 0.0)
 
-    def cross_scores(self, build: Builder, fold: str, k: int) -> dict:
-        predicted = None
-        for i in range(k):
-            model = build(self.facts(fold, i)).fit(self.train.where(F.col(fold) != i))
-            part = _predict(model, self.train.where(F.col(fold) == i), self.task, [fold])
-            predicted = part if predicted is None else predicted.unionByName(part)
-        return _scores(predicted, self.task, self.metric, self.n_classes, [fold])
-
-    def evaluate(self, name: str, build: Builder) -> tuple[dict, Model]:
-        folds = self.cross_scores(build, "fold", self.cv)
-        final = build(self.facts()).fit(self.train)
+    def fit(self, build: Builder, fold: str | None = None, out: int | None = None) -> Model:
+        """One fit, on all training rows or without one fold."""
+        rows = self.train if fold is None else self.train.where(F.col(fold) != out)
+        return build(self.facts(fold, out)).fit(rows)
+
+    def scores(self, predicted: DataFrame, by: Sequence[str] = ()) -> dict:
+        return _scores(predicted, self.task, self.metric, self.n_classes, by)
+
+    def fold_scores(self, models: Sequence[Model], fold: str) -> dict:
+        """Scores per fold, all folds in one aggregate."""
+        parts = [_predict(m, self.train.where(F.col(fold) == i), self.task, [fold]) for i, m in enumerate(models)]
+        return self.scores(functools.reduce(DataFrame.unionByName, parts), [fold])
+
+    def fits(self) -> list[tuple[str | None, int | None]]:
+        """The fits one candidate needs."""
+        again = [("train_fold", i) for i in range(TRAIN_FOLDS)] if self.n_rows >= MIN_ROWS_FOR_FOLDS else []
+        return [(None, None), *[("fold", i) for i in range(self.cv)], *again]
+
+    def evaluate(self, name: str, models: dict[tuple, Model]) -> dict:
+        final = models[(None, None)]
+        folds = self.fold_scores([models[("fold", i)] for i in range(self.cv)], "fold")
         if self.n_rows >= MIN_ROWS_FOR_FOLDS:
-            again = self.cross_scores(build, "train_fold", TRAIN_FOLDS)
+            again = self.fold_scores([models[("train_fold", i)] for i in range(TRAIN_FOLDS)], "train_fold")
         else:
-            again = _scores(_predict(final, self.train, self.task), self.task, self.metric, self.n_classes, [])
-        held = _scores(_predict(final, self.test, self.task), self.task, self.metric, self.n_classes, [])
+            again = self.scores(_predict(final, self.train, self.task))
+        held = self.scores(_predict(final, self.test, self.task))
         row = {
             "model_name": name, "score": _mean(folds, self.metric), "train_score": _mean(again, self.metric),
             "r2_score": _mean(folds, "r2") if self.task == "regression" else None,
             "r2_train_score": _mean(again, "r2") if self.task == "regression" else None,
             "holdout_score": _mean(held, self.metric), "params": params_json(final),
         }
-        return {k: round(v, 4) if isinstance(v, float) else v for k, v in row.items()}, final
+        return {k: round(v, 4) if isinstance(v, float) else v for k, v in row.items()}
 
 
 def params_json(model: Model) -> str:
@@ -162,27 +173,38 @@ def params_table(model: Model, df: DataFrame) -> DataFrame:
 
 
 def evaluate_candidates(table: DataFrame, task: str, metric: str, n_features: int, n_classes: int, cv: int,
-                        builders: dict[str, Builder], parallelism: int = 1) -> dict[str, tuple[dict, Model]]:
-    """Score and model per candidate; one that fails is logged and left out."""
-    trainer = _Trainer(table, task, metric, n_features, n_classes, cv)
-
-    def attempt(item: tuple[str, Builder]):
-        try:
-            return trainer.evaluate(*item)
-        except Exception as error:  # one model must not end the comparison
-            log.warning("%s failed: %s", item[0], error)
-            return None
+                        builders: dict[str, Builder], parallelism: int = 4) -> dict[str, tuple[dict, Model]]:
+    """Score and model per candidate; one that fails is logged and left out.
 
-    # Like CrossValidator, submit independent Spark jobs from a few driver threads.
+    Like CrossValidator, independent fits are submitted from a few driver threads.
+    """
+    trainer = _Trainer(table, task, metric, n_features, n_classes, cv)
     with ThreadPoolExecutor(max(1, parallelism)) as pool:
-        done = list(pool.map(inheritable_thread_target(table.sparkSession)(attempt), builders.items()))
-    return {name: result for name, result in zip(builders, done) if result}
+        def submit(run, *args):
+            return pool.submit(inheritable_thread_target(table.sparkSession)(run), *args)
+
+        fitting = {name: {key: submit(trainer.fit, build, *key) for key in trainer.fits()}
+                   for name, build in builders.items()}
+        results: dict[str, tuple[dict, Model]] = {}
+        scoring = {}
+        for name, jobs in fitting.items():
+            try:
+                models = {key: job.result() for key, job in jobs.items()}
+                scoring[name] = (submit(trainer.evaluate, name, models), models[(None, None)])
+            except Exception as error:  # one model must not end the comparison
+                log.warning("%s failed: %s", name, error)
+        for name, (job, final) in scoring.items():
+            try:
+                results[name] = (job.result(), final)
+            except Exception as error:
+                log.warning("%s could not be scored: %s", name, error)
+    return results
 
 
 def train_and_evaluate(
     df: DataFrame, target: str, task: str, metric: str | None = None, *, keys: Sequence[str], cv: int = 5,
     test_size: float = 0.2, seed: int = 42, order: str | None = None, settings: Settings = Settings(),
-    builders: dict[str, Builder] | None = None, parallelism: int = 1,
+    builders: dict[str, Builder] | None = None, parallelism: int = 4,
 ) -> Selection:
     """Compare the candidates on the training part and rank them.
 

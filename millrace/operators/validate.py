@@ -124,11 +124,13 @@ def order_falls(df: DataFrame, columns: Sequence[str], order_by: Sequence[str])
 
     Spark range-partitions and sorts only the order and candidate columns; each
     partition reports its first and last value, and the driver joins these ends.
+    Rows with equal order values are taken in the order of the candidates, so a
+    value that fills much of the order column can still be split.
     """
     columns, order_by = list(columns), list(order_by)
     parsed = df.select(*[col(c).alias(f"_o{i}") for i, c in enumerate(order_by)],
                        *[num_parse(df.schema[c]).alias(c) for c in columns])
-    keys = [F.col(f"_o{i}") for i in range(len(order_by))]
+    keys = [F.col(f"_o{i}") for i in range(len(order_by))] + [col(c) for c in columns]
     parts = parsed.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*[col(c) for c in columns])
     rows = parts.mapInPandas(
         _partition_summary(columns),
