@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,7 +123,7 @@ def order_falls(df: DataFrame, columns: Sequence[str], order_by: Sequence[str])
     """How often each column's number falls from one non-null row to the next in the given order.
 
     Spark range-partitions and sorts only the order and candidate columns; each
-    partition reports its first and last value, and the driver joins these ends.
+    partition reports its first and last value, and these ends are compared.
     Rows with equal order values are taken in the order of the candidates, so a
     value that fills much of the order column can still be split.
     """
@@ -132,20 +132,13 @@ def order_falls(df: DataFrame, columns: Sequence[str], order_by: Sequence[str])
                        *[num_parse(df.schema[c]).alias(c) for c in columns])
     keys = [F.col(f"_o{i}") for i in range(len(order_by))] + [col(c) for c in columns]
     parts = parsed.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*[col(c) for c in columns])
-    rows = parts.mapInPandas(
-        _partition_summary(columns),
-        "part int, column string, first double, last double, falls bigint").orderBy("part").collect()
-    falls = dict.fromkeys(columns, 0)
-    ends: dict[str, float] = {}
-    for r in rows:
-        c = r["column"]
-        falls[c] += r["falls"]
-        if r["first"] is None:
-            continue
-        if c in ends and r["first"] < ends[c]:
-            falls[c] += 1
-        ends[c] = r["last"]
-    return falls
+    ends = parts.mapInPandas(
+        _partition_summary(columns), "part int, column string, first double, last double, falls bigint")
+    # One row per partition and column: joining the ends is a window of that length.
+    before = F.lag("last").over(Window.partitionBy("column").orderBy("part"))
+    joined = ends.where("first IS NOT NULL").withColumn("step", (F.col("first") < before).cast("bigint"))
+    totals = joined.groupBy("column").agg((F.sum("falls") + F.coalesce(F.sum("step"), F.lit(0))).alias("n"))
+    return dict.fromkeys(columns, 0) | {r["column"]: r["n"] for r in totals.collect()}
 
 
 def column_counts(df: DataFrame) -> tuple[int, dict[str, int], dict[str, int]]:
@@ -211,8 +204,11 @@ class Validation:
 
 
 def validate(df: DataFrame, target: str, task: str = "regression", order_by: Sequence[str] = (),
-             text_ids: bool = True) -> Validation:
-    """Check the target, text numbers, IDs, near-unique text, empty and repeated columns."""
+             text_ids: bool = True, exact: bool = True) -> Validation:
+    """Check the target, text numbers, IDs, near-unique text, empty and repeated columns.
+
+    ``exact=False`` judges by sketched distinct counts and shuffles no values.
+    """
     report = Validation()
 
     def note(column: str, check: str, action: str | None, detail: str) -> None:
@@ -221,7 +217,7 @@ def validate(df: DataFrame, target: str, task: str = "regression", order_by: Seq
             report.fixes[column] = action
 
     n_rows, filled, parsed = column_counts(df)
-    n_unique = report.n_unique = {r["column"]: r["n_unique"] for r in cardinality(df).collect()}
+    n_unique = report.n_unique = {r["column"]: r["n_unique"] for r in cardinality(df, exact=exact).collect()}
     text = [f.name for f in df.schema.fields if is_text(f.dataType) and f.name != target]
 
     if target not in df.columns:

@@ -163,13 +163,14 @@ def prepare(df: DataFrame, plan: dict, target: str, found: Profile | None = None
     return state
 
 
-def auto_prepare(df: DataFrame, target: str, task: str = "regression", order_by: Sequence[str] = ()) -> Prepared:
-    """Validate, fix, profile, and run the default plan."""
+def auto_prepare(df: DataFrame, target: str, task: str = "regression", order_by: Sequence[str] = (),
+                 exact: bool = True) -> Prepared:
+    """Validate, fix, profile, and run the default plan; ``exact=False`` decides by sketched distinct counts."""
     df = null_nan(df)
-    report = validate.validate(df, target, task, order_by)
+    report = validate.validate(df, target, task, order_by, exact=exact)
     fixes = report.fixes
     fixed = validate.apply_fixes(df, fixes)
-    found = profile(fixed, known_unique={c: n for c, n in report.n_unique.items() if c not in fixes})
+    found = profile(fixed, exact, known_unique={c: n for c, n in report.n_unique.items() if c not in fixes})
     state = prepare(fixed, default_plan(found, target), target, found)
     state.appliers.insert(0, lambda d: validate.apply_fixes(d, fixes))
     state.steps.insert(0, ("apply_fixes", list(fixes)))
