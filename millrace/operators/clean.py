@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import chunks, col, is_number, is_text, present
+from ..functions.columns import chunks, col, is_number, is_text, is_time, present
 from ..functions.order_stats import quantiles
 from ..functions.parsing import num_parse, time_parse
 from ..functions.value_counts import modes
@@ -150,10 +150,13 @@ def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def convert(df: DataFrame, columns: Sequence[str], kind: str = "numeric") -> DataFrame:
-    """``numeric``, ``datetime`` or ``string``; values that do not parse become null."""
+    """``numeric``, ``datetime`` or ``string``; values that do not parse become null.
+
+    Numbers are not read as times and stay as they are.
+    """
     makers = {
         "numeric": lambda f: col(f.name) if is_number(f.dataType) else num_parse(f),
-        "datetime": time_parse,
+        "datetime": lambda f: time_parse(f) if is_text(f.dataType) or is_time(f.dataType) else col(f.name),
         "string": lambda f: col(f.name) if is_text(f.dataType) else col(f.name).cast("string"),
     }
     make = makers.get(kind)

@@ -7,13 +7,15 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import chunks, col, is_number, is_text, number_names, text_names
 from ..functions.order_stats import quantiles
 from ..functions.storage import stored
-from ..functions.value_counts import cardinality, column_name, countable, value_counts
+from ..functions.value_counts import cardinality, column_name, countable, judged_cardinality, value_counts
 
 HIGH_CARDINALITY = 50
+COUNT_CUTS = (1, HIGH_CARDINALITY)
 SKEW_LIMIT = 1.0
 WIDE = 50  # columns per aggregate, to stay within generated-code limits
 BROADCAST_HASHES = 1_000_000  # 8 MB of row hashes
@@ -90,6 +92,12 @@ def constant_columns(df: DataFrame) -> DataFrame:
     return cardinality(df).where(F.col("n_unique") <= 1)
 
 
+def _comparable(field: T.StructField) -> Column:
+    """Maps cannot be grouped; their sorted entries can."""
+    c = col(field.name)
+    return F.array_sort(F.map_entries(c)).alias(field.name) if isinstance(field.dataType, T.MapType) else c
+
+
 def repeated_hashes(df: DataFrame) -> DataFrame:
     """``_hash_``: the 64-bit row hashes that occur more than once, stored."""
     hashes = df.select(F.xxhash64(*[col(c) for c in df.columns]).alias("_hash_")).groupBy("_hash_")
@@ -103,7 +111,7 @@ def duplicate_rows(df: DataFrame, broadcast_hashes: int = BROADCAST_HASHES) -> D
     bytes a row. Whole rows are compared just for hashes that repeat, if those are
     few enough to broadcast. Either way copies are counted map-side before a shuffle.
     """
-    df = df.select(*[col(c) for c in countable(df)])
+    df = df.select(*[_comparable(f) for f in df.schema.fields])
     repeated = repeated_hashes(df)
     if repeated.count() <= broadcast_hashes:
         hashed = df.withColumn("_hash_", F.xxhash64(*[col(c) for c in df.columns]))
@@ -192,6 +200,7 @@ class Profile:
     skewed: list[str]
     duplicates: int
     skew: dict[str, float | None] = field(default_factory=dict)
+    skipped: list[str] = field(default_factory=list)  # nested columns, whose values are not counted
 
     @property
     def high_cardinality(self) -> list[str]:
@@ -202,11 +211,11 @@ class Profile:
         return [c for c in self.dtypes if self.n_unique.get(c, 2) <= 1]
 
 
-def profile(df: DataFrame, exact: bool = True, known_unique: dict[str, int] | None = None) -> Profile:
+def profile(df: DataFrame, exact: bool = False, known_unique: dict[str, int] | None = None) -> Profile:
     """Row count, nulls, skew, cardinality and copies of a table.
 
-    Counts and skew share one scan. ``known_unique`` gives cardinalities found
-    before, so that only the other columns are counted.
+    Counts and skew share one scan. Distinct counts are exact near the limits the
+    plans use, or everywhere if ``exact``; ``known_unique`` gives those found before.
     """
     numeric, text = number_names(df), text_names(df)
     n_rows, nulls, skews = 0, {}, {}
@@ -220,7 +229,8 @@ def profile(df: DataFrame, exact: bool = True, known_unique: dict[str, int] | No
     unique = {c: n for c, n in (known_unique or {}).items() if c in nulls}
     rest = [c for c in countable(df) if c not in unique]
     if rest:
-        unique |= {r["column"]: r["n_unique"] for r in cardinality(df, rest, exact).collect()}
+        unique |= ({r["column"]: r["n_unique"] for r in cardinality(df, rest).collect()} if exact
+                   else judged_cardinality(df, COUNT_CUTS, rest, n_rows))
     return Profile(
         n_rows=n_rows,
         dtypes=dict(df.dtypes),
@@ -231,6 +241,7 @@ def profile(df: DataFrame, exact: bool = True, known_unique: dict[str, int] | No
         skewed=[c for c in numeric if skews[c] is not None and abs(skews[c]) > SKEW_LIMIT],
         duplicates=duplicate_rows(df).first()["duplicate_rows"],
         skew=skews,
+        skipped=[c for c in df.columns if c not in unique],
     )
 
 

@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 
 from ..functions.columns import chunks, col, is_number, is_text, is_time
 from ..functions.parsing import num_parse, text_number
-from ..functions.value_counts import cardinality, countable
+from ..functions.value_counts import cardinality, countable, judged_cardinality
+from .profile import COUNT_CUTS
 
 NUMERIC_SHARE = 0.9
 ID_SHARE = 0.98
@@ -175,9 +176,9 @@ def id_columns(df: DataFrame, target: str | None = None, order_by: Sequence[str]
     is an ID at once (``text_ids=False`` turns this off).
     """
     n_rows, _, parsed = column_counts(df)
-    near = [r["column"] for r in cardinality(df).collect()
-            if r["column"] != target and r["n_unique"] / max(n_rows, 1) > ID_SHARE]
-    return _ids(df, [c for c in df.columns if c in near], parsed, order_by, text_ids)
+    counts = judged_cardinality(df, [ID_SHARE * n_rows], n_rows=n_rows)
+    near = [c for c, n in counts.items() if c != target and n / max(n_rows, 1) > ID_SHARE]
+    return _ids(df, near, parsed, order_by, text_ids)
 
 
 # Whole report ------------------------------------------------------------------------
@@ -204,10 +205,11 @@ class Validation:
 
 
 def validate(df: DataFrame, target: str, task: str = "regression", order_by: Sequence[str] = (),
-             text_ids: bool = True, exact: bool = True) -> Validation:
+             text_ids: bool = True, exact: bool = False) -> Validation:
     """Check the target, text numbers, IDs, near-unique text, empty and repeated columns.
 
-    ``exact=False`` judges by sketched distinct counts and shuffles no values.
+    Distinct counts are exact where they decide something; far from every limit a
+    sketch is enough, unless ``exact`` asks for all of them.
     """
     report = Validation()
 
@@ -217,7 +219,12 @@ def validate(df: DataFrame, target: str, task: str = "regression", order_by: Seq
             report.fixes[column] = action
 
     n_rows, filled, parsed = column_counts(df)
-    n_unique = report.n_unique = {r["column"]: r["n_unique"] for r in cardinality(df, exact=exact).collect()}
+    if exact:
+        n_unique = {r["column"]: r["n_unique"] for r in cardinality(df).collect()}
+    else:
+        n_unique = judged_cardinality(df, (*COUNT_CUTS, WIDE_TEXT_SHARE * n_rows, ID_SHARE * n_rows),
+                                      n_rows=n_rows)
+    report.n_unique = n_unique
     text = [f.name for f in df.schema.fields if is_text(f.dataType) and f.name != target]
 
     if target not in df.columns:

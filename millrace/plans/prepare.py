@@ -164,8 +164,8 @@ def prepare(df: DataFrame, plan: dict, target: str, found: Profile | None = None
 
 
 def auto_prepare(df: DataFrame, target: str, task: str = "regression", order_by: Sequence[str] = (),
-                 exact: bool = True) -> Prepared:
-    """Validate, fix, profile, and run the default plan; ``exact=False`` decides by sketched distinct counts."""
+                 exact: bool = False) -> Prepared:
+    """Validate, fix, profile, and run the default plan; ``exact`` counts distinct values of every column exactly."""
     df = null_nan(df)
     report = validate.validate(df, target, task, order_by, exact=exact)
     fixes = report.fixes

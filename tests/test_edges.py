@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import null_nan
 from millrace.functions.running import running_sum
-from millrace.functions.value_counts import cardinality, modes
+from millrace.functions.value_counts import cardinality, judged_cardinality, modes
 from millrace.operators import charts, clean, features, folds, metrics, profile, report, validate
 from millrace.operators.importance import permuted_rows
 from millrace.sources import sinks, tables
@@ -270,3 +270,29 @@ def test_odd_column_names(spark):
     assert rows(clean.impute(df, ["x.y"], "drop_rows")) == [(1.0, "a")]
     assert features.label_encode(df, ["a`b"]).columns == ["x.y", "a`b"]
     assert profile.describe(df).first()["column"] == "x.y"
+
+
+def test_nested_columns(spark):
+    df = spark.sql("SELECT map('a', 1, 'b', id) AS m, array(1) AS l, 1 AS k FROM range(3) UNION ALL "
+                   "SELECT map('b', 2L, 'a', 1) AS m, array(1) AS l, 1 AS k")
+    assert profile.duplicate_rows(df).first()[0] == 1
+    found = profile.profile(df)
+    assert found.skipped == ["m", "l"] and found.constants == ["k"]
+
+
+def test_sketched_counts_decide_like_exact_ones(spark):
+    df = spark.range(20000).selectExpr("id", "id % 50 AS fifty", "id % 51 AS more", "concat('x', id % 10001) AS half",
+                                       "concat('x', id % 9000) AS less", "CASE WHEN id < 19500 THEN id ELSE 0 END AS almost")
+    exact = judged_cardinality(df, [], n_rows=20000)
+    cuts = (1, 50, 10000, 19600)
+    quick = judged_cardinality(df, cuts, n_rows=20000, small_cells=0)
+    assert all((quick[c] > cut) == (exact[c] > cut) for c in exact for cut in cuts)
+    assert [quick[c] for c in ("id", "fifty", "more", "half", "almost")] == [20000, 50, 51, 10001, 19500]
+    assert validate.validate(df, "more", order_by=["id"]).fixes == {"id": "drop_id", "half": "drop_high_cardinality"}
+    assert validate.validate(df, "more", order_by=["id"], exact=True).n_unique == exact
+
+
+def test_numbers_stay_when_made_times(spark):
+    df = spark.createDataFrame([(5, "2020-01-02T03:04:05", "12345")], "n int, t string, y string")
+    out = clean.convert(df, ["n", "t", "y"], "datetime")
+    assert [str(v) for v in out.first()] == ["5", "2020-01-02 03:04:05", "None"]
