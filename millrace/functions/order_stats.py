@@ -9,7 +9,8 @@ the next bracket is a closed interval of real values; a pass ends a target as
 soon as both agree. A value held by a third of all rows is one bucket.
 
 The first scale is logarithmic (64 steps per power of two), which separates
-signs and magnitudes; the later ones are linear with 4096 steps. A double has
+signs and magnitudes; the later ones are linear with 4096 steps. Large integers,
+such as hashes, start linear between their known ends. A double has
 52 mantissa bits, so a handful of passes settles any input exactly.
 """
 
@@ -34,6 +35,7 @@ WIDE = 50  # columns taken together
 
 
 EXACT_DOUBLE = 2**53
+LONG_SPAN = 2**63
 
 
 def _family(dtype: T.DataType, low: object, high: object) -> str:
@@ -98,15 +100,22 @@ def _targets(spark, wanted: list[tuple], group_type: T.DataType) -> DataFrame:
 
 
 def _refine(df: DataFrame, members: list[str], wanted: list[tuple], by: str | None, group_type: T.DataType,
-            family: str) -> dict:
-    """``wanted`` holds ``(tid, g, cid, rank)``; returns ``tid -> value``."""
+            family: str, known: dict[tuple, tuple] | None = None) -> dict:
+    """``wanted`` holds ``(tid, g, cid, rank)``; returns ``tid -> value``.
+
+    With the ``known`` smallest and largest value per ``(g, cid)`` the linear
+    passes start at once.
+    """
     spark = df.sparkSession
     kind = T._parse_datatype_string(family)
     stats = [F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")]
-    long = _long(df, dict(enumerate(members)), family, by)
-    hist = long.groupBy("g", "cid", _octave(F.col("v")).alias("b")).agg(*stats)
-    rows = _locate(hist, _targets(spark, wanted, group_type), ["g", "cid"]).collect()
     place = {tid: (g, cid) for tid, g, cid, _ in wanted}
+    if known:
+        rows = [dict(zip(("tid", "rank", "lo", "hi"), (tid, rank, *known[(g, cid)]))) for tid, g, cid, rank in wanted]
+    else:
+        long = _long(df, dict(enumerate(members)), family, by)
+        hist = long.groupBy("g", "cid", _octave(F.col("v")).alias("b")).agg(*stats)
+        rows = _locate(hist, _targets(spark, wanted, group_type), ["g", "cid"]).collect()
     found: dict[int, object] = {}
     while True:
         found.update({r["tid"]: r["lo"] for r in rows if r["lo"] == r["hi"]})
@@ -191,7 +200,13 @@ def order_statistics(
         if cells <= small_cells:
             values = _sorted_pass(_long(df, dict(enumerate(members)), family, by), wanted, group_type)
         else:
-            values = _refine(df, members, wanted, by, group_type, family)
+            known = None
+            if family == "bigint":
+                known = {(r["g"], cid): (r[f"lo{longs.index(c)}"], r[f"hi{longs.index(c)}"])
+                         for r in counted for cid, c in enumerate(members) if (r["g"], c) in slots}
+                if any(hi - lo >= LONG_SPAN for lo, hi in known.values()):
+                    known = None  # the difference of two values would overflow
+            values = _refine(df, members, wanted, by, group_type, family, known)
         restore = int if family == "double" else lambda v: v
         at = {(g, cid, r): restore(values[tid]) if members[cid] in longs else values[tid] for tid, g, cid, r in wanted}
         for (g, c), (n, picks) in slots.items():

@@ -67,3 +67,11 @@ def test_infinities(spark):
     df = spark.createDataFrame([(float("-inf"),), (1.0,), (float("inf"),)], "v double")
     found = order_statistics(df, ["v"], lambda n: [0, 1, 2], small_cells=0)
     assert found[(0, "v")][1] == [float("-inf"), 1.0, float("inf")]
+
+
+def test_large_integers_start_from_their_ends(spark):
+    values = sorted(int(v) for v in RNG.integers(2**54, 2**60, 3000))
+    rows = [("a", v) for v in values] + [("b", 2**55), (None, 1)]
+    df = spark.createDataFrame(rows, "g string, v bigint")
+    found = order_statistics(df, ["v"], lambda n: [0, n // 3, n - 1], "g", small_cells=0)
+    assert found == {("a", "v"): (3000, [values[0], values[1000], values[-1]]), ("b", "v"): (1, [2**55] * 3)}

@@ -89,6 +89,13 @@ def test_folds_cover_training_rows_once(table):
     assert train.select("train_fold").distinct().count() == 3
 
 
+def test_fold_fits_skip_files(table):
+    made, _, _ = selection.modelling_table(table.drop("kind"), "amount", "regression", ["id"])
+    text = made.where("NOT is_test AND fold != 2")._jdf.queryExecution().executedPlan().toString()
+    filters = text[text.index("PartitionFilters"):].split("]")[0]
+    assert "is_test" in filters and "fold" in filters
+
+
 def test_ridge_equals_closed_form(spark, table):
     rows = np.array(table.select("a", "b", "amount").collect(), dtype=float)
     x, y, alpha = rows[:, :2], rows[:, 2] + np.sin(rows[:, 0]), 25.0
