@@ -106,7 +106,9 @@ def _predict(model: Model, rows: DataFrame, task: str, extra: Sequence[str] = ()
 
 
 class _Trainer:
-    def __init__(self, table: DataFrame, task: str, metric: str, n_features: int, n_classes: int, cv: int):
+    def __init__(self, table: DataFrame, task: str, metric: str, n_features: int, n_classes: int, cv: int,
+                 layout: Sequence[str] = ()):
+        self.layout = list(layout)
         self.train = table.where(~F.col("is_test"))
         self.test = table.where("is_test")
         self.task, self.metric, self.cv = task, metric, cv
@@ -125,8 +127,12 @@ class _Trainer:
         return TrainingFacts(n, self.n_features, self.n_classes, math.sqrt(spread / n) if n else 0.0)
 
     def fit(self, build: Builder, fold: str | None = None, out: int | None = None) -> Model:
-        """One fit, on all training rows or without one fold."""
+        """One fit, on all training rows or without one fold; laid out by key if asked."""
         rows = self.train if fold is None else self.train.where(F.col(fold) != out)
+        if self.layout:
+            parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            keys = [col(c) for c in self.layout]
+            rows = rows.repartition(parts, *keys).sortWithinPartitions(*keys)
         return build(self.facts(fold, out)).fit(rows)
 
     def scores(self, predicted: DataFrame, by: Sequence[str] = ()) -> dict:
@@ -173,12 +179,13 @@ def params_table(model: Model, df: DataFrame) -> DataFrame:
 
 
 def evaluate_candidates(table: DataFrame, task: str, metric: str, n_features: int, n_classes: int, cv: int,
-                        builders: dict[str, Builder], parallelism: int = 4) -> dict[str, tuple[dict, Model]]:
+                        builders: dict[str, Builder], parallelism: int = 4,
+                        layout: Sequence[str] = ()) -> dict[str, tuple[dict, Model]]:
     """Score and model per candidate; one that fails is logged and left out.
 
     Like CrossValidator, independent fits are submitted from a few driver threads.
     """
-    trainer = _Trainer(table, task, metric, n_features, n_classes, cv)
+    trainer = _Trainer(table, task, metric, n_features, n_classes, cv, layout)
     with ThreadPoolExecutor(max(1, parallelism)) as pool:
         def submit(run, *args):
             return pool.submit(inheritable_thread_target(table.sparkSession)(run), *args)
@@ -204,7 +211,7 @@ def evaluate_candidates(table: DataFrame, task: str, metric: str, n_features: in
 def train_and_evaluate(
     df: DataFrame, target: str, task: str, metric: str | None = None, *, keys: Sequence[str], cv: int = 5,
     test_size: float = 0.2, seed: int = 42, order: str | None = None, settings: Settings = Settings(),
-    builders: dict[str, Builder] | None = None, parallelism: int = 4,
+    builders: dict[str, Builder] | None = None, parallelism: int = 4, reproducible: bool = False,
 ) -> Selection:
     """Compare the candidates on the training part and rank them.
 
@@ -212,11 +219,16 @@ def train_and_evaluate(
     and are not features. ``score`` is the mean over ``cv`` folds, ``train_score``
     over three folds (in-sample below 100 rows), ``holdout_score`` comes from the
     rows kept out of all fits.
+
+    Spark ML samples trees along the row layout, which may differ from run to run.
+    ``reproducible`` lays rows out by key before each fit, at one shuffle a fit, so
+    that equal seeds give equal models.
     """
     metric = check_metric(task, metric)
     table, names, n_classes = modelling_table(df, target, task, keys, cv, test_size, seed, order)
     results = evaluate_candidates(table, task, metric, len(names), n_classes, cv,
-                                  builders or candidates(task, settings), parallelism)
+                                  builders or candidates(task, settings), parallelism,
+                                  keys if reproducible else ())
     sign = -1 if metric in HIGHER_IS_BETTER else 1
 
     def place(row: dict) -> tuple:

@@ -96,6 +96,15 @@ def test_fold_fits_skip_files(table):
     assert "is_test" in filters and "fold" in filters
 
 
+def test_same_seed_same_scores(table):
+    def run():
+        got = selection.train_and_evaluate(
+            table.drop("kind"), "amount", "regression", "rmse", keys=["id"],
+            builders={"RandomForestRegressor": models.forest_regressor(TINY)}, reproducible=True)
+        return got.leaderboard.drop("params").collect(), got.importance.collect()
+    assert run() == run()
+
+
 def test_ridge_equals_closed_form(spark, table):
     rows = np.array(table.select("a", "b", "amount").collect(), dtype=float)
     x, y, alpha = rows[:, :2], rows[:, 2] + np.sin(rows[:, 0]), 25.0
