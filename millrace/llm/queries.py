@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, quality, secret_scan
+from . import exact_dedup, language, licenses, mixing, packing, quality, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("places")
 
 
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), language.held_out("id").alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+@query("op3_curve_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query("op4_secret_scan")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(read(spark, sf_dir, "documents"))
