@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, licenses, mixing, packing, quality, secret_scan
+from . import exact_dedup, language, licenses, mixing, packing, quality, secret_scan, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,24 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "posterior")
 
 
+@query("op6_warc", """
+WITH full_pages AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+digests AS (
+  SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM full_pages),
+ranked AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000
+            THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS first_id
+  FROM digests)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM ranked
+""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_pages(read(spark, sf_dir, "pages"))
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                          F.col("refers_to_key").alias("refers_to"))
+
+
 @query("op8_entropy_mixing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select(
