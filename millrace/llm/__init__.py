@@ -1 +1,10 @@
-"""Operators for preparing large text corpora. Nothing else in the library imports this package."""
+"""Operators for preparing large text corpora. Nothing else in the library imports this package.
+
+Functions of this package travel to executors by value, so executors need not have it installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

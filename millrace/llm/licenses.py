@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
@@ -139,7 +138,6 @@ class Automaton:
         return best
 
 
-@lru_cache(maxsize=8)
 def compiled(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, Automaton]]:
     return [(label, Automaton(t)) for label, t in templates]
 
