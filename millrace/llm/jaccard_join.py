@@ -30,14 +30,13 @@ from pyspark.sql import types as T
 from millrace.functions.columns import col
 from millrace.functions.storage import stored
 
+from . import bit_filter
 from .batches import arrow_types, rows_to_batches
 from .components import components
 from .shingles import shingle_set
 
 #: Counters of the shingle frequencies (as bits), and how many go in one row. Their size does not grow with the data.
 COUNTER_BITS, CHUNK_BITS = 22, 16
-#: Bits of the filter that tells which documents' whole sets are needed (as bits).
-FILTER_BITS = 25
 
 
 def _lower(text: bytes) -> bytes:
@@ -132,29 +131,16 @@ def _may_be_similar(n: Column, at: Column, m: Column, to: Column, percent: int)
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (most * (100 + percent) >= percent * (n + m))
 
 
-def _needed(ids: DataFrame) -> np.ndarray:
-    """A filter over the ids' hashes: bits of fixed number, whatever the number of ids."""
-    key = F.xxhash64("id")
-    spots = ids.select(F.explode(F.array(*[F.shiftrightunsigned(key, s).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) for s in (0, 20, 39)])).alias("spot"))
-    words = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for row in words.toLocalIterator():
-        out[row.word] = row.bits
-    return out.view(np.uint64)
-
-
 def _whole_sets(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """id and set of (at least) the documents named; the texts stay where they are."""
-    bits = docs.sparkSession.sparkContext.broadcast(_needed(ids))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter.build(ids.select(F.xxhash64("id").alias("key"))))
 
     def make() -> tuple[Callable, Callable]:
         words = bits.value
 
         def one(key: int, hashes: Callable) -> tuple | None:
-            for s in (0, 20, 39):
-                spot = ((key & 0xFFFFFFFFFFFFFFFF) >> s) & ((1 << FILTER_BITS) - 1)
-                if not int(words[spot >> 6]) >> (spot & 63) & 1:
-                    return None
+            if not bit_filter.may_hold(words, np.array([key], np.int64).view(np.uint64))[0]:
+                return None
             return (hashes().tobytes(),)
 
         return one, lambda: iter(())

@@ -29,16 +29,18 @@ CLOSE = 1e-7
 ROUNDS = 60
 #: Hash bins of a refinement step (as bits), and steps.
 BIN_BITS, BIN_STEPS = 10, 3
+#: Ranges of extra copies of a source: how often a document in the way is passed over.
+FILLS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 _EXACT = "decimal(38,6)"
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *more: Column) -> DataFrame:
     """id, source, size: the words of every whole text."""
     words = F.regexp_count(col(text_col), F.lit(WORD)).cast("bigint")
     return docs.select(col(id_col).alias("id"), col(source_col).alias("source"),
-                       F.coalesce(words, F.lit(0).cast("bigint")).alias("size"))
+                       F.coalesce(words, F.lit(0).cast("bigint")).alias("size"), *more)
 
 
 def source_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -115,53 +117,85 @@ def _unit_hash(key: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key.cast("string"), F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def _rounded(rated: DataFrame, targets: DataFrame, cap: int, bits: int = BIN_BITS, steps: int = BIN_STEPS) -> DataFrame:
-    """source, cut: documents with ``order`` below the cut take their extra copy.
+def _rounded(rated: DataFrame, targets: DataFrame, cap: int, bits: int = BIN_BITS, steps: int = BIN_STEPS, rounds: int = FILLS) -> DataFrame:
+    """source, cuts: documents whose ``order`` lies in one of the ranges take their extra copy.
 
-    ``order`` is the hash less the rate's fraction: hashes alone would add the extra copies whose order is below 0;
-    the cut moves that line to where the tokens meet the target.
+    ``order`` is the hash less the rate's fraction: hashes alone would add the extra copies whose order is below 0.
+    The first range ends where the tokens would pass the target; the next ones pass over the document in the way and
+    go on with what still fits.
     """
     base = F.floor(F.col("rate"))
+    ranges = F.array().cast("array<struct<low double, high double>>")
     wants = (rated.groupBy("source").agg(F.sum(base * F.col("size")).alias("sure")).alias("b")
              .join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
-             .select("t.source", (F.col("target") - F.col("sure")).alias("want"), F.lit(-1.0).alias("cut"), F.lit(0.0).alias("below")))
-    state, width = stored(wants, "cuts"), 2.0
+             .select("t.source", (F.col("target") - F.col("sure")).alias("want"), F.lit(-1.0).alias("low"), F.lit(-1.0).alias("cut"), ranges.alias("cuts")))
+    state = stored(wants, "cuts")
     extra = rated.filter((F.col("rate") < cap) & (F.col("size") > 0)).select("source", "size", "order")
-    for step in range(steps):
-        width /= 1 << bits
-        slack = F.col("r.size") / 2 if step == steps - 1 else F.lit(0.0)  # the last bin may pass the target if that is nearer
-        place = F.floor((F.col("order") - F.col("cut")) / F.lit(width))
-        bins = (extra.alias("e").join(state.alias("s"), F.col("e.source").eqNullSafe(F.col("s.source")))
-                .select("s.source", "size", "cut", "want", "below", place.alias("bin")).filter(F.col("bin").between(0, (1 << bits) - 1))
-                .groupBy("source", "bin").agg(F.sum("size").alias("size")))
-        running = F.sum("size").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-        fits = (bins.withColumn("upto", running).alias("r").join(state.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
-                .filter(F.col("below") + F.col("upto") - slack <= F.col("want"))
-                .groupBy(F.col("s.source").alias("source")).agg(F.max("bin").alias("bin"), F.max("upto").alias("upto")))
-        state = stored(state.alias("s").join(fits.alias("f"), F.col("s.source").eqNullSafe(F.col("f.source")), "left").select(
-            "s.source", "want", (F.col("cut") + F.coalesce(F.col("bin") + 1, F.lit(0)) * F.lit(width)).alias("cut"),
-            (F.col("below") + F.coalesce(F.col("upto"), F.lit(0))).alias("below")), "cuts")
-    return state.select("source", "cut")
+    for _ in range(rounds):
+        width = 2.0
+        for step in range(steps):
+            width /= 1 << bits
+            slack = F.col("r.size") / 2 if step == steps - 1 else F.lit(0.0)  # the last bin may pass the target if that is nearer
+            place = F.floor((F.col("order") - F.col("cut")) / F.lit(width))
+            bins = (extra.alias("e").join(state.alias("s"), F.col("e.source").eqNullSafe(F.col("s.source")))
+                    .select("s.source", "size", place.alias("bin")).filter(F.col("bin").between(0, (1 << bits) - 1))
+                    .groupBy("source", "bin").agg(F.sum("size").alias("size")))
+            running = F.sum("size").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+            fits = (bins.withColumn("upto", running).alias("r").join(state.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
+                    .filter(F.col("upto") - slack <= F.col("want"))
+                    .groupBy(F.col("s.source").alias("source")).agg(F.max("bin").alias("bin"), F.max("upto").alias("upto")))
+            state = stored(state.alias("s").join(fits.alias("f"), F.col("s.source").eqNullSafe(F.col("f.source")), "left").select(
+                "s.source", (F.col("want") - F.coalesce("upto", F.lit(0))).alias("want"), "low",
+                (F.col("cut") + F.coalesce(F.col("bin") + 1, F.lit(0)) * F.lit(width)).alias("cut"), "cuts"), "cuts")
+        state = state.select("source", "want", (F.col("cut") + F.lit(width)).alias("low"), (F.col("cut") + F.lit(width)).alias("cut"),
+                             F.concat("cuts", F.array(F.struct("low", F.col("cut").alias("high")))).alias("cuts"))
+    return state.select("source", "cuts")
+
+
+def _rated(rows: DataFrame, known: DataFrame, cap: int, seed: int) -> DataFrame:
+    """``rows`` (id, source, size) with their source's row of ``known``, rate, and order among extra copies."""
+    rate = F.when(F.col("full"), F.lit(float(cap))).otherwise(_rate(cap))
+    kept = [c for c in known.columns if c != "source"]
+    return (rows.alias("r").join(known.alias("k"), F.col("r.source").eqNullSafe(F.col("k.source")))
+            .select("r.*", *kept).withColumn("rate", rate)
+            .withColumn("order", _unit_hash(F.col("id"), seed) - (F.col("rate") - F.floor("rate"))))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = 7) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, rate, copies, taken (copies x size)."""
-    rows = stored(sizes(docs, id_col, text_col, source_col), "sizes")
+def _copies(cap: int) -> Column:
+    extra = (F.col("rate") < cap) & F.exists("cuts", lambda r: (F.col("order") >= r["low"]) & (F.col("order") < r["high"]))
+    return F.when(F.col("size") > 0, F.floor("rate") + extra.cast("bigint")).otherwise(F.lit(0)).cast("bigint")
+
+
+def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = 7) -> DataFrame:
+    """What the mix needs to know of each source of ``rows`` (id, source, size): one small row per source."""
     histogram = stored(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "size-histogram")
     sources = histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     targets = stored(source_targets(sources, weights, share, cap), "targets")
     solved = balance(histogram, targets, cap)
-    known = targets.alias("t").join(solved.alias("b"), F.col("t.source").eqNullSafe(F.col("b.source"))).select(
-        "t.source", "t.source_size", "t.target", "unit", "lam", "full")
-    rate = F.when(F.col("full"), F.lit(float(cap))).otherwise(_rate(cap))
-    rated = (rows.alias("r").join(known.alias("k"), F.col("r.source").eqNullSafe(F.col("k.source")))
-             .select("id", "r.source", "size", "source_size", "target", rate.alias("rate"))
-             .withColumn("order", _unit_hash(F.col("id"), seed) - (F.col("rate") - F.floor("rate"))))
-    rated = stored(rated, "rates")
-    cuts = _rounded(rated, targets, cap)
-    extra = (F.col("rate") < cap) & (F.col("order") < F.col("cut"))
-    copies = F.when(F.col("size") > 0, F.floor("rate") + extra.cast("bigint")).otherwise(F.lit(0)).cast("bigint")
-    return (rated.alias("r").join(cuts.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")))
-            .select("id", "r.source", "size", "source_size", "target", "rate", copies.alias("copies"))
-            .withColumn("taken", F.col("copies") * F.col("size")))
+    known = stored(targets.alias("t").join(solved.alias("b"), F.col("t.source").eqNullSafe(F.col("b.source"))).select(
+        "t.source", "t.source_size", "t.target", "unit", "lam", "full"), "multipliers")
+    cuts = _rounded(_rated(rows, known, cap, seed), targets, cap)
+    return known.alias("k").join(cuts.alias("c"), F.col("k.source").eqNullSafe(F.col("c.source"))).select("k.*", "cuts")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = 7) -> DataFrame:
+    """One row per document: id, source, size, source_size, target, rate, copies, taken (copies x size)."""
+    rows = stored(sizes(docs, id_col, text_col, source_col), "sizes")
+    known = stored(plan(rows, weights, share, cap, seed), "mix-plan")
+    return (_rated(rows, known, cap, seed).withColumn("copies", _copies(cap))
+            .select("id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+         weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = 7) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as its copies, none for no copies.
+
+    The texts stay where they are: the sources' few numbers come to the documents, whose words are counted again.
+    """
+    rows = stored(sizes(docs, id_col, text_col, source_col), "sizes")
+    known = stored(plan(rows, weights, share, cap, seed), "mix-plan")
+    whole = F.struct(*[col(c) for c in docs.columns]).alias("document")
+    again = sizes(docs.withColumn("_document", whole), id_col, text_col, source_col, F.col("_document"))
+    rated = _rated(again, known, cap, seed).withColumn("copies", _copies(cap).cast("int")).filter("copies > 0")
+    return rated.select(F.explode(F.array_repeat("_document", F.col("copies"))).alias("_document")).select("_document.*")

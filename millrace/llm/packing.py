@@ -2,7 +2,7 @@
 
 Token ids are hashed into a few random directions; the mean over a document is its vector, and the Hilbert key of the
 vector orders documents so that neighbours are alike. Documents are range-partitioned and sorted by that key, and each
-partition fills its sequences in order, cutting documents where a sequence is full. What is left over at a
+partition fills its sequences in order, cutting documents where a sequence is full. Long documents travel in several rows. What is left over at a
 partition's end is cut into sequences whose lengths are powers of two, so nothing is padded.
 
 Defined cases: a null or empty text is the end token alone; texts with equal keys are ordered by id; a key that very
@@ -12,9 +12,10 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,20 +24,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.columns import col
 from millrace.functions.storage import stored
 
-from .batches import arrow_types, per_text, rows_to_batches
+from .batches import arrow_types, rows_to_batches
 
 SEQUENCE = 1024
 END = 0
 DIMS, BITS = 3, 16
 #: Tokens that a partition packs, about.
 PARTITION_TOKENS = 1 << 21
-#: Word pieces whose ids a task keeps; then it starts anew.
+#: Text pieces whose ids a task keeps; then it starts anew.
 REMEMBERED = 300_000
 
-_BEFORE_BLANK = re.compile(r"(?<=\S)(?= )")
-_BLANK_AFTER_BLANK = re.compile(r"\s ")
+#: Tokens of a document that travel in one row, so that rows and partitions are of like size.
+ROW_TOKENS = 8192
+
+#: Unicode's white space, one character.
+_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Runs of letters and digits with one blank before them and inner apostrophes, and what stands between such runs.
+_PIECES = re.compile(rf"{_SPACE}?[^\W_]+(?:'[^\W_]+)*|(?:[^\w']|_|'[^\W_]*)+?(?={_SPACE}?[^\W_]|\Z)")
 
 
 def default_tokenizer() -> str:
@@ -46,40 +53,31 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Token ids of whole texts, with the ids of words remembered.
+    """Token ids of whole texts, with the ids of pieces remembered.
 
-    The vocabulary never joins a blank to what stands before it, so a text falls into independent words in front of
-    every blank that follows a non-blank.
+    The tokenizer never joins tokens across the borders of ``_PIECES``, so pieces are encoded on their own.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.vocabulary = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
 
-    def words(self, text: str) -> list[str]:
-        if _BLANK_AFTER_BLANK.search(text):
-            return _BEFORE_BLANK.split(text)
-        first, *rest = text.split(" ")
-        words = [" " + w for w in rest]
-        return [first, *words] if first else words
-
     def ids(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
-        words = self.words(text)
-        try:
-            return np.frombuffer(b"".join([self.known[w] for w in words]), np.uint32)
-        except KeyError:
-            pass
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({w for w in words if w not in self.known})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, np.uint32).tobytes()
-        return np.frombuffer(b"".join([self.known[w] for w in words]), np.uint32)
+        pieces = _PIECES.findall(text)
+        new = [p for p in set(pieces) if p not in self.known]
+        if new:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+                new = list(set(pieces))
+            for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
+                self.known[p] = np.array(e.ids, self.kind).tobytes()
+        return np.frombuffer(b"".join([self.known[p] for p in pieces]), self.kind)
 
 
 def directions(ids: int, dims: int = DIMS, seed: int = 11) -> np.ndarray:
@@ -117,60 +115,73 @@ def hilbert_key(point: np.ndarray, bits: int = BITS) -> int:
     return key
 
 
-def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end: int = END) -> DataFrame:
-    """id, n (tokens with the end token), key (Hilbert) and tokens (little-endian 32-bit ids)."""
+def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end: int = END,
+            row_tokens: int = ROW_TOKENS) -> DataFrame:
+    """Rows of at most ``row_tokens`` tokens: id, start, doc_tokens (with the end token), key (Hilbert) and tokens."""
     where = path or default_tokenizer()
+    source = docs.select(col(id_col).alias("id"), col(text_col).cast("binary").alias("text"))
+    schema = T.StructType([source.schema["id"], *T._parse_datatype_string("start long, doc_tokens long, key long, tokens binary").fields])
+    types = arrow_types(schema)
 
-    def make() -> Callable[[bytes], tuple]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(where)
-        table = directions(encoder.tokenizer.get_vocab_size() + 1)
+        table = directions(encoder.vocabulary + 1)
 
-        def one(raw: bytes) -> tuple:
-            ids = np.append(encoder.ids(raw.decode()), np.uint32(end)).astype("<u4")
-            mean = table[ids].sum(0, dtype=np.float64) / np.sqrt(len(ids))
-            cell = np.clip((np.tanh(mean / 4) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
-            return len(ids), hilbert_key(cell), ids.tobytes()
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for i, text in zip(*batch.columns):
+                    ids = np.append(encoder.ids((text.as_py() or b"").decode()), encoder.kind.type(end))
+                    mean = sum(table[ids[k:k + 65536]].sum(0, dtype=np.float64) for k in range(0, len(ids), 65536)) / np.sqrt(len(ids))
+                    cell = np.clip((np.tanh(mean / 4) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+                    key = hilbert_key(cell)
+                    for start in range(0, len(ids), row_tokens):
+                        yield i, (start, len(ids), key, ids[start:start + row_tokens].tobytes())
 
-        return one
+        yield from rows_to_batches(rows(), types)
 
-    return per_text(docs, make, "n long, key long, tokens binary", id_col, text_col)
+    return source.mapInArrow(run, schema)
 
 
 def fill(rows: Iterator[tuple], sequence: int = SEQUENCE) -> Iterator[tuple]:
-    """(id, start, length, ids_crc32, doc_tokens, sequence, offset) of the documents (id, n, ids) in their order.
+    """(id, (start, length, ids_crc32, doc_tokens, sequence, offset)) of rows (id, start, doc_tokens, ids) in their order.
 
-    The last, partial sequence is held back and cut into powers of two.
+    Rows that go on where the last one of their document ended make one piece. The last, partial sequence is held back
+    and cut into powers of two.
     """
     number, used, held = 0, 0, []
-    for i, n, ids in rows:
-        start = 0
-        while start < n:
-            length = min(n - start, sequence - used)
-            held.append((i, start, length, ids[4 * start:4 * (start + length)], n))
-            start, used = start + length, used + length
+    for i, at, n, ids in rows:
+        done = 0
+        while done < len(ids):
+            length = min(len(ids) - done, sequence - used)
+            held.append([i, at + done, n, ids[done:done + length]])
+            done, used = done + length, used + length
             if used == sequence:
                 yield from _placed(held, number)
                 number, used, held = number + 1, 0, []
-    left = [1 << b for b in range(sequence.bit_length() - 1, -1, -1) if used >> b & 1]
-    for size in left:
+    for size in [1 << b for b in range(sequence.bit_length() - 1, -1, -1) if used >> b & 1]:
         part, room = [], size
         while room:
-            i, start, length, ids, n = held[0]
-            take = min(room, length)
-            part.append((i, start, take, ids[:4 * take], n))
-            held[0] = (i, start + take, length - take, ids[4 * take:], n)
-            room -= take
-            if take == length:
+            i, at, n, ids = held[0]
+            part.append([i, at, n, ids[:room]])
+            if len(ids) > room:
+                held[0] = [i, at + room, n, ids[room:]]
+            else:
                 held.pop(0)
+            room -= len(part[-1][3])
         yield from _placed(part, number)
         number += 1
 
 
-def _placed(pieces: list[tuple], number: int) -> Iterator[tuple]:
-    offset = 0
-    for i, start, length, ids, n in pieces:
-        yield i, (start, length, zlib.crc32(ids), n, number, offset)
-        offset += length
+def _placed(pieces: list[list], number: int) -> Iterator[tuple]:
+    offset, k = 0, 0
+    while k < len(pieces):
+        i, at, n, ids = pieces[k]
+        k += 1
+        while k < len(pieces) and pieces[k][0] == i and pieces[k][1] == at + len(ids):
+            ids = np.concatenate([ids, pieces[k][3]])
+            k += 1
+        yield i, (at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n, number, offset)
+        offset += len(ids)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, sequence: int = SEQUENCE) -> DataFrame:
@@ -182,16 +193,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     if sequence & (sequence - 1):
         raise ValueError("sequences must be a power of two long")
     tokens = stored(encoded(docs, id_col, text_col, path), "tokens")
-    total = tokens.agg(F.sum("n")).first()[0] or 0
-    ordered = (tokens.repartitionByRange(max(1, -(-total // PARTITION_TOKENS)), "key", "id").sortWithinPartitions("key", "id")
-               .select("id", "n", "tokens"))
-    fields = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    schema = T.StructType([ordered.schema["id"], *T._parse_datatype_string(fields).fields])
+    total = tokens.filter("start = 0").agg(F.sum("doc_tokens")).first()[0] or 0
+    order = ["key", "id", "start"]
+    ordered = (tokens.repartitionByRange(max(1, -(-total // PARTITION_TOKENS)), *order).sortWithinPartitions(*order)
+               .select("id", "start", "doc_tokens", "tokens"))
+    schema = T.StructType([ordered.schema["id"], *T._parse_datatype_string(
+        "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long").fields])
     types = arrow_types(schema)
+    kind = Encoder(path or default_tokenizer()).kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        rows = ((i, n.as_py(), t.as_py()) for b in batches for i, n, t in zip(b.column(0), b.column(1), b.column(2)))
+        rows = ((i.as_py(), at.as_py(), n.as_py(), np.frombuffer(t.as_py(), kind)) for b in batches for i, at, n, t in zip(*b.columns))
         placed = ((i, (*v[:4], first + v[4], v[5])) for i, v in fill(rows, sequence))
         yield from rows_to_batches(placed, types, 8192)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, licenses, mixing, packing, quality, secret_scan, warc
+from . import exact_dedup, jaccard_join, language, licenses, mixing, packing, quality, secret_scan, suffix_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,12 +76,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.col("refers_to_key").alias("refers_to"))
 
 
+@query("op7_jaccard_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.similar_components(read(spark, sf_dir, "documents"), size=4, percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 @query("op8_entropy_mixing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+@query("op9_suffix_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op10_exact_dedup", r"""
 WITH normal AS (
   SELECT doc_id, coalesce(length(text), 0) AS n,
