@@ -131,22 +131,23 @@ def _rounded(rated: DataFrame, targets: DataFrame, cap: int, bits: int = BIN_BIT
              .select("t.source", (F.col("target") - F.col("sure")).alias("want"), F.lit(-1.0).alias("low"), F.lit(-1.0).alias("cut"), ranges.alias("cuts")))
     state = stored(wants, "cuts")
     extra = rated.filter((F.col("rate") < cap) & (F.col("size") > 0)).select("source", "size", "order")
-    for _ in range(rounds):
+    for turn in range(rounds):
         width = 2.0
         for step in range(steps):
             width /= 1 << bits
-            slack = F.col("r.size") / 2 if step == steps - 1 else F.lit(0.0)  # the last bin may pass the target if that is nearer
+            last = step == steps - 1 and turn == rounds - 1
+            slack = F.col("r.size") / 2 if last else F.lit(0.0)  # the last bin may pass the target if that is nearer
             place = F.floor((F.col("order") - F.col("cut")) / F.lit(width))
             bins = (extra.alias("e").join(state.alias("s"), F.col("e.source").eqNullSafe(F.col("s.source")))
                     .select("s.source", "size", place.alias("bin")).filter(F.col("bin").between(0, (1 << bits) - 1))
                     .groupBy("source", "bin").agg(F.sum("size").alias("size")))
             running = F.sum("size").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
             fits = (bins.withColumn("upto", running).alias("r").join(state.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
-                    .filter(F.col("upto") - slack <= F.col("want"))
-                    .groupBy(F.col("s.source").alias("source")).agg(F.max("bin").alias("bin"), F.max("upto").alias("upto")))
+                    .withColumn("fits", F.col("upto") - slack <= F.col("want")).groupBy(F.col("s.source").alias("source"))
+                    .agg(F.min(F.expr("if(fits, null, bin)")).alias("bin"), F.max(F.expr("if(fits, upto, 0)")).alias("upto")))
             state = stored(state.alias("s").join(fits.alias("f"), F.col("s.source").eqNullSafe(F.col("f.source")), "left").select(
                 "s.source", (F.col("want") - F.coalesce("upto", F.lit(0))).alias("want"), "low",
-                (F.col("cut") + F.coalesce(F.col("bin") + 1, F.lit(0)) * F.lit(width)).alias("cut"), "cuts"), "cuts")
+                (F.col("cut") + F.coalesce("bin", F.lit(1 << bits)) * F.lit(width)).alias("cut"), "cuts"), "cuts")  # up to what is in the way
         state = state.select("source", "want", (F.col("cut") + F.lit(width)).alias("low"), (F.col("cut") + F.lit(width)).alias("cut"),
                              F.concat("cuts", F.array(F.struct("low", F.col("cut").alias("high")))).alias("cuts"))
     return state.select("source", "cuts")
