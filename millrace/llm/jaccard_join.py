@@ -33,6 +33,7 @@ from millrace.functions.storage import stored
 from . import bit_filter
 from .batches import arrow_types, rows_to_batches
 from .components import components
+from .names import fresh
 from .shingles import shingle_set
 
 #: Counters of the shingle frequencies (as bits), and how many go in one row. Their size does not grow with the data.
@@ -225,5 +226,6 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col
 def drop_similar(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the one whose id names it. Rows without an id stay."""
     found = stored(similar_components(docs, size, percent, id_col, text_col), "similar")
-    lost = found.filter("id <> component").select(F.col("id").alias("_lost")).distinct()
-    return docs.join(lost, col(id_col) == F.col("_lost"), "left_anti")
+    other = fresh(docs, "_lost")
+    lost = found.filter("id <> component").select(F.col("id").alias(other)).distinct()
+    return docs.join(lost, col(id_col) == F.col(other), "left_anti")

@@ -197,6 +197,6 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     rows = stored(sizes(docs, id_col, text_col, source_col), "sizes")
     known = stored(plan(rows, weights, share, cap, seed), "mix-plan")
     whole = F.struct(*[col(c) for c in docs.columns]).alias("document")
-    again = sizes(docs.withColumn("_document", whole), id_col, text_col, source_col, F.col("_document"))
+    again = sizes(docs, id_col, text_col, source_col, whole)
     rated = _rated(again, known, cap, seed).withColumn("copies", _copies(cap).cast("int")).filter("copies > 0")
-    return rated.select(F.explode(F.array_repeat("_document", F.col("copies"))).alias("_document")).select("_document.*")
+    return rated.select(F.explode(F.array_repeat("document", F.col("copies"))).alias("document")).select("document.*")
