@@ -79,7 +79,7 @@ def polynomial_features(spark, sf_dir):
 
 
 PAIR_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey", "l_partkey"]
-PAIRS = [(a, b) for i, a in enumerate(PAIR_COLUMNS) for b in PAIR_COLUMNS[i + 1:]][:10]
+PAIRS = [(a, b) for i, a in enumerate(PAIR_COLUMNS) for b in PAIR_COLUMNS[i + 1:]]
 
 
 @query("interaction_features", f"""
@@ -179,7 +179,7 @@ WITH {cte("raw_events")}, m AS (SELECT median(value) AS v, count(*) AS n FROM ra
 filled AS (SELECT DISTINCT event_id, user_id, event_type, props, coalesce(value, m.v) AS value, m.n FROM raw_events, m)
 SELECT event_id, user_id, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS event_type,
        CAST(dense_rank() OVER (ORDER BY props) - 1 AS INTEGER) AS props,
-       round(CASE WHEN n <= 50000 THEN ln(1 + value) ELSE value END, 6) AS value FROM filled
+       round(ln(1 + value), 6) AS value FROM filled
 """)
 def auto_prepare(spark, sf_dir):
     out = prepare.auto_prepare(derived(spark, sf_dir, "raw_events"), "user_id", order_by=["event_id"]).df
@@ -252,7 +252,6 @@ def chart_trend_band(spark, sf_dir):
 
 @query("chart_scatter_points", """
 SELECT o_orderkey, o_custkey AS x, o_totalprice AS y FROM orders
-ORDER BY ('0x' || substr(md5(CAST(o_orderkey AS STRING)), 1, 15))::BIGINT, o_orderkey LIMIT 5000
 """)
 def chart_scatter_points(spark, sf_dir):
     return charts.scatter_points(read(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", ["o_orderkey"])
@@ -311,6 +310,30 @@ def quantiles_refined(spark, sf_dir):
     """Exact quantiles by histogram refinement, as on tables of any size."""
     from millrace.functions.order_stats import quantiles
     columns, probs = ["l_extendedprice", "l_discount", "l_orderkey", "l_linenumber"], (0.01, 0.25, 0.5, 0.99)
-    found = quantiles(read(spark, sf_dir, "lineitem"), columns, probs, small_cells=0)
+    found = quantiles(read(spark, sf_dir, "lineitem"), columns, probs)
     row = {f"{c}_{int(p * 100)}": found[c][i] for c in columns for i, p in enumerate(probs)}
     return rounded(spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} double" for c in row)), *row)
+
+
+@query("chart_scatter_bins", """
+WITH e AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_extendedprice) AS c, max(l_extendedprice) AS d FROM lineitem)
+SELECT CAST(least(floor((l_quantity - a) / (b - a) * 50), 49) AS INTEGER) AS x_bin,
+       CAST(least(floor((l_extendedprice - c) / (d - c) * 50), 49) AS INTEGER) AS y_bin, count(*) AS n
+FROM lineitem, e GROUP BY 1, 2
+""")
+def chart_scatter_bins(spark, sf_dir):
+    return charts.scatter_bins(read(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
+
+
+HEAVY_COLUMNS = ["o_custkey", "o_totalprice"]
+
+
+@query("prepare_heavy_steps", """
+SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey, o_totalprice, CAST(o_custkey AS DOUBLE) * o_custkey AS o_custkey_pow2,
+       o_totalprice * o_totalprice AS o_totalprice_pow2, o_custkey * o_totalprice AS o_custkey_x_o_totalprice FROM orders
+""")
+def prepare_heavy_steps(spark, sf_dir):
+    """Powers and interactions are taken whatever the number of rows."""
+    plan = {"feature_steps": [{"step": "polynomial_features", "columns": HEAVY_COLUMNS}, {"step": "interaction_features", "columns": HEAVY_COLUMNS}]}
+    df = read(spark, sf_dir, "orders").select("o_orderkey", *[F.col(c).cast("double").alias(c) for c in HEAVY_COLUMNS])
+    return prepare.prepare(df, plan, "o_orderkey").df

@@ -42,7 +42,7 @@ SELECT o_orderkey, o_orderstatus, r <= least(floor(n * 0.2::DOUBLE + 0.5), n - 1
          count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)
 """)
 def split_stratified(spark, sf_dir):
-    out = folds.train_test_split(read(spark, sf_dir, "orders"), ["o_orderkey"], 0.2, "o_orderstatus", small_cells=0)
+    out = folds.train_test_split(read(spark, sf_dir, "orders"), ["o_orderkey"], 0.2, "o_orderstatus")
     return out.select("o_orderkey", "o_orderstatus", "is_test")
 
 
@@ -56,7 +56,7 @@ def split_plain(spark, sf_dir):
 
 @query("folds_ordered", "SELECT o_orderkey, CAST(ntile(5) OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS fold FROM orders")
 def folds_ordered(spark, sf_dir):
-    return folds.ordered_folds(read(spark, sf_dir, "orders"), "o_orderkey", 5, small_cells=0).select("o_orderkey", "fold")
+    return folds.ordered_folds(read(spark, sf_dir, "orders"), "o_orderkey", 5).select("o_orderkey", "fold")
 
 
 @query("folds_stratified", """
@@ -407,3 +407,11 @@ def model_comparison(spark, sf_dir):
 def model_parameters(spark, sf_dir):
     df = read(spark, sf_dir, "lineitem")
     return selection.params_table(_fitted(df, TERMS, "l_extendedprice", models.ridge()), df)
+
+
+@query("folds_stratified_hash", f"""
+SELECT o_orderkey, o_orderstatus, CAST(ntile(5) OVER (PARTITION BY o_orderstatus ORDER BY {hash15(SEEDED)}) - 1 AS INTEGER) AS fold FROM orders
+""")
+def folds_stratified_hash(spark, sf_dir):
+    out = folds.stratified_folds(read(spark, sf_dir, "orders"), ["o_orderkey"], "o_orderstatus", 5, 42)
+    return out.select("o_orderkey", "o_orderstatus", "fold")

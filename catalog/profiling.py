@@ -285,3 +285,34 @@ SELECT p_brand, p_type, CASE WHEN p_size_text = 'n/a' THEN NULL ELSE CAST(p_size
 def apply_fixes(spark, sf_dir):
     df = derived(spark, sf_dir, "text_part")
     return validate.apply_fixes(df, validate.validate(df, "p_retailprice", order_by=["p_partkey"]).fixes)
+
+
+NAN_VALUE = "CASE WHEN l_orderkey % 7 = 0 THEN {nan} WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_extendedprice END"
+
+
+@query("describe_nan", f"WITH t AS (SELECT {NAN_VALUE.format(nan='NULL')} AS v FROM lineitem)" + _describe("t", ["v"]))
+def describe_nan(spark, sf_dir):
+    """NaN counts as missing in every statistic."""
+    df = read(spark, sf_dir, "lineitem").selectExpr(NAN_VALUE.format(nan="double('NaN')") + " AS v")
+    return rounded(P.describe(df), "mean", "std", "q25", "q50", "q75")
+
+
+# Above 2 ** 53, where doubles skip whole numbers: one rises with the key, one falls by 1 within each pair of keys.
+LONG_IDS = ["o_orderkey", "1234567890123450000 + o_orderkey AS up", "1234567890123450000 + o_orderkey + 2 * (o_orderkey % 2) AS down"]
+
+
+@query("validate_ids_long", f"WITH t AS (SELECT {', '.join(LONG_IDS)} FROM orders)" + _id_test(
+    "t", "o_orderkey", {c: c for c in ("o_orderkey", "up", "down")}, []))
+def ids_long(spark, sf_dir):
+    found = validate.id_columns(read(spark, sf_dir, "orders").selectExpr(*LONG_IDS), order_by=["o_orderkey"])
+    return spark.createDataFrame([(c,) for c in found], "column string")
+
+
+@query("validate_duplicate_names", """
+SELECT 'value' AS "column", 'duplicate_name' AS "check" WHERE (SELECT count(*) FROM events) > 0
+""")
+def duplicate_names(spark, sf_dir):
+    df = read(spark, sf_dir, "events")
+    twice = df.select("event_id", "user_id", "value", df["user_id"].alias("value"))
+    issues = validate.validate(twice, "user_id").issues
+    return spark.createDataFrame([i[:2] for i in issues if i[1] == "duplicate_name"], "column string, check string")

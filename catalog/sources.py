@@ -68,3 +68,18 @@ def write_results(spark, sf_dir):
     counts = read(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     paths = sinks.write_tables({"counts by type": counts}, _scratch(spark, "results"))
     return tables.read_parquet(spark, paths["counts by type"])
+
+
+LONG_IDS = ["o_orderkey", "CAST(CAST(1234567890123456789 AS DECIMAL(38, 0)) + o_orderkey AS STRING) AS snowflake",
+            "CAST(CAST(12345678901234567890 AS DECIMAL(38, 0)) + o_orderkey AS STRING) AS longer"]
+
+
+@query("scan_csv_long_ids", """
+SELECT o_orderkey, 1234567890123456789 + o_orderkey AS snowflake,
+       CAST(CAST(12345678901234567890 AS DECIMAL(38, 0)) + o_orderkey AS STRING) AS longer FROM orders
+""")
+def scan_csv_long_ids(spark, sf_dir):
+    """Whole numbers keep all their digits: 19 as bigint, more as decimal."""
+    path = _scratch(spark, "long-ids") + ".csv"
+    read(spark, sf_dir, "orders").selectExpr(*LONG_IDS).write.option("header", True).csv(path)
+    return tables.load(spark, path).withColumn("longer", F.col("longer").cast("string"))

@@ -23,13 +23,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import chunks, col
+from .columns import chunks, col, null_nan
 
 STEPS = 4096
 OCTAVE_STEPS = 64
 OCTAVE_SHIFT = 1100 * OCTAVE_STEPS
-# Up to this many cells one sorted pass beats several small jobs.
-SMALL_CELLS = 500_000
 MAX_INLINE_RANGES = 32
 WIDE = 50  # columns taken together
 
@@ -143,28 +141,20 @@ def _refine(df: DataFrame, members: list[str], wanted: list[tuple], by: str | No
         rows = _locate(hist, frame, ["sid"]).collect()
 
 
-def _sorted_pass(long: DataFrame, wanted: list[tuple], group_type: T.DataType) -> dict:
-    """Small inputs: count distinct values and read the ranks off a running sum."""
-    frame = _targets(long.sparkSession, wanted, group_type)
-    hist = (long.groupBy("g", "cid", F.col("v").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-            .withColumns({"lo": F.col("b"), "hi": F.col("b")}))
-    return {r["tid"]: r["lo"] for r in _locate(hist, frame, ["g", "cid"]).collect()}
-
-
 def order_statistics(
     df: DataFrame,
     columns: Sequence[str],
     ranks: Callable[[int], Sequence[int]],
     by: str | None = None,
-    small_cells: int = SMALL_CELLS,
 ) -> dict[tuple, tuple[int, list]]:
-    """``(group, column) -> (count, values at ranks(count))`` over non-null values.
+    """``(group, column) -> (count, values at ranks(count))`` over the values that are neither null nor NaN.
 
     Ranks count from 0. ``by`` must have a bounded number of values (classes,
     chart levels): the result and the brackets grow with it, the data does not
     move. Without ``by`` the group is 0.
     """
     columns = list(columns)
+    df = null_nan(df.select(*[col(c) for c in dict.fromkeys([*columns, *([by] if by else [])])]))
     counts = [F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)]
     longs = [c for c in columns if isinstance(df.schema[c].dataType, T.LongType)]
     counts += [f(col(c)).alias(f"{n}{i}") for i, c in enumerate(longs) for n, f in (("lo", F.min), ("hi", F.max))]
@@ -196,17 +186,13 @@ def order_statistics(
                     wanted.append((len(wanted), g, cid, r))
         if not wanted:
             continue
-        cells = sum(sizes[g][columns.index(c)] for g, c in slots)
-        if cells <= small_cells:
-            values = _sorted_pass(_long(df, dict(enumerate(members)), family, by), wanted, group_type)
-        else:
-            known = None
-            if family == "bigint":
-                known = {(r["g"], cid): (r[f"lo{longs.index(c)}"], r[f"hi{longs.index(c)}"])
-                         for r in counted for cid, c in enumerate(members) if (r["g"], c) in slots}
-                if any(hi - lo >= LONG_SPAN for lo, hi in known.values()):
-                    known = None  # the difference of two values would overflow
-            values = _refine(df, members, wanted, by, group_type, family, known)
+        known = None
+        if family == "bigint":
+            known = {(r["g"], cid): (r[f"lo{longs.index(c)}"], r[f"hi{longs.index(c)}"])
+                     for r in counted for cid, c in enumerate(members) if (r["g"], c) in slots}
+            if any(hi - lo >= LONG_SPAN for lo, hi in known.values()):
+                known = None  # the difference of two values would overflow
+        values = _refine(df, members, wanted, by, group_type, family, known)
         restore = int if family == "double" else lambda v: v
         at = {(g, cid, r): restore(values[tid]) if members[cid] in longs else values[tid] for tid, g, cid, r in wanted}
         for (g, c), (n, picks) in slots.items():
@@ -219,7 +205,6 @@ def quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     by: str | None = None,
-    small_cells: int = SMALL_CELLS,
 ) -> dict:
     """Exact interpolated quantiles: ``column -> [values]``, or ``(group, column) -> [values]``.
 
@@ -235,7 +220,7 @@ def quantiles(
     out = {}
     found = {}
     for part in chunks(list(columns), WIDE):
-        found |= order_statistics(df, part, ranks, by, small_cells)
+        found |= order_statistics(df, part, ranks, by)
     for (g, c), (n, vals) in found.items():
         qs = []
         for i, p in enumerate(probs):

@@ -19,7 +19,6 @@ from .columns import col, is_flat
 SLOTS = {"l": "bigint", "d": "double", "s": "string", "t": "timestamp_ntz"}
 KEY = ["cid", *SLOTS]
 SKETCH_ERROR = 0.015
-SCREEN_CELLS = 20_000_000
 
 
 def _typed(field: T.StructField) -> Column:
@@ -105,20 +104,16 @@ def _counts(df: DataFrame, columns: list[str], exact: bool = True) -> dict[str,
     return {c: found[c] for c in columns}
 
 
-def judged_cardinality(df: DataFrame, cuts: Sequence[float], columns: Sequence[str] | None = None,
-                       n_rows: int | None = None, small_cells: int = SCREEN_CELLS) -> dict[str, int]:
-    """Distinct counts good enough to tell on which side of every cut a column lies.
+def judged_cardinality(df: DataFrame, cuts: Sequence[float], columns: Sequence[str] | None = None) -> dict[str, int]:
+    """Distinct counts good enough to tell on which side of every cut a column lies; for callers who ask for estimates.
 
     A sketch pass comes first; only columns within 10 % of a cut, some eight
     standard errors of the sketch, are counted exactly. Values of the other columns,
-    usually the long ones, are never shuffled. Tables known to be small are counted
-    exactly at once.
+    usually the long ones, are never shuffled.
     """
     cols = countable(df, columns)
     if not cols:
         return {}
-    if n_rows is not None and n_rows * len(cols) <= small_cells:
-        return _counts(df, cols)
     found = _counts(df, cols, exact=False)
     near = [c for c in cols if any(0.9 * cut - 1 <= found[c] <= 1.1 * cut + 1 for cut in cuts)]
     return found | _counts(df, near)

@@ -10,9 +10,8 @@ from pyspark.sql import types as T
 
 from ..functions.columns import col, is_feature
 from ..functions.hashing import key_hash
-from ..functions.order_stats import SMALL_CELLS, quantiles
+from ..functions.order_stats import quantiles
 
-MAX_CHARTS = 8
 BOX_LEVELS = 12
 CLASS_LEVELS = 8
 TAB_LEVELS = 10
@@ -21,8 +20,8 @@ REACH = 1.5
 Z95 = 1.959963984540054  # 97.5 % point of the normal distribution
 
 
-def pick_charts(df: DataFrame, target: str, limit: int = MAX_CHARTS) -> list[tuple[str, str]]:
-    """``(feature, chart)`` for the first features, numbers before the rest."""
+def pick_charts(df: DataFrame, target: str, limit: int | None = None) -> list[tuple[str, str]]:
+    """``(feature, chart)`` for all features, or the first ``limit``, numbers before the rest."""
     numeric = {f.name for f in df.schema.fields if is_feature(f.dataType)}
     others = [c for c in df.columns if c != target]
     ordered = [c for c in others if c in numeric] + [c for c in others if c not in numeric]
@@ -62,14 +61,29 @@ def trend_band(df: DataFrame, x: str, y: str, points: int = 100) -> DataFrame:
     return grid.select("x", "fitted", (F.col("fitted") - half).alias("lower"), (F.col("fitted") + half).alias("upper"))
 
 
-def scatter_points(df: DataFrame, x: str, y: str, keys: Sequence[str], n: int = 5000) -> DataFrame:
-    """``n`` points drawn by key hash, so the same points come back every time."""
+def scatter_points(df: DataFrame, x: str, y: str, keys: Sequence[str], n: int | None = None) -> DataFrame:
+    """All points, or ``n`` drawn by key hash, so that the same points come back every time."""
     both = df.where(col(x).isNotNull() & col(y).isNotNull())
-    drawn = both.orderBy(key_hash(keys), *[col(k) for k in keys]).limit(n)
-    return drawn.select(*[col(k) for k in keys], col(x).alias("x"), col(y).alias("y"))
+    if n is not None:
+        both = both.orderBy(key_hash(keys), *[col(k) for k in keys]).limit(n)
+    return both.select(*[col(k) for k in keys], col(x).alias("x"), col(y).alias("y"))
 
 
-def box_stats(df: DataFrame, level: str, value: str, k: int = BOX_LEVELS, small_cells: int = SMALL_CELLS) -> DataFrame:
+def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
+    """``x_bin, y_bin, n``: how many of all points fall into each cell of an even grid; empty cells are left out."""
+    both = df.select(col(x).cast("double").alias("x"), col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    ends = both.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if ends[0] is None:
+        return df.sparkSession.createDataFrame([], "x_bin int, y_bin int, n bigint")
+
+    def cell(name: str, low: float, high: float):
+        place = F.floor((F.col(name) - F.lit(low)) / F.lit(high - low) * bins) if high > low else F.lit(0)
+        return F.least(place, F.lit(bins - 1)).cast("int").alias(f"{name}_bin")
+
+    return both.groupBy(cell("x", ends[0], ends[1]), cell("y", ends[2], ends[3])).agg(F.count(F.lit(1)).alias("n"))
+
+
+def box_stats(df: DataFrame, level: str, value: str, k: int = BOX_LEVELS) -> DataFrame:
     """``level, n, q1, median, q3, whisker_low, whisker_high, n_outliers`` of the k top levels.
 
     Quartiles are exact and no level is gathered in one task. Whiskers are the
@@ -78,7 +92,7 @@ def box_stats(df: DataFrame, level: str, value: str, k: int = BOX_LEVELS, small_
     levels = [r["level"] for r in top_levels(df, level, k).collect()]
     rows = df.select(as_level(level).alias("level"), col(value).cast("double").alias("v")).where(
         F.col("level").isin(levels) & F.col("v").isNotNull())
-    found = quantiles(rows, ["v"], (0.25, 0.5, 0.75), "level", small_cells)
+    found = quantiles(rows, ["v"], (0.25, 0.5, 0.75), "level")
     boxes = []
     for (name, _), (q1, q2, q3) in found.items():
         if q1 is not None:
@@ -107,7 +121,7 @@ def crosstab(df: DataFrame, x: str, y: str, k: int = TAB_LEVELS) -> DataFrame:
         T.StructField("x", T.StringType()), T.StructField("y", T.StringType()), T.StructField("n", T.LongType())]))
 
 
-def chart_data(df: DataFrame, target: str, keys: Sequence[str], limit: int = MAX_CHARTS) -> dict[str, DataFrame]:
+def chart_data(df: DataFrame, target: str, keys: Sequence[str], limit: int | None = None) -> dict[str, DataFrame]:
     """The table behind each chart of a target, by ``feature_vs_target`` name."""
     makers = {
         "scatter": lambda f: scatter_points(df, f, target, keys),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import chunks, col, is_number, is_text, is_time, present
+from ..functions.columns import chunks, col, is_number, is_text, is_time, null_nan, present
 from ..functions.order_stats import quantiles
 from ..functions.parsing import num_parse, time_parse
 from ..functions.value_counts import modes
@@ -63,20 +63,28 @@ def apply_fill(df: DataFrame, fills: dict[str, object]) -> DataFrame:
     return df.withColumns(mine) if mine else df
 
 
+def drop_null_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows with a null in any of the columns out."""
+    names = ["`" + c.replace("`", "``") + "`" for c in columns]
+    return df.na.drop("any", subset=names) if names else df
+
+
 def impute(df: DataFrame, columns: Sequence[str], method: str = "median") -> DataFrame:
-    """Methods: median, mean, mode, drop_rows, drop_cols."""
+    """Methods: median, mean, mode, drop_rows, drop_cols. NaN is missing, too."""
+    df = null_nan(df)
     if method in ("drop_rows", "drop_cols"):
         affected = columns_with_nulls(df, present(df, columns))
         if not affected:
             return df
         if method == "drop_cols":
             return df.drop(*affected)
-        return df.na.drop("any", subset=["`" + c.replace("`", "``") + "`" for c in affected])
+        return drop_null_rows(df, affected)
     return apply_fill(df, fit_fill(df, columns, method))
 
 
 def fill_remaining(df: DataFrame, target: str | None = None) -> DataFrame:
-    """Last fill of every column but the target: median for numbers, mode for the rest."""
+    """Last fill of every column but the target: median for numbers, mode for the rest. NaN is missing, too."""
+    df = null_nan(df)
     return apply_fill(df, fit_fill(df, [c for c in df.columns if c != target], "median"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 from collections.abc import Sequence
@@ -22,20 +23,21 @@ from ..functions.value_counts import slot_value, value_counts
 # is numbered range by range and joined by shuffle.
 BROADCAST_LEVELS = 200_000
 MISSING_CODE = -1
-POWER_COLUMNS = 5
-PAIR_LIMIT = 10
 NAME_SHARE = 0.7
 TIME_SHARE = 0.5
 
 # Fixed pattern: the part between a comma and the next full stop.
 TITLE_PATTERN = r",\s*([^.]+)\."
 
-# Fixed table: which group each title belongs to. Titles not listed are Rare.
+# Fixed table: the group of each title. Titles not listed are Rare.
 TITLE_GROUPS = {
-    "Mr": ["Mr"],
-    "Mrs": ["Mrs", "Mme"],
-    "Miss": ["Miss", "Ms", "Mlle"],
-    "Master": ["Master"],
+    "Mr": "Mr",
+    "Mrs": "Mrs",
+    "Miss": "Miss",
+    "Master": "Master",
+    "Mme": "Mrs",
+    "Ms": "Miss",
+    "Mlle": "Miss",
 }
 RARE_TITLE = "Rare"
 
@@ -196,17 +198,21 @@ def log_transform(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.log1p(_double(df, c)) for c in cols}) if cols else df
 
 
-def powers(df: DataFrame, columns: Sequence[str], degree: int = 2, target: str | None = None) -> DataFrame:
-    """Add ``{column}_pow2`` for the first five number columns; the degree stops at 2."""
-    cols = _numbers(df, columns, target)[:POWER_COLUMNS]
-    if min(degree, 2) < 2 or not cols:
-        return df
-    return df.withColumns({f"{c}_pow2": _double(df, c) * _double(df, c) for c in cols})
+def powers(df: DataFrame, columns: Sequence[str], degree: int = 2, target: str | None = None, max_columns: int | None = None,
+           max_degree: int | None = None) -> DataFrame:
+    """Add ``{column}_pow2`` to ``{column}_pow{degree}`` for the number columns.
+
+    ``max_columns`` and ``max_degree`` bound them; by default nothing does.
+    """
+    cols = _numbers(df, columns, target)[:max_columns]
+    top = degree if max_degree is None else min(degree, max_degree)
+    made = {f"{c}_pow{d}": functools.reduce(lambda a, b: a * b, [_double(df, c)] * d) for c in cols for d in range(2, top + 1)}
+    return df.withColumns(made) if made else df
 
 
-def interactions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Add ``{a}_x_{b}`` for the first ten pairs of number columns."""
-    pairs = itertools.islice(itertools.combinations(_numbers(df, columns), 2), PAIR_LIMIT)
+def interactions(df: DataFrame, columns: Sequence[str], max_pairs: int | None = None) -> DataFrame:
+    """Add ``{a}_x_{b}`` for the pairs of number columns, all unless ``max_pairs`` says how many."""
+    pairs = itertools.islice(itertools.combinations(_numbers(df, columns), 2), max_pairs)
     made = {f"{a}_x_{b}": _double(df, a) * _double(df, b) for a, b in pairs}
     return df.withColumns(made) if made else df
 
@@ -256,8 +262,8 @@ def title_group(name: Column) -> Column:
     """Group of the title in ``Surname, Title. Given``; Rare if unknown or absent."""
     title = F.trim(F.regexp_extract(name, TITLE_PATTERN, 1))
     group = F.lit(RARE_TITLE)
-    for label, titles in TITLE_GROUPS.items():
-        group = F.when(title.isin(*titles), F.lit(label)).otherwise(group)
+    for known, label in TITLE_GROUPS.items():
+        group = F.when(title == known, F.lit(label)).otherwise(group)
     return group
 
 

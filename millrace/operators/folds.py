@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import col
 from ..functions.hashing import key_hash
-from ..functions.order_stats import SMALL_CELLS, order_statistics
+from ..functions.order_stats import order_statistics
 
 
 def held_out(n: int, share: float, stratified: bool) -> int:
@@ -40,7 +40,7 @@ def _with_thresholds(df: DataFrame, column: str, cuts: dict, by: str | None) ->
 
 
 def train_test_split(df: DataFrame, keys: Sequence[str], test_size: float = 0.2, label: str | None = None,
-                     seed: int | None = 42, small_cells: int = SMALL_CELLS) -> DataFrame:
+                     seed: int | None = 42) -> DataFrame:
     """Add ``is_test``: the rows with the smallest key hashes, per class if ``label`` is given.
 
     A class with a single row stays in the training part.
@@ -51,7 +51,7 @@ def train_test_split(df: DataFrame, keys: Sequence[str], test_size: float = 0.2,
         k = held_out(n, test_size, label is not None)
         return [k - 1] if k > 0 else []
 
-    found = order_statistics(hashed, ["_hash"], ranks, label, small_cells)
+    found = order_statistics(hashed, ["_hash"], ranks, label)
     cuts = {g: vals for (g, _), (_, vals) in found.items()}
     out = _with_thresholds(hashed, "_hash", cuts, label)
     is_test = F.coalesce(F.col("_hash") <= F.get(F.col("_cuts"), F.lit(0)), F.lit(False))
@@ -59,7 +59,7 @@ def train_test_split(df: DataFrame, keys: Sequence[str], test_size: float = 0.2,
 
 
 def ordered_folds(df: DataFrame, order: str, k: int = 5, label: str | None = None, name: str = "fold",
-                  fit_on: DataFrame | None = None, small_cells: int = SMALL_CELLS) -> DataFrame:
+                  fit_on: DataFrame | None = None) -> DataFrame:
     """Add ``name`` 0..k-1: equal contiguous blocks along a unique number key, per class if
     ``label`` is given; the first blocks take the remainder. ``fit_on`` sets other rows to
     take the block borders from."""
@@ -68,7 +68,7 @@ def ordered_folds(df: DataFrame, order: str, k: int = 5, label: str | None = Non
         starts = [i * size + min(i, extra) for i in range(1, k)]
         return [s for s in starts if s < n]
 
-    found = order_statistics(df if fit_on is None else fit_on, [order], ranks, label, small_cells)
+    found = order_statistics(df if fit_on is None else fit_on, [order], ranks, label)
     cuts = {g: vals for (g, _), (_, vals) in found.items()}
     out = _with_thresholds(df, order, cuts, label)
     passed = F.size(F.filter(F.col("_cuts"), lambda c: c <= col(order)))
@@ -78,3 +78,12 @@ def ordered_folds(df: DataFrame, order: str, k: int = 5, label: str | None = Non
 def hash_fold(keys: Sequence[str], k: int = 5, seed: int | None = None) -> Column:
     """Fold 0..k-1 from the key hash alone: one projection, no statistics."""
     return (key_hash(keys, digits=8, seed=seed) % k).cast("int")
+
+
+def stratified_folds(df: DataFrame, keys: Sequence[str], label: str, k: int = 5, seed: int | None = None, name: str = "fold",
+                     fit_on: DataFrame | None = None) -> DataFrame:
+    """Add ``name`` 0..k-1: each class in equal parts, in the order of the key hash. ``fit_on`` as in ``ordered_folds``."""
+    def hashed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_order", key_hash(keys, seed=seed))
+
+    return ordered_folds(hashed(df), "_order", k, label, name, None if fit_on is None else hashed(fit_on)).drop("_order")

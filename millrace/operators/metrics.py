@@ -109,9 +109,10 @@ def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> Da
 
 
 def roc_auc_ovr(df: DataFrame, label: str, scores: str, n_classes: int, by: Sequence[str] = ()) -> DataFrame:
-    """One-vs-rest areas weighted by class support. ``scores`` is an array with one score per class."""
+    """One-vs-rest areas weighted by class support. ``scores`` is an array with one score per class;
+    a score that is missing, as of a class the model never saw, is 0."""
     by = list(by)
-    cells = [F.struct(F.lit(i).alias("_class"), col(scores)[i].alias("_s"),
+    cells = [F.struct(F.lit(i).alias("_class"), F.coalesce(F.get(col(scores), F.lit(i)), F.lit(0.0)).alias("_s"),
                       (col(label).cast("int") == i).cast("int").alias("_y")) for i in range(n_classes)]
     long = df.select(*[col(c) for c in by], F.inline(F.array(*cells)))
     areas = _areas(long, "_y", "_s", [*by, "_class"]).where("n_pos > 0 AND roc_auc IS NOT NULL")

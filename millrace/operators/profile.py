@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import chunks, col, is_number, is_text, number_names, text_names
+from ..functions.columns import chunks, col, is_number, is_text, null_nan, number_names, text_names
 from ..functions.order_stats import quantiles
 from ..functions.storage import stored
 from ..functions.value_counts import cardinality, column_name, countable, judged_cardinality, value_counts
@@ -69,7 +69,8 @@ def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    """Moments with the 25, 50 and 75 % quantiles, exact unless ``approx``."""
+    """Moments with the 25, 50 and 75 % quantiles, exact unless ``approx``. NaN is missing."""
+    df = null_nan(df)
     cols = number_names(df) if columns is None else list(columns)
     if approx:
         points = _per_column(df, cols, {
@@ -134,8 +135,8 @@ def skew(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return found.withColumn("is_skewed", F.coalesce(F.abs("skew") > SKEW_LIMIT, F.lit(False)))
 
 
-def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5, max_columns: int = 20) -> DataFrame:
-    """``column, value, n, share``: the k most frequent values of each text column.
+def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5, max_columns: int | None = None) -> DataFrame:
+    """``column, value, n, share``: the k most frequent values of each text column (of the first ``max_columns``).
 
     Ties go to the smaller value. Each task keeps k rows per column before the
     ranking shuffle (window group limit), so no column is ranked whole in one task.
@@ -211,11 +212,11 @@ class Profile:
         return [c for c in self.dtypes if self.n_unique.get(c, 2) <= 1]
 
 
-def profile(df: DataFrame, exact: bool = False, known_unique: dict[str, int] | None = None) -> Profile:
+def profile(df: DataFrame, exact: bool = True, known_unique: dict[str, int] | None = None) -> Profile:
     """Row count, nulls, skew, cardinality and copies of a table.
 
-    Counts and skew share one scan. Distinct counts are exact near the limits the
-    plans use, or everywhere if ``exact``; ``known_unique`` gives those found before.
+    Counts and skew share one scan. Distinct counts are exact, or without
+    ``exact`` only near the limits the plans use and estimates elsewhere; ``known_unique`` gives those found before.
     """
     numeric, text = number_names(df), text_names(df)
     n_rows, nulls, skews = 0, {}, {}
@@ -230,7 +231,7 @@ def profile(df: DataFrame, exact: bool = False, known_unique: dict[str, int] | N
     rest = [c for c in countable(df) if c not in unique]
     if rest:
         unique |= ({r["column"]: r["n_unique"] for r in cardinality(df, rest).collect()} if exact
-                   else judged_cardinality(df, COUNT_CUTS, rest, n_rows))
+                   else judged_cardinality(df, COUNT_CUTS, rest))
     return Profile(
         n_rows=n_rows,
         dtypes=dict(df.dtypes),

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col
 from ..functions.storage import stored
 from .features import apply_codes, assemble, feature_matrix, feature_names, fit_codes
-from .folds import hash_fold, ordered_folds, train_test_split
+from .folds import hash_fold, ordered_folds, stratified_folds, train_test_split
 from .importance import importance
 from .metrics import (
     HIGHER_IS_BETTER, check_metric, classification_scores, regression_scores, roc_auc, roc_auc_ovr,
@@ -29,7 +29,6 @@ from .models import Builder, Settings, TrainingFacts, candidates, class_score_ar
 log = logging.getLogger(__name__)
 
 TRAIN_FOLDS = 3
-MIN_ROWS_FOR_FOLDS = 100
 LEADERBOARD = ("model_name string, score double, train_score double, r2_score double, r2_train_score double, "
                "holdout_score double, params string")
 
@@ -48,8 +47,10 @@ class Selection:
 def label_codes(df: DataFrame, target: str) -> tuple[DataFrame, int]:
     """Add ``label``: the sorted code of the target's value as a double, and the class count."""
     codes = fit_codes(df, [target])
-    return (apply_codes(df, codes, {target: "label"}).withColumn("label", F.col("label").cast("double")),
-            codes[0].table.count())
+    n = codes[0].table.count()
+    # all classes, so that a model fitted without a rare one still scores as many
+    kind = {"ml_attr": {"type": "nominal", "name": "label", "num_vals": n}}
+    return apply_codes(df, codes, {target: "label"}).withColumn("label", F.col("label").cast("double").alias("label", metadata=kind)), n
 
 
 def modelling_table(df: DataFrame, target: str, task: str, keys: Sequence[str], cv: int = 5, test_size: float = 0.2,
@@ -57,7 +58,8 @@ def modelling_table(df: DataFrame, target: str, task: str, keys: Sequence[str],
     """Key columns, ``features``, ``label``, ``is_test`` and the two fold columns, stored once.
 
     With ``order`` (a unique number column) folds are contiguous blocks in that
-    order, per class when classifying; otherwise they come from the key hash.
+    order, per class when classifying; otherwise they come from the key hash, again
+    in equal parts per class when classifying.
     """
     classify = task == "classification"
     rows = df.where(col(target).isNotNull())
@@ -75,6 +77,8 @@ def modelling_table(df: DataFrame, target: str, task: str, keys: Sequence[str],
     for name, k in (("fold", cv), ("train_fold", TRAIN_FOLDS)):
         if order:
             table = ordered_folds(table, order, k, by, name, fit_on=table.where(~F.col("is_test")))
+        elif classify:
+            table = stratified_folds(table, keys, "label", k, seed, name, fit_on=table.where(~F.col("is_test")))
         else:
             table = table.withColumn(name, hash_fold(keys, k, seed))
     return stored(table, "modelling", ["is_test", "fold"]), names, n_classes
@@ -86,7 +90,7 @@ def _scores(predicted: DataFrame, task: str, metric: str, n_classes: int, by: Se
         table = regression_scores(predicted, by=by)
     elif metric == "roc_auc":
         table = (roc_auc_ovr(predicted, "label", "scores", n_classes, by) if n_classes > 2 else
-                 roc_auc(predicted.withColumn("_score", F.col("scores")[1]), "label", "_score", by))
+                 roc_auc(predicted.withColumn("_score", F.coalesce(F.get("scores", F.lit(1)), F.lit(0.0))), "label", "_score", by))
     else:
         table = classification_scores(predicted, by=by)
     return {tuple(r[c] for c in by): r.asDict() for r in table.collect()}
@@ -107,8 +111,9 @@ def _predict(model: Model, rows: DataFrame, task: str, extra: Sequence[str] = ()
 
 class _Trainer:
     def __init__(self, table: DataFrame, task: str, metric: str, n_features: int, n_classes: int, cv: int,
-                 layout: Sequence[str] = ()):
+                 layout: Sequence[str] = (), min_rows: int = 0):
         self.layout = list(layout)
+        self.min_rows = min_rows
         self.train = table.where(~F.col("is_test"))
         self.test = table.where("is_test")
         self.task, self.metric, self.cv = task, metric, cv
@@ -145,13 +150,13 @@ class _Trainer:
 
     def fits(self) -> list[tuple[str | None, int | None]]:
         """The fits one candidate needs."""
-        again = [("train_fold", i) for i in range(TRAIN_FOLDS)] if self.n_rows >= MIN_ROWS_FOR_FOLDS else []
+        again = [("train_fold", i) for i in range(TRAIN_FOLDS)] if self.n_rows >= self.min_rows else []
         return [(None, None), *[("fold", i) for i in range(self.cv)], *again]
 
     def evaluate(self, name: str, models: dict[tuple, Model]) -> dict:
         final = models[(None, None)]
         folds = self.fold_scores([models[("fold", i)] for i in range(self.cv)], "fold")
-        if self.n_rows >= MIN_ROWS_FOR_FOLDS:
+        if self.n_rows >= self.min_rows:
             again = self.fold_scores([models[("train_fold", i)] for i in range(TRAIN_FOLDS)], "train_fold")
         else:
             again = self.scores(_predict(final, self.train, self.task))
@@ -180,12 +185,13 @@ def params_table(model: Model, df: DataFrame) -> DataFrame:
 
 def evaluate_candidates(table: DataFrame, task: str, metric: str, n_features: int, n_classes: int, cv: int,
                         builders: dict[str, Builder], parallelism: int = 4,
-                        layout: Sequence[str] = ()) -> dict[str, tuple[dict, Model]]:
-    """Score and model per candidate; one that fails is logged and left out.
+                        layout: Sequence[str] = (), min_rows: int = 0) -> dict[str, tuple[dict, Model]]:
+    """Score and model per candidate; one that fails is logged and left out. If all fail, the last failure is raised.
 
     Like CrossValidator, independent fits are submitted from a few driver threads.
     """
-    trainer = _Trainer(table, task, metric, n_features, n_classes, cv, layout)
+    trainer = _Trainer(table, task, metric, n_features, n_classes, cv, layout, min_rows)
+    failure: Exception | None = None
     with ThreadPoolExecutor(max(1, parallelism)) as pool:
         def submit(run, *args):
             return pool.submit(inheritable_thread_target(table.sparkSession)(run), *args)
@@ -200,11 +206,15 @@ def evaluate_candidates(table: DataFrame, task: str, metric: str, n_features: in
                 scoring[name] = (submit(trainer.evaluate, name, models), models[(None, None)])
             except Exception as error:  # one model must not end the comparison
                 log.warning("%s failed: %s", name, error)
+                failure = error
         for name, (job, final) in scoring.items():
             try:
                 results[name] = (job.result(), final)
             except Exception as error:
                 log.warning("%s could not be scored: %s", name, error)
+                failure = error
+    if failure is not None and not results:
+        raise RuntimeError("no candidate could be fitted and scored") from failure
     return results
 
 
@@ -212,12 +222,13 @@ def train_and_evaluate(
     df: DataFrame, target: str, task: str, metric: str | None = None, *, keys: Sequence[str], cv: int = 5,
     test_size: float = 0.2, seed: int = 42, order: str | None = None, settings: Settings = Settings(),
     builders: dict[str, Builder] | None = None, parallelism: int = 4, reproducible: bool = False,
+    min_rows_for_folds: int = 0,
 ) -> Selection:
     """Compare the candidates on the training part and rank them.
 
     ``keys`` name the columns that identify a row; they steer the split and folds
     and are not features. ``score`` is the mean over ``cv`` folds, ``train_score``
-    over three folds (in-sample below 100 rows), ``holdout_score`` comes from the
+    over three folds (in-sample below ``min_rows_for_folds`` rows), ``holdout_score`` comes from the
     rows kept out of all fits.
 
     Spark ML samples trees along the row layout, which may differ from run to run.
@@ -228,7 +239,7 @@ def train_and_evaluate(
     table, names, n_classes = modelling_table(df, target, task, keys, cv, test_size, seed, order)
     results = evaluate_candidates(table, task, metric, len(names), n_classes, cv,
                                   builders or candidates(task, settings), parallelism,
-                                  keys if reproducible else ())
+                                  keys if reproducible else (), min_rows_for_folds)
     sign = -1 if metric in HIGHER_IS_BETTER else 1
 
     def place(row: dict) -> tuple:

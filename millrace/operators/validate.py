@@ -6,11 +6,13 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import chunks, col, is_number, is_text, is_time
 from ..functions.parsing import num_parse, text_number
@@ -20,7 +22,6 @@ from .profile import COUNT_CUTS
 NUMERIC_SHARE = 0.9
 ID_SHARE = 0.98
 WIDE_TEXT_SHARE = 0.5
-WIDE_TEXT_ROWS = 50
 CLASS_LIMIT = 50
 NULL_TARGET_SHARE = 0.5
 FEW_VALUES = 20
@@ -102,21 +103,27 @@ def _coarse_survivors(df: DataFrame, order: str, columns: list[str], blocks: int
     return alive
 
 
-def _partition_summary(columns: list[str]):
+def _order_value(field: T.StructField):
+    """What the order test compares: whole numbers and decimals as they are, the rest as ``num_parse``."""
+    exact = isinstance(field.dataType, (T.IntegralType, T.DecimalType))
+    return col(field.name) if exact else num_parse(field)
+
+
+def _partition_summary(columns: list[str], schema: pa.Schema):
+    """Per partition: for each column its first and last value and its falls, compared in the column's type."""
     def run(batches):
         first, last, falls = [None] * len(columns), [None] * len(columns), [0] * len(columns)
         for batch in batches:
-            for i, c in enumerate(columns):
-                v = batch[c].dropna().to_numpy()
+            for i in range(len(columns)):
+                v = batch.column(i).drop_null()
                 if not len(v):
                     continue
-                falls[i] += int((v[1:] < v[:-1]).sum())
-                if last[i] is not None and v[0] < last[i]:
-                    falls[i] += 1
-                first[i] = v[0] if first[i] is None else first[i]
-                last[i] = v[-1]
-        part = TaskContext.get().partitionId()
-        yield pd.DataFrame({"part": part, "column": columns, "first": first, "last": last, "falls": falls})
+                falls[i] += pc.sum(pc.less(v[1:], v[:-1])).as_py() or 0
+                falls[i] += last[i] is not None and v[0].as_py() < last[i]
+                first[i] = v[0].as_py() if first[i] is None else first[i]
+                last[i] = v[-1].as_py()
+        values = [TaskContext.get().partitionId(), *[x for i in range(len(columns)) for x in (first[i], last[i], int(falls[i]))]]
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, schema)], schema=schema)
     return run
 
 
@@ -130,16 +137,19 @@ def order_falls(df: DataFrame, columns: Sequence[str], order_by: Sequence[str])
     """
     columns, order_by = list(columns), list(order_by)
     parsed = df.select(*[col(c).alias(f"_o{i}") for i, c in enumerate(order_by)],
-                       *[num_parse(df.schema[c]).alias(c) for c in columns])
-    keys = [F.col(f"_o{i}") for i in range(len(order_by))] + [col(c) for c in columns]
-    parts = parsed.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*[col(c) for c in columns])
-    ends = parts.mapInPandas(
-        _partition_summary(columns), "part int, column string, first double, last double, falls bigint")
-    # One row per partition and column: joining the ends is a window of that length.
-    before = F.lag("last").over(Window.partitionBy("column").orderBy("part"))
-    joined = ends.where("first IS NOT NULL").withColumn("step", (F.col("first") < before).cast("bigint"))
-    totals = joined.groupBy("column").agg((F.sum("falls") + F.coalesce(F.sum("step"), F.lit(0))).alias("n"))
-    return dict.fromkeys(columns, 0) | {r["column"]: r["n"] for r in totals.collect()}
+                       *[_order_value(df.schema[c]).alias(f"_c{i}") for i, c in enumerate(columns)])
+    keys = [F.col(f"_o{i}") for i in range(len(order_by))] + [F.col(f"_c{i}") for i in range(len(columns))]
+    parts = parsed.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*[F.col(f"_c{i}") for i in range(len(columns))])
+    kinds = [parts.schema[f"_c{i}"].dataType for i in range(len(columns))]
+    schema = T.StructType([T.StructField("part", T.IntegerType()), *[
+        T.StructField(f"{n}{i}", kind) for i, own in enumerate(kinds) for n, kind in (("first", own), ("last", own), ("falls", T.LongType()))]])
+    ends = parts.mapInArrow(_partition_summary(columns, to_arrow_schema(schema)), schema)
+    # One row per partition: joining the ends is a window of that length.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    steps = ends.select(*[(F.col(f"falls{i}") + F.coalesce((F.col(f"first{i}") < F.last(f"last{i}", True).over(before)).cast("bigint"), F.lit(0)))
+                          .alias(f"n{i}") for i in range(len(columns))])
+    row = steps.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(columns))]).first()
+    return {c: row[f"n{i}"] or 0 for i, c in enumerate(columns)}
 
 
 def column_counts(df: DataFrame) -> tuple[int, dict[str, int], dict[str, int]]:
@@ -176,7 +186,8 @@ def id_columns(df: DataFrame, target: str | None = None, order_by: Sequence[str]
     is an ID at once (``text_ids=False`` turns this off).
     """
     n_rows, _, parsed = column_counts(df)
-    counts = judged_cardinality(df, [ID_SHARE * n_rows], n_rows=n_rows)
+    unique = {r["column"]: r["n_unique"] for r in cardinality(df).collect()}
+    counts = {c: unique[c] for c in countable(df)}
     near = [c for c, n in counts.items() if c != target and n / max(n_rows, 1) > ID_SHARE]
     return _ids(df, near, parsed, order_by, text_ids)
 
@@ -204,14 +215,29 @@ class Validation:
         return df.sparkSession.createDataFrame(self.issues, REPORT_SCHEMA)
 
 
+def unique_names(names: Sequence[str]) -> list[str]:
+    """The names with a position behind those used before."""
+    out: list[str] = []
+    for name in names:
+        made, k = name, 1
+        while made.lower() in {x.lower() for x in out} or (k > 1 and made in names):
+            k += 1
+            made = f"{name}.{k}"
+        out.append(made)
+    return out
+
+
 def validate(df: DataFrame, target: str, task: str = "regression", order_by: Sequence[str] = (),
-             text_ids: bool = True, exact: bool = False) -> Validation:
+             text_ids: bool = True, exact: bool = True, wide_text_rows: int = 0) -> Validation:
     """Check the target, text numbers, IDs, near-unique text, empty and repeated columns.
 
-    Distinct counts are exact where they decide something; far from every limit a
-    sketch is enough, unless ``exact`` asks for all of them.
+    Distinct counts are exact, or without ``exact`` only where they decide something and
+    estimates elsewhere. Near-unique text is looked for from ``wide_text_rows`` rows on.
+    Columns that share a name are told apart by position, as ``name``, ``name.2``, ...
     """
     report = Validation()
+    names = list(df.columns)
+    df = df.toDF(*unique_names(names))
 
     def note(column: str, check: str, action: str | None, detail: str) -> None:
         report.issues.append((column, check, action, detail))
@@ -222,8 +248,7 @@ def validate(df: DataFrame, target: str, task: str = "regression", order_by: Seq
     if exact:
         n_unique = {r["column"]: r["n_unique"] for r in cardinality(df).collect()}
     else:
-        n_unique = judged_cardinality(df, (*COUNT_CUTS, WIDE_TEXT_SHARE * n_rows, ID_SHARE * n_rows),
-                                      n_rows=n_rows)
+        n_unique = judged_cardinality(df, (*COUNT_CUTS, WIDE_TEXT_SHARE * n_rows, ID_SHARE * n_rows))
     report.n_unique = n_unique
     text = [f.name for f in df.schema.fields if is_text(f.dataType) and f.name != target]
 
@@ -245,9 +270,9 @@ def validate(df: DataFrame, target: str, task: str = "regression", order_by: Seq
     for c in _ids(df, near, parsed, order_by, text_ids):
         note(c, "id", "drop_id", f"{n_unique[c]} distinct values, never falling")
 
-    if n_rows >= WIDE_TEXT_ROWS:
+    if n_rows >= wide_text_rows:
         for c in text:
-            if c not in report.fixes and n_unique[c] / n_rows > WIDE_TEXT_SHARE:
+            if c not in report.fixes and n_unique[c] / max(n_rows, 1) > WIDE_TEXT_SHARE:
                 keep = re.search(STRUCTURED_NAMES, c, re.IGNORECASE)
                 note(c, "high_cardinality_kept" if keep else "high_cardinality",
                      None if keep else "drop_high_cardinality", f"{n_unique[c]} distinct values")
@@ -255,7 +280,7 @@ def validate(df: DataFrame, target: str, task: str = "regression", order_by: Seq
     for c in df.columns:
         if filled[c] == 0:
             note(c, "all_null", "drop_null_col", "every value is missing")
-    for c in dict.fromkeys(c for c in df.columns if df.columns.count(c) > 1):
+    for c in dict.fromkeys(c for c in names if names.count(c) > 1):
         note(c, "duplicate_name", None, "the name is used by several columns")
     return report
 

@@ -11,7 +11,7 @@ from ..functions.columns import null_nan, present, text_names
 from ..functions.storage import stored
 from ..operators import clean, features, validate
 from ..operators.profile import Profile, profile
-from .steps import HEAVY_ROWS, check_plan, default_plan
+from .steps import Limits, check_plan, default_plan
 
 Applier = Callable[[DataFrame], DataFrame]
 
@@ -24,7 +24,7 @@ def _fit_missing(df: DataFrame, columns: list[str], step: dict) -> Applier:
         hit = clean.columns_with_nulls(df, columns)
         if method == "drop_cols":
             return lambda d: clean.drop_columns(d, hit)
-        return lambda d: d.na.drop("any", subset=hit) if hit else d
+        return lambda d: clean.drop_null_rows(d, hit)
     fills = clean.fit_fill(df, columns, method)
     return lambda d: clean.apply_fill(d, fills)
 
@@ -147,7 +147,7 @@ def run_features(df: DataFrame, steps: Sequence[dict], target: str) -> Prepared:
 
 
 def prepare(df: DataFrame, plan: dict, target: str, found: Profile | None = None,
-            heavy_rows: int = HEAVY_ROWS) -> Prepared:
+            limits: Limits = Limits()) -> Prepared:
     """Check the plan against the table's profile and run it.
 
     To keep held-out rows out of the fit, pass the training rows and use
@@ -155,7 +155,7 @@ def prepare(df: DataFrame, plan: dict, target: str, found: Profile | None = None
     """
     df = null_nan(df)
     found = found or profile(df)
-    checked = check_plan(plan, found, target, heavy_rows)
+    checked = check_plan(plan, found, target, limits)
     few = found.n_rows > FEW_COPIES and found.duplicates <= FEW_COPIES
     state = Prepared(df, plan=checked)
     _clean(state, [s | {"few": few} if s["step"] in SHUFFLES else s for s in checked["cleaning_steps"]], target)
@@ -164,14 +164,14 @@ def prepare(df: DataFrame, plan: dict, target: str, found: Profile | None = None
 
 
 def auto_prepare(df: DataFrame, target: str, task: str = "regression", order_by: Sequence[str] = (),
-                 exact: bool = False) -> Prepared:
-    """Validate, fix, profile, and run the default plan; ``exact`` counts distinct values of every column exactly."""
+                 exact: bool = True, limits: Limits = Limits()) -> Prepared:
+    """Validate, fix, profile, and run the default plan; without ``exact``, distinct counts far from every limit are estimates."""
     df = null_nan(df)
     report = validate.validate(df, target, task, order_by, exact=exact)
     fixes = report.fixes
     fixed = validate.apply_fixes(df, fixes)
     found = profile(fixed, exact, known_unique={c: n for c, n in report.n_unique.items() if c not in fixes})
-    state = prepare(fixed, default_plan(found, target), target, found)
+    state = prepare(fixed, default_plan(found, target, limits), target, found, limits)
     state.appliers.insert(0, lambda d: validate.apply_fixes(d, fixes))
     state.steps.insert(0, ("apply_fixes", list(fixes)))
     return state

@@ -6,6 +6,7 @@ A plan is ``{"cleaning_steps": [...], "feature_steps": [...]}`` where a step is
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -43,15 +44,25 @@ FEATURES = {
     "datetime_decompose": Kind(),
 }
 
-HEAVY_STEPS = 2
-HEAVY_ROWS = 20_000
-HEAVY_COLUMNS = 20
-SCOPED_COLUMNS = 20
-FORCED_IMPUTE_COLUMNS = 50
-LOG_ROWS = 50_000
+
+@dataclass(frozen=True)
+class Limits:
+    """Bounds that a plan may be held to; None, the default of all, is no bound.
+
+    log_rows: log transforms only up to so many rows. heavy_rows: heavy steps only below so many rows. heavy_steps: so
+    many heavy steps at most. heavy_columns: with more number columns, interactions replace powers. scoped_columns: a
+    step without columns takes so many. imputed_columns: a forced fill takes so many.
+    """
+
+    log_rows: int | None = None
+    heavy_rows: int | None = None
+    heavy_steps: int | None = None
+    heavy_columns: int | None = None
+    scoped_columns: int | None = None
+    imputed_columns: int | None = None
 
 
-def default_plan(profile: Profile, target: str, log_rows: int = LOG_ROWS) -> dict:
+def default_plan(profile: Profile, target: str, limits: Limits = Limits()) -> dict:
     """The conservative plan taken from the profile alone; the target is never touched."""
     def but_target(columns: Sequence[str]) -> list[str]:
         return [c for c in columns if c != target]
@@ -59,7 +70,7 @@ def default_plan(profile: Profile, target: str, log_rows: int = LOG_ROWS) -> dic
     constants = but_target(profile.constants)
     gaps = but_target([c for c, n in profile.missing.items() if n])
     wide = but_target(profile.high_cardinality)
-    skewed = but_target(profile.skewed) if profile.n_rows <= log_rows else []
+    skewed = but_target(profile.skewed) if limits.log_rows is None or profile.n_rows <= limits.log_rows else []
     cleaning = [
         ({"step": "drop_constants", "columns": constants}, constants),
         ({"step": "handle_missing", "columns": gaps, "method": "median"}, gaps),
@@ -97,7 +108,7 @@ def _checked(step: dict, columns: list[str], kind: Kind) -> dict:
     return out
 
 
-def check_cleaning(steps: object, profile: Profile, target: str) -> list[dict]:
+def check_cleaning(steps: object, profile: Profile, target: str, limits: Limits = Limits()) -> list[dict]:
     """Known steps on existing columns, without repeats, plus the steps the profile forces."""
     out: list[dict] = []
     for step in _known(steps, CLEANING):
@@ -108,42 +119,44 @@ def check_cleaning(steps: object, profile: Profile, target: str) -> list[dict]:
     used = {s["step"] for s in out}
     if profile.duplicates and "drop_duplicates" not in used:
         out.insert(0, {"step": "drop_duplicates", "columns": []})
-    gaps = [c for c, n in profile.missing.items() if n and c != target][:FORCED_IMPUTE_COLUMNS]
+    gaps = [c for c, n in profile.missing.items() if n and c != target][:limits.imputed_columns]
     if gaps and "handle_missing" not in used:
         out.append({"step": "handle_missing", "columns": gaps, "method": "median"})
     return out
 
 
-def check_features(steps: object, profile: Profile, target: str, heavy_rows: int = HEAVY_ROWS) -> list[dict]:
-    """Known steps on columns of a fitting type; heavy steps only on tables below ``heavy_rows``."""
+def check_features(steps: object, profile: Profile, target: str, limits: Limits = Limits()) -> list[dict]:
+    """Known steps on columns of a fitting type, within the limits given."""
     scope = {
         "encode_categorical": [c for c in sorted(profile.text) if c != target],
         "log_transform": [c for c in sorted(profile.skewed) if c != target],
     }
     wide = set(profile.high_cardinality)
     out: list[dict] = []
-    heavy_left = HEAVY_STEPS if profile.n_rows < heavy_rows else 0
+    heavy_left = math.inf if limits.heavy_steps is None else limits.heavy_steps
+    if limits.heavy_rows is not None and profile.n_rows >= limits.heavy_rows:
+        heavy_left = 0
     for step in _known(steps, FEATURES):
         kind = FEATURES[step["step"]]
         if kind.heavy and not heavy_left:
             continue
         heavy_left -= kind.heavy
-        columns = _columns(step, profile, target, kind) or scope.get(step["step"], [])[:SCOPED_COLUMNS]
+        columns = _columns(step, profile, target, kind) or scope.get(step["step"], [])[:limits.scoped_columns]
         made = _checked(step, columns, kind)
         if step["step"] == "encode_categorical" and wide.intersection(columns):
             made["method"] = "label"
         if columns and made not in out:
             out.append(made)
-    if len(profile.numeric) > HEAVY_COLUMNS and any(s["step"] == "interaction_features" for s in out):
+    if limits.heavy_columns is not None and len(profile.numeric) > limits.heavy_columns and any(s["step"] == "interaction_features" for s in out):
         out = [s for s in out if s["step"] != "polynomial_features"]
     return out
 
 
-def check_plan(plan: object, profile: Profile, target: str, heavy_rows: int = HEAVY_ROWS) -> dict:
+def check_plan(plan: object, profile: Profile, target: str, limits: Limits = Limits()) -> dict:
     plan = plan if isinstance(plan, dict) else {}
     return {
-        "cleaning_steps": check_cleaning(plan.get("cleaning_steps"), profile, target),
-        "feature_steps": check_features(plan.get("feature_steps"), profile, target, heavy_rows),
+        "cleaning_steps": check_cleaning(plan.get("cleaning_steps"), profile, target, limits),
+        "feature_steps": check_features(plan.get("feature_steps"), profile, target, limits),
     }
 
 

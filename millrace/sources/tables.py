@@ -15,7 +15,7 @@ NA_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
-INTEGER_PATTERN = r"^\s*[+-]?\d{1,18}\s*$"
+INTEGER_PATTERN = r"^\s*[+-]?\d{1,38}\s*$"
 FLAG_PATTERN = r"^(True|False|TRUE|FALSE|true|false)$"
 SUFFIXES = {".csv": "csv", ".json": "json", ".jsonl": "jsonl", ".parquet": "parquet"}
 
@@ -29,13 +29,14 @@ def _infer(df: DataFrame) -> DataFrame:
             tests += [
                 F.count(col(c)).alias(f"n{i}"),
                 F.count_if(col(c).rlike(INTEGER_PATTERN)).alias(f"i{i}"),
+                F.count_if(col(c).rlike(INTEGER_PATTERN) & F.trim(col(c)).try_cast("bigint").isNotNull()).alias(f"l{i}"),
                 F.count_if(col(c).rlike(NUMBER_PATTERN)).alias(f"d{i}"),
                 F.count_if(col(c).rlike(FLAG_PATTERN)).alias(f"b{i}"),
             ]
         row = df.agg(*tests).first()
         for i, c in enumerate(part):
             n = row[f"n{i}"]
-            hits = {"bigint": row[f"i{i}"], "double": row[f"d{i}"], "boolean": row[f"b{i}"]}
+            hits = {"bigint": row[f"l{i}"], "decimal(38,0)": row[f"i{i}"], "double": row[f"d{i}"], "boolean": row[f"b{i}"]}
             kinds[c] = next((k for k, hit in hits.items() if n and hit == n), "double" if not n else "string")
 
     def typed(c: str) -> Column:

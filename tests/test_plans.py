@@ -25,8 +25,9 @@ def test_default_plan():
     assert plan["feature_steps"] == [
         {"step": "encode_categorical", "columns": ["w"], "method": "label"},
         {"step": "log_transform", "columns": ["n"]}]
-    big = steps.default_plan(dataclasses.replace(BASE, n_rows=50_001), "y")
-    assert [s["step"] for s in big["feature_steps"]] == ["encode_categorical"]
+    big = dataclasses.replace(BASE, n_rows=10**12)
+    assert steps.default_plan(big, "y") == plan
+    assert [s["step"] for s in steps.default_plan(big, "y", steps.Limits(log_rows=50_000))["feature_steps"]] == ["encode_categorical"]
 
 
 def test_cleaning_check():
@@ -56,15 +57,18 @@ def test_feature_check():
         {"step": "encode_categorical", "columns": ["s"], "method": "onehot"},
         {"step": "log_transform", "columns": ["n"]},
         {"step": "polynomial_features", "columns": ["n"], "degree": 2},
-        {"step": "interaction_features", "columns": ["n", "m"]}]
+        {"step": "interaction_features", "columns": ["n", "m"]},
+        {"step": "interaction_features", "columns": ["m", "n"]}]
 
 
-def test_heavy_steps_need_a_small_narrow_table():
+def test_heavy_steps_are_bounded_only_on_request():
     asked = [{"step": "polynomial_features", "columns": ["n"]}, {"step": "interaction_features", "columns": ["n", "m"]}]
-    assert steps.check_features(asked, dataclasses.replace(BASE, n_rows=20_000), "y") == []
-    assert len(steps.check_features(asked, dataclasses.replace(BASE, n_rows=20_000), "y", heavy_rows=10**9)) == 2
+    big = dataclasses.replace(BASE, n_rows=10**12)
+    assert len(steps.check_features(asked, big, "y")) == 2
+    assert steps.check_features(asked, big, "y", steps.Limits(heavy_rows=20_000)) == []
+    assert len(steps.check_features(asked, big, "y", steps.Limits(heavy_steps=1))) == 1
     wide = dataclasses.replace(BASE, numeric=[*BASE.numeric, *[f"x{i}" for i in range(20)]])
-    assert [s["step"] for s in steps.check_features(asked, wide, "y")] == ["interaction_features"]
+    assert [s["step"] for s in steps.check_features(asked, wide, "y", steps.Limits(heavy_columns=20))] == ["interaction_features"]
 
 
 def test_fit_on_training_rows_apply_to_others(spark):
