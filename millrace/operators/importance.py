@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -14,10 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..functions.hashing import key_hash
+from ..functions.storage import stored
 from .metrics import r2
 from .models import FOURIER
 
-BUCKET_ROWS = 100_000
 
 
 def _table(df_or_spark, features: Sequence[str], values: Sequence[float]) -> DataFrame:
@@ -54,28 +53,34 @@ def native_importance(model: Model) -> np.ndarray | None:
     return None
 
 
-def permuted_rows(df: DataFrame, x: str, keys: Sequence[str], repeats: int, seed: int, n_rows: int) -> DataFrame:
-    """Add ``repeat`` and ``_next``: each row's ``x`` swapped along a random ring of rows.
+def permuted_rows(df: DataFrame, x: str, keys: Sequence[str], repeats: int, seed: int) -> DataFrame:
+    """Add ``repeat`` and ``_next``: each row's ``x`` swapped along one random ring of all rows.
 
-    Rows are ordered by a seeded key hash inside hash buckets of bounded size and
-    each takes the value of its successor (the last one that of the first), so every
-    repeat is a permutation, and no window is larger than a bucket.
+    Rows are ordered by a seeded key hash and each takes the value of its successor, the last one that of the first.
+    The order is cut into range partitions; the first value of each, one row a partition, closes the gaps between
+    them, so no window is larger than a partition and the ring is one whatever the number of rows.
     """
-    buckets = max(1, math.ceil(n_rows / BUCKET_ROWS))
     out = None
     for r in range(repeats):
-        h = key_hash(keys, seed=seed + r)
-        ring = Window.partitionBy("_bucket").orderBy("_h", *[col(k) for k in keys])
-        one = df.withColumns({"repeat": F.lit(r), "_h": h, "_bucket": h % buckets})
-        one = one.withColumn("_next", F.coalesce(F.lead(col(x)).over(ring), F.first(col(x)).over(ring)))
-        one = one.drop("_h", "_bucket")
+        order = [F.col("_h"), *[col(k) for k in keys]]
+        hashed = df.withColumns({"repeat": F.lit(r), "_h": key_hash(keys, seed=seed + r)})
+        ranged = stored(hashed.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ring")
+        firsts = ranged.groupBy("_part").agg(F.min_by(col(x), F.struct(*order)).alias("_first"))
+        along = Window.orderBy("_part")  # one row per partition
+        after = firsts.select("_part", F.when(F.lead(F.lit(1)).over(along).isNull(), F.first("_first").over(along))
+                              .otherwise(F.lead("_first").over(along)).alias("_after"))
+        inside = Window.partitionBy("_part").orderBy(*order)
+        last = F.lead(F.lit(1)).over(inside).isNull()
+        one = ranged.withColumns({"_last": last, "_lead": F.lead(col(x)).over(inside)}).join(F.broadcast(after), "_part")
+        one = one.withColumn("_next", F.when(F.col("_last"), F.col("_after")).otherwise(F.col("_lead")))
+        one = one.select(*[col(c) for c in df.columns], "repeat", "_next")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def permutation_drops(df: DataFrame, features: Sequence[str], predict: Callable[[DataFrame], DataFrame],
                       keys: Sequence[str], task: str, label: str = "label", x: str = "x", repeats: int = 5,
-                      seed: int = 42, n_rows: int | None = None) -> DataFrame:
+                      seed: int = 42) -> DataFrame:
     """``feature, drop``: mean fall of accuracy (r2 for regression) when one feature is permuted.
 
     ``x`` is an array of feature values; ``predict`` adds ``prediction`` from it. All
@@ -83,9 +88,8 @@ def permutation_drops(df: DataFrame, features: Sequence[str], predict: Callable[
     """
     y, p = col(label).cast("double"), F.col("prediction").cast("double")
     score = r2(y, p) if task == "regression" else F.avg((y == p).cast("double"))
-    n_rows = df.count() if n_rows is None else n_rows
     base = predict(df).agg(score.alias("s")).first()["s"]
-    rings = permuted_rows(df, x, keys, repeats, seed, n_rows)
+    rings = permuted_rows(df, x, keys, repeats, seed)
     swapped = rings.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
     swapped = swapped.withColumn(
         x, F.transform(col(x), lambda v, i: F.when(i == F.col("_j"), F.get(F.col("_next"), i)).otherwise(v)))

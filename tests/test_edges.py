@@ -214,10 +214,15 @@ def test_r2_of_constant_target_is_null(spark):
 
 def test_permuted_rows_are_a_permutation(spark):
     df = spark.range(1000).selectExpr("id", "array(double(id)) AS x")
-    out = permuted_rows(df, "x", ["id"], 3, 42, 1_000_000)
+    out = permuted_rows(df.repartition(7), "x", ["id"], 3, 42)
     for r in range(3):
         mine = [row["_next"][0] for row in out.where(f"repeat = {r}").collect()]
         assert sorted(mine) == [float(i) for i in range(1000)]
+        ring = {row["id"]: int(row["_next"][0]) for row in out.where(f"repeat = {r}").collect()}
+        at, seen = 0, 0
+        while seen < 1000 and (at != 0 or seen == 0):
+            at, seen = ring[at], seen + 1
+        assert seen == 1000  # one ring of all rows
 
 
 def test_chart_choice_and_null_level(spark):

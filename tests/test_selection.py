@@ -57,18 +57,26 @@ def test_linear_finds_the_rule_and_failures_are_left_out(table, tmp_path):
 
 
 def test_nothing_left(table):
-    got = selection.train_and_evaluate(table.drop("kind"), "amount", "regression", keys=["id"],
-                                       builders={"Broken": broken})
-    assert got.metric == "r2" and got.best is None and got.leaderboard.count() == 0
+    with pytest.raises(RuntimeError, match="no candidate"):
+        selection.train_and_evaluate(table.drop("kind"), "amount", "regression", keys=["id"], builders={"Broken": broken})
 
 
 def test_few_rows_score_in_sample(table):
     few = table.where("id < 80").drop("kind")
     got = selection.train_and_evaluate(few, "amount", "regression", "mae", keys=["id"],
-                                       builders={"Ridge": models.ridge()})
+                                       builders={"Ridge": models.ridge()}, min_rows_for_folds=100)
     assert got.leaderboard.first()["train_score"] is not None
 
 
+def test_rare_class_keeps_its_candidates(spark):
+    """A class with one row: some fits never see it, yet every candidate is scored."""
+    df = spark.range(300).selectExpr("id", "double(id % 17) AS a", "double(id % 5) AS b",
+                                     "CASE WHEN id = 77 THEN 'z' WHEN id % 17 > 8 THEN 'y' ELSE 'x' END AS kind")
+    got = selection.train_and_evaluate(df, "kind", "classification", "roc_auc", keys=["id"], cv=3,
+                                       builders={"LogisticRegression": models.candidates("classification")["LogisticRegression"]})
+    assert got.leaderboard.count() == 1 and got.leaderboard.first()["score"] > 0.9
+
+
 def test_three_classes_by_support(table):
     df = table.withColumn("kind", F.when(F.col("a") < 9, "low").when(F.col("a") < 25, "mid").otherwise("high"))
     got = selection.train_and_evaluate(
