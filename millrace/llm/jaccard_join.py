@@ -149,8 +149,13 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_co
     return _sets(docs, size, make, "hashes binary", id_col, text_col)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose whole sets are similar."""
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of ids whose whole sets are similar; only the sets of documents in pairs are made and moved."""
+    pairs = stored(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
+    sets = stored(_whole_sets(docs, ids, size, id_col, text_col), "sets")
     both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("of_a")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("of_b")), "b").select("a", "b", "of_a", "of_b"))
     schema = T.StructType([both.schema["a"], both.schema["b"]])
@@ -164,7 +169,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(run, schema).distinct()  # a row listed twice has its set twice
 
 
 def similar_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,14 +194,13 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col
     groups = stored(groups, "groups")
     shared = groups.filter("members > 1").select("grp").unionAll(buckets.select("grp").distinct()).distinct()
     members = stored(members.join(shared, "grp", "left_semi"), "members")
-    sets = stored(_whole_sets(docs, members.select("id"), size, id_col, text_col), "sets").dropDuplicates(["id"])
 
     star = (buckets.filter((F.col("grp") != F.col("hub")) & _may_be_similar(F.col("n"), F.col("at"), F.col("hub_n"), F.col("hub_at"), percent))
             .select("grp", "hub").distinct()
             .join(groups.select(F.col("grp").alias("hub"), F.col("first").alias("b")), "hub").select("grp", "b"))
     star = star.unionAll(groups.filter("members > 1").select("grp", F.col("first").alias("b")))
     pairs = members.join(star, "grp").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    links = stored(_verified(pairs, sets, percent), "links")
+    links = stored(_verified(pairs, docs, size, percent, id_col, text_col), "links")
     found = components(links)
 
     placed = stored(members.join(found, "id", "left").select("id", "grp", F.coalesce("component", "id").alias("component")), "placed")
@@ -213,7 +217,7 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col
     right = placed.select(F.col("grp").alias("other"), F.col("id").alias("b"), F.col("component").alias("its"))
     cross_pairs = (crossed.join(placed, "grp").join(right, "other").filter("component <> its")
                    .select(F.col("id").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"))
-    more = stored(_verified(stored(cross_pairs, "cross-pairs"), sets, percent), "more-links")
+    more = stored(_verified(cross_pairs, docs, size, percent, id_col, text_col), "more-links")
     every = links if more.isEmpty() else links.unionAll(more)
     final = stored(found if every is links else components(every), "components")
 
