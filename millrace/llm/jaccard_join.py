@@ -18,6 +18,7 @@ row without an id has no component; an empty table gives an empty result; other
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -36,8 +37,10 @@ from .components import components
 from .names import fresh
 from .shingles import shingle_set
 
-#: Counters of the shingle frequencies (as bits), and how many go in one row. Their size does not grow with the data.
-COUNTER_BITS, CHUNK_BITS = 22, 16
+#: Counters of the shingle frequencies (as bits), and how many go in one row. Their size does not grow with the data:
+#: 16 MB, one byte each. Beyond a few billion shingles only frequencies above the counters' mean still show.
+COUNTER_BITS, CHUNK_BITS = 24, 18
+MOST = 255
 
 
 def _lower(text: bytes) -> bytes:
@@ -69,17 +72,19 @@ def _sets(docs: DataFrame, size: int, make: Callable, fields: str, id_col: str,
 def _summaries(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """Rows of documents (id, n, digest) and, with ``chunk``, the tasks' counters."""
     def make() -> tuple[Callable, Callable]:
-        counts = np.zeros(1 << COUNTER_BITS, np.uint32)
+        counts = np.zeros(1 << COUNTER_BITS, np.uint8)
 
         def one(_: int, hashes: Callable) -> tuple:
             found = hashes()
-            np.add.at(counts, found & np.uint64((1 << COUNTER_BITS) - 1), 1)
+            spots, times = np.unique(found & np.uint64((1 << COUNTER_BITS) - 1), return_counts=True)
+            spots = spots.astype(np.int64)
+            counts[spots] = np.minimum(counts[spots].astype(np.int64) + times, MOST)
             return len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), None, None
 
         def end() -> Iterator[tuple]:
-            for k, part in enumerate(np.split(np.minimum(counts, 65535).astype("<u2"), 1 << (COUNTER_BITS - CHUNK_BITS))):
+            for k, part in enumerate(np.split(counts, 1 << (COUNTER_BITS - CHUNK_BITS))):
                 if part.any():
-                    yield None, (None, None, k, part.tobytes())
+                    yield None, (None, None, k, zlib.compress(part.tobytes(), 1))
 
         return one, end
 
@@ -87,20 +92,20 @@ def _summaries(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
 
 
 def _counters(rows: DataFrame) -> np.ndarray:
-    """The tasks' counters added up: 2 ** COUNTER_BITS numbers."""
+    """The tasks' counters added up, each at most MOST: 2 ** COUNTER_BITS bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(*batch.columns):
-                part = np.frombuffer(counts.as_py(), "<u2").astype(np.uint32)
-                total[k] = total[k] + part if (k := chunk.as_py()) in total else part
-        yield from rows_to_batches(((k, (v.astype("<u4").tobytes(),)) for k, v in total.items()), [("chunk", pa.int32()), ("counts", pa.binary())])
+                part = np.frombuffer(zlib.decompress(counts.as_py()), np.uint8).astype(np.uint16)
+                total[k] = np.minimum(total[k] + part, MOST) if (k := chunk.as_py()) in total else part
+        yield from rows_to_batches(((k, (v.astype(np.uint8).tobytes(),)) for k, v in total.items()), [("chunk", pa.int32()), ("counts", pa.binary())])
 
     parts = 1 << (COUNTER_BITS - CHUNK_BITS)
     added = rows.select("chunk", "counts").repartition(parts, "chunk").mapInArrow(run, "chunk int, counts binary")
-    out = np.zeros((parts, 1 << CHUNK_BITS), np.uint32)
+    out = np.zeros((parts, 1 << CHUNK_BITS), np.uint8)
     for row in added.toLocalIterator():
-        out[row.chunk] = np.frombuffer(row.counts, "<u4")
+        out[row.chunk] = np.frombuffer(row.counts, np.uint8)
     return out.ravel()
 
 
@@ -114,8 +119,8 @@ def _prefixes(docs: DataFrame, counters: Any, size: int, percent: int, id_col: s
             n = len(found)
             if not n:
                 return None
-            often = np.minimum(counts[found & np.uint64((1 << COUNTER_BITS) - 1)], (1 << 20) - 1).astype(np.uint64)
-            order = np.argsort((often << np.uint64(44)) | (found >> np.uint64(20)), kind="stable")[:n - -(-percent * n // 100) + 1]
+            often = counts[(found & np.uint64((1 << COUNTER_BITS) - 1)).astype(np.int64)].astype(np.uint64)
+            order = np.argsort((often << np.uint64(56)) | (found >> np.uint64(8)), kind="stable")[:n - -(-percent * n // 100) + 1]
             prefix = found[order]
             group = hashlib.blake2b(n.to_bytes(8, "little") + prefix.tobytes(), digest_size=8).digest()
             return (n, hashlib.blake2b(found.tobytes(), digest_size=16).digest(), int.from_bytes(group, "little", signed=True),
@@ -181,19 +186,19 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col
     classes = stored(rows.filter("n > 0").groupBy("n", "digest").agg(F.min("id").alias("first")), "classes")
     firsts = classes.select(F.col("first").alias("id"))
 
-    prefixes = stored(_prefixes(docs, counters, size, percent, id_col, text_col).join(firsts, "id", "left_semi"), "prefixes")
-    members = prefixes.select("id", "grp").distinct()
-    groups = prefixes.groupBy("grp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("members"))
-    entries = (prefixes.select("grp", "n", "central", F.posexplode("prefix").alias("at", "shingle")))
+    prefixes = stored(_prefixes(docs, counters, size, percent, id_col, text_col), "prefixes")
+    members = stored(prefixes.select("id", "grp").join(firsts, "id", "left_semi").distinct(), "members")
+    groups = stored(members.groupBy("grp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("members")), "groups")
+    # one document speaks for its group; an id listed twice adds equal rows only
+    leaders = prefixes.join(groups.select("grp", F.col("first").alias("id")), ["id", "grp"], "left_semi")
+    entries = leaders.select("grp", "n", "central", F.posexplode("prefix").alias("at", "shingle"))
     bucket = Window.partitionBy("shingle")
-    buckets = (entries.dropDuplicates(["shingle", "grp"])
-               .withColumns({"groups": F.count(F.lit(1)).over(bucket),
-                             "hub": F.max(F.struct("central", "grp", "n", "at")).over(bucket)}).filter("groups > 1"))
+    buckets = (entries.withColumns({"least": F.min("grp").over(bucket), "most": F.max("grp").over(bucket),
+                                    "hub": F.max(F.struct("central", "grp", "n", "at")).over(bucket)}).filter("least <> most"))
     buckets = stored(buckets.select("shingle", "grp", "n", "at", F.col("hub.grp").alias("hub"),
                                     F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at")), "buckets")
-    groups = stored(groups, "groups")
     shared = groups.filter("members > 1").select("grp").unionAll(buckets.select("grp").distinct()).distinct()
-    members = stored(members.join(shared, "grp", "left_semi"), "members")
+    members = stored(members.join(shared, "grp", "left_semi"), "shared-members")
 
     star = (buckets.filter((F.col("grp") != F.col("hub")) & _may_be_similar(F.col("n"), F.col("at"), F.col("hub_n"), F.col("hub_at"), percent))
             .select("grp", "hub").distinct()
