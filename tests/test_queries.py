@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as entry_points
 import checkall
+from catalog.registry import QUERIES
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, sf_dir, name):
     assert checkall.compare(spark, duck, sf_dir, name) == ""
 
