@@ -126,65 +126,67 @@ def suffix_array(text: np.ndarray, buckets: int) -> np.ndarray:
     order = rough[chosen[rough]]
     names, count = _named(text, order, spots)
     if count < len(spots):
-        order = spots[np.array(_by_names(names.tolist(), count))]
+        order = spots[_by_names(names, count)]
     return induced(text, small, order, buckets)
 
 
-def _by_names(text: list[int], count: int) -> list[int]:
-    """Suffix order of a string of names below ``count`` that ends in its only 0; one suffix at a time."""
+def _by_names(text: np.ndarray, count: int) -> np.ndarray:
+    """Suffix order of a string of names below ``count`` that ends in its only 0; it is induced one suffix at a time."""
     n = len(text)
     if n == 1:
-        return [0]
-    small = [True] * n
-    for i in range(n - 2, -1, -1):
-        x, y = text[i], text[i + 1]
-        small[i] = x < y or (x == y and small[i + 1])
-    sizes = [0] * count
-    for x in text:
-        sizes[x] += 1
-    heads, total = [0] * count, 0
-    for c in range(count):
-        heads[c] = total
-        total += sizes[c]
-    tails = [h + s for h, s in zip(heads, sizes)]
-    spots = [i for i in range(1, n) if small[i] and not small[i - 1]]
-
-    def induce(first: list[int]) -> list[int]:
-        out = [-1] * n
-        at = tails[:]
-        for i in reversed(first):
-            c = text[i]
-            at[c] -= 1
-            out[at[c]] = i
+        return np.zeros(1, np.int64)
+    small = smaller(text)
+    spots = leftmost(small)
+    sizes = np.bincount(text, minlength=count)
+    ends = np.cumsum(sizes)
+    heads, tails = (ends - sizes).tolist(), ends.tolist()
+    # the name before each suffix if that one is larger (smaller), else -1; the last entry is for empty places
+    to_large, to_small = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
+    to_large[1:n] = np.where(small[:-1], -1, text[:-1])
+    to_small[1:n] = np.where(small[:-1], text[:-1], -1)
+    large, little = to_large.tolist(), to_small.tolist()
+
+    def induce(first: np.ndarray) -> np.ndarray:
+        out = np.full(n, -1, np.int64)
+        names = text[first]
+        order = np.argsort(names, kind="stable")
+        rank = np.arange(len(first)) - np.searchsorted(names[order], names[order])
+        starts = np.bincount(names, minlength=count)
+        out[ends[names[order]] - starts[names[order]] + rank] = first[order]
+        out = out.tolist()
         at = heads[:]
         for i in out:
-            if i > 0 and not small[i - 1]:
-                c = text[i - 1]
-                out[at[c]] = i - 1
-                at[c] += 1
+            c = large[i]
+            if c >= 0:
+                k = at[c]
+                out[k] = i - 1
+                at[c] = k + 1
         at = tails[:]
-        for k in range(n - 1, -1, -1):
-            i = out[k]
-            if i > 0 and small[i - 1]:
-                c = text[i - 1]
-                at[c] -= 1
-                out[at[c]] = i - 1
-        return out
-
-    chosen = bytearray(n)
-    for i in spots:
-        chosen[i] = 1
-    order = [i for i in induce(spots) if chosen[i]]
-    after = dict(zip(spots, spots[1:]))
-    names, name, last = {}, -1, None
-    for i in order:
-        piece = text[i:after.get(i, i) + 1]
-        if piece != last:
-            name += 1
-            last = piece
-        names[i] = name
-    if name + 1 < len(spots):
-        order = [spots[k] for k in _by_names([names[i] for i in spots], name + 1)]
+        for i in reversed(out):
+            c = little[i]
+            if c >= 0:
+                at[c] = k = at[c] - 1
+                out[k] = i - 1
+        return np.array(out)
+
+    chosen = np.zeros(n, bool)
+    chosen[spots] = True
+    rough = induce(spots)
+    order = rough[chosen[rough]]
+    length = np.zeros(n, np.int64)
+    length[spots] = np.r_[spots[1:], n - 1] - spots + 1
+    same = length[order[:-1]] == length[order[1:]]
+    open_, at = np.flatnonzero(same), 0
+    while len(open_):
+        x, y = order[open_], order[open_ + 1]
+        differ = text[x + at] != text[y + at]
+        same[open_[differ]] = False
+        open_ = open_[~differ & (length[x] > at + 1)]
+        at += 1
+    names = np.zeros(n, np.int64)
+    names[order] = np.r_[0, np.cumsum(~same)]
+    if same.any():
+        order = spots[_by_names(names[spots], int((~same).sum()) + 1)]
     return induce(order)
 
 
@@ -192,18 +194,24 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     """For each position in text order, how many symbols (``most`` at most) its suffix shares with the one before it in the array."""
     before = np.full(len(text), -1, np.int64)
     before[order[1:]] = order[:-1]
-    padded = np.r_[np.asarray(text, np.int64), np.zeros(most + 4, np.int64)]
-    words = _words(padded)
+    bits = max(1, int(text.max()).bit_length())
+    per = 64 // bits  # symbols compared at a time
+    padded = np.concatenate([text, np.zeros(most + per, np.int64)]).astype(np.uint64)
+    words = np.zeros(len(text) + most, np.uint64)
+    for k in range(per):
+        words = words << np.uint64(bits) | padded[k:k + len(words)]
     out = np.zeros(len(text), np.int64)
     open_ = np.flatnonzero(before >= 0)
+    other = before[open_]
     at = 0
     while at < most and len(open_):
-        same = words[open_ + at] == words[before[open_] + at]
-        stuck = open_[~same]
-        for k in range(3):  # the last few symbols one by one
-            stuck = stuck[padded[stuck + at + k] == padded[before[stuck] + at + k]]
+        same = words[open_ + at] == words[other + at]
+        stuck, beside = open_[~same], other[~same]
+        for k in range(per - 1):  # the last few symbols one by one
+            equal = padded[stuck + at + k] == padded[beside + at + k]
+            stuck, beside = stuck[equal], beside[equal]
             out[stuck] += 1
-        open_ = open_[same]
-        out[open_] += 4
-        at += 4
+        open_, other = open_[same], other[same]
+        out[open_] += per
+        at += per
     return np.minimum(out, most)

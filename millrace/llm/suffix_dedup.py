@@ -8,8 +8,9 @@ equal anchors, and the strings of one anchor lie next to each other in a text: a
 2. Equal stretches are one from here on; all but the first go.
 3. The different stretches of an anchor meet in a shard, which makes a suffix array of its stretches by induced
    sorting and permuted common prefixes; runs of common prefixes of ``WINDOW`` bytes are equal strings, of which all
-   but the earliest go. Stretches of an anchor with very many different ones are taken apart into their strings, which
-   are grouped by hash with map-side combination instead, so no shard grows with a common line.
+   but the earliest go. Stretches of an anchor with more different ones than fill a shard are taken apart
+   instead: halves with unique bytes beside the anchor are left out, the strings of the others are grouped by hash
+   with map-side combination, so no shard grows with a common line.
 4. The strings' places are united for each document.
 
 Only hashes and the stretches in question are moved, and texts of documents that lose something. Defined cases: a null
@@ -40,8 +41,8 @@ from .suffix_array import common_prefixes, suffix_array
 WINDOW, ANCHOR = 100, 32
 #: Stretch bytes of a shard, about.
 SHARD_BYTES = 1 << 20
-#: Different stretches of an anchor that may share a shard; beyond, their strings are grouped by hash.
-CROWD = 1024
+#: Different stretches of an anchor that may meet in a shard: about as many as fill it.
+CROWD = SHARD_BYTES // WINDOW
 #: Bytes of a text looked at together; the next part begins a window's length before its end.
 PART = 1 << 22
 
@@ -64,8 +65,11 @@ def stretches(text: bytes, window: int = WINDOW, anchor: int = ANCHOR) -> Iterat
         if span < width:
             least = np.minimum(least[:len(least) - (width - span)], least[width - span:])
         at = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
-        cut = np.flatnonzero(np.diff(at)) + 1
-        start, end = np.r_[0, cut], np.r_[cut, n]
+        edge = np.empty(n + 1, bool)
+        edge[0] = edge[n] = True
+        np.not_equal(at[1:], at[:-1], out=edge[1:n])
+        edge = np.flatnonzero(edge)
+        start, end = edge[:-1], edge[1:]
         stop = end + window - 1
         with np.errstate(over="ignore"):
             content = mixed((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
@@ -78,48 +82,53 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _anchors(source: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0):
-                for anchor, *_ in stretches(text.as_py() or b"", window):
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64))], ["anchor"])
+        def each() -> Iterator[tuple]:
+            for batch in batches:
+                for text in batch.column(0):
+                    for anchor, *_ in stretches(text.as_py() or b"", window):
+                        yield (anchor,)
 
-    return source.select("text").mapInArrow(_merged(run), "anchor long")
+        for (anchor,) in _gathered(each()):
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64))], ["anchor"])
 
+    return source.select("text").mapInArrow(run, "anchor long")
 
-def _merged(run):  # small batches cost more than their rows
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for b in run(batches):
-            held.append(b)
-            rows += b.num_rows
-            if rows >= 50_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, rows = [], 0
-        if rows:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    return merged
+def _gathered(arrays: Iterator[tuple], rows: int = 50_000) -> Iterator[list[np.ndarray]]:
+    """Tuples of arrays joined until they are long enough for a batch."""
+    held, n = [], 0
+    for each in arrays:
+        held.append(each)
+        n += len(each[0])
+        if n >= rows:
+            yield [np.concatenate(x) for x in zip(*held)]
+            held, n = [], 0
+    if n:
+        yield [np.concatenate(x) for x in zip(*held)]
 
 
 def _suspects(source: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
     """id, anchor, content, start, n of the stretches whose anchor may occur twice."""
     bits = source.sparkSession.sparkContext.broadcast(bit_filter.build(repeated))
     schema = T.StructType([source.schema["id"], *T._parse_datatype_string("anchor long, content long, start long, n long").fields])
-    types = arrow_types(schema)
+    types = pa.schema(arrow_types(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bits.value
         for batch in batches:
-            for i, text in zip(*batch.columns):
-                for anchor, content, start, n in stretches(text.as_py() or b"", window):
-                    keep = bit_filter.may_hold(words, anchor)
-                    if keep.any():
-                        k = int(keep.sum())
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([i.as_py()] * k, types[0][1]), pa.array(anchor[keep].view(np.int64)), pa.array(content[keep].view(np.int64)),
-                             pa.array(start[keep].astype(np.int64)), pa.array(n[keep].astype(np.int64))], schema=pa.schema(types))
+            ids, texts = batch.columns
+
+            def each(texts: pa.Array = texts) -> Iterator[tuple]:
+                for k, text in enumerate(texts):
+                    for anchor, *more in stretches(text.as_py() or b"", window):
+                        keep = np.flatnonzero(bit_filter.may_hold(words, anchor))
+                        if len(keep):
+                            yield np.full(len(keep), k), anchor[keep].view(np.int64), *(x[keep].astype(np.uint64).view(np.int64) for x in more)
 
-    return source.mapInArrow(_merged(run), schema)
+            for k, *values in _gathered(each()):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(k)), *map(pa.array, values)], schema=types)
+
+    return source.mapInArrow(run, schema)
 
 
 def _texts_of(source: DataFrame, ids: DataFrame) -> DataFrame:
@@ -203,26 +212,70 @@ def _shard_repeats(slices: DataFrame, shards: int, window: int) -> DataFrame:
     return slices.repartition(shards, "anchor").select("id", "start", "content").mapInArrow(run, schema)
 
 
-def _crowd_repeats(slices: DataFrame, window: int) -> DataFrame:
-    """The same for anchors with very many stretches: strings by hash, the earliest found with map-side combination."""
-    schema = T.StructType([slices.schema["id"], *T._parse_datatype_string("anchor long, string long, start long").fields])
+def _halves(content: bytes, window: int, anchor: int) -> Iterator[tuple[int, int, int, int]]:
+    """A stretch in two: the strings that reach far to the left of the anchor, and the others, which reach far to the right.
+
+    Side, hash of the bytes that all strings of the half have beside the anchor, first string, number of strings.
+    """
+    far = (window - anchor) // 2
+    total, down = sums(content)
+    n = len(content) - window + 1
+    with np.errstate(over="ignore"):
+        h = mixed((total[anchor:window + 1] - total[:window - anchor + 1]) * down[:window - anchor + 1])
+        at = int(np.argmin(h >> np.uint64(24)))
+
+        def beside(a: int, b: int) -> int:
+            return int(mixed((total[b:b + 1] - total[a:a + 1]) * down[a:a + 1]).view(np.int64)[0])
+
+        left = min(n, max(0, at - far + 1))
+        if left:
+            yield 0, beside(at - far, at), 0, left
+        if left < n:
+            yield 1, beside(at + anchor, at + anchor + far), left, n - left
+
+
+def _crowd_repeats(slices: DataFrame, window: int, anchor: int = ANCHOR) -> DataFrame:
+    """The same for anchors with very many stretches.
+
+    Halves whose bytes beside the anchor occur once are left out: a common short line among different contexts ends
+    there. The strings of the others are grouped by hash, the earliest found with map-side combination.
+    """
+    id_field = slices.schema["id"]
+    halves_schema = T.StructType([id_field, *T._parse_datatype_string("anchor long, side int, beside long, start long, content binary").fields])
+    halves_types = arrow_types(halves_schema)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for i, a, start, content in zip(*batch.columns):
+                    content, a, start = content.as_py(), a.as_py(), start.as_py()
+                    for side, beside, first, n in _halves(content, window, anchor):
+                        yield i, (a, side, beside, start + first, content[first:first + n + window - 1])
+
+        yield from rows_to_batches(rows(), halves_types, 8192)
+
+    same = ["anchor", "side", "beside"]
+    halves = stored(slices.mapInArrow(split, halves_schema), "halves")
+    again = halves.groupBy(*same).agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select(*same)
+    halves = halves.join(again, same, "left_semi").select("id", "anchor", "start", "content")
+    schema = T.StructType([id_field, *T._parse_datatype_string("anchor long, string long, start long").fields])
     types = arrow_types(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for i, anchor, start, content in zip(*batch.columns):
-                    content, anchor, start = content.as_py(), anchor.as_py(), start.as_py()
+                for i, a, start, content in zip(*batch.columns):
+                    content, a, start = content.as_py(), a.as_py(), start.as_py()
                     total, down = sums(content)
                     n = len(content) - window + 1
                     with np.errstate(over="ignore"):
                         strings = mixed((total[window:] - total[:-window]) * down[:n]).view(np.int64).tolist()
                     for k, s in enumerate(strings):
-                        yield i, (anchor, s, start + k)
+                        yield i, (a, s, start + k)
 
         yield from rows_to_batches(rows(), types, 16384)
 
-    strings = stored(slices.mapInArrow(run, schema), "crowd-strings")
+    strings = stored(halves.mapInArrow(run, schema), "crowd-strings")
     same = ["anchor", "string"]
     first = strings.groupBy(*same).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "start")).alias("first")).filter("times > 1")
     return (strings.join(first, same).filter((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start")))
@@ -249,15 +302,13 @@ def repeated_strings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     return out.unionAll(_crowd_repeats(slices.join(crowded, "anchor", "left_semi").select("id", "anchor", "start", "content"), window))
 
 
-def united(starts: list[int], counts: list[int], window: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes that the strings cover."""
-    out: list[list[int]] = []
-    for s, n in sorted(zip(starts, counts)):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s + n + window - 1)
-        else:
-            out.append([s, s + n + window - 1])
-    return [(a, b) for a, b in out]
+def united(starts: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes that the strings cover."""
+    order = np.argsort(starts, kind="stable")
+    starts = starts[order]
+    ends = np.maximum.accumulate(starts + counts[order] + window - 1)
+    gap = np.flatnonzero(starts[1:] > ends[:-1]) + 1
+    return starts[np.concatenate([[0], gap])], ends[np.concatenate([gap - 1, [len(ends) - 1]])]
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
@@ -272,14 +323,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     merged_types = arrow_types(merged_schema)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple]:
-            for batch in batches:
-                for i, listed in zip(*batch.columns):
-                    listed = listed.as_py()
-                    spans = united([x["start"] for x in listed], [x["n"] for x in listed], window)
-                    yield i, ([{"start": a, "end": b} for a, b in spans],)
-
-        yield from rows_to_batches(each(), merged_types)
+        for batch in batches:
+            ids, listed = batch.columns
+            at, flat = listed.offsets.to_numpy(), listed.values
+            starts, counts = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            found = [united(starts[a:b], counts[a:b], window) for a, b in zip(at[:-1], at[1:])]
+            offsets = np.cumsum([0, *(len(x) for x, _ in found)])
+            both = [pa.array(np.concatenate(x)) for x in zip(*found)] or [pa.array([], pa.int64())] * 2
+            spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(both, ["start", "end"]))
+            yield pa.RecordBatch.from_arrays([ids, spans.cast(merged_types[1][1])], schema=pa.schema(merged_types))
 
     spans = stored(lists.mapInArrow(merge, merged_schema), "spans")
     sized = stored(spans.join(rows.dropDuplicates(["id"]), "id").select("id", "spans", "n_bytes"), "sized-spans")
