@@ -13,7 +13,6 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,16 +33,11 @@ END = 0
 DIMS, BITS = 3, 16
 #: Tokens that a partition packs, about.
 PARTITION_TOKENS = 1 << 21
-#: Text pieces whose ids a task keeps; then it starts anew.
-REMEMBERED = 300_000
-
 #: Tokens of a document that travel in one row, so that rows and partitions are of like size.
 ROW_TOKENS = 8192
 
-#: Unicode's white space, one character.
-_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-#: Runs of letters and digits with one blank before them and inner apostrophes, and what stands between such runs.
-_PIECES = re.compile(rf"{_SPACE}?[^\W_]+(?:'[^\W_]+)*|(?:[^\w']|_|'[^\W_]*)+?(?={_SPACE}?[^\W_]|\Z)")
+#: Fixed value: how byte-level tokenizers of this family cut a text into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def default_tokenizer() -> str:
@@ -52,10 +46,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _bytes_of() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 class Encoder:
-    """Token ids of whole texts, with the ids of pieces remembered.
+    """Token ids of whole texts by a tokenizer file; strings of special tokens in a text are ordinary text.
 
-    The tokenizer never joins tokens across the borders of ``_PIECES``, so pieces are encoded on their own.
+    A byte-level BPE vocabulary whose ids are the order of its merges is handed to a faster merger of the same ids,
+    which a probe confirms; any other file is used as it is.
     """
 
     def __init__(self, path: str) -> None:
@@ -63,21 +65,30 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.merger = self._merger()
+
+    def _merger(self):
+        import tiktoken
+
+        byte = _bytes_of()
+        ordinary = {t: i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if all(c in byte for c in t)}
+        ranks = {bytes(byte[c] for c in t): i for t, i in ordinary.items()}
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {b: i for b, i in ranks.items() if b.decode("utf-8", "replace") not in special}
+        if any(bytes([b]) not in ranks for b in range(256)):
+            return None
+        merger = tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+        probe = "It's a test; déjà vu, 日本語  12345 ~~~\n\n\t<tag attr='x'>We'LL see\u2003 \x1c🙂 supercalifragilistic" + "ab" * 60
+        same = merger.encode_ordinary(probe) == self.tokenizer.encode(probe, add_special_tokens=False).ids
+        return merger if same else None
 
     def ids(self, text: str) -> np.ndarray:
-        pieces = _PIECES.findall(text)
-        new = [p for p in set(pieces) if p not in self.known]
-        if new:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-                new = list(set(pieces))
-            for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, self.kind).tobytes()
-        return np.frombuffer(b"".join([self.known[p] for p in pieces]), self.kind)
+        if self.merger is None:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+        return np.array(self.merger.encode_ordinary(text), self.kind)
 
 
 def directions(ids: int, dims: int = DIMS, seed: int = 11) -> np.ndarray:
