@@ -43,11 +43,19 @@ def _winners(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), first["id"].alias("keep_id"))
 
 
+def frequent_digests(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """The digests that a Misra-Gries sketch of ``rows`` holds: at most 1 / support, among them all of a larger share.
+
+    The sketch takes hex strings, as its map would tell equal byte arrays apart.
+    """
+    sketched = rows.select(F.hex("digest").alias("hex")).stat.freqItems(["hex"], support)
+    return sketched.select(F.explode("hex_freqItems").alias("hex")).select(F.unhex("hex").alias("digest"))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """One row per input row: id, n_chars, digest, keep_id, group_size."""
     rows = stored(fingerprints(docs, id_col, text_col), "digests")
-    sketched = rows.stat.freqItems(["digest"], support)
-    frequent = sketched.select(F.explode("digest_freqItems").alias("digest"))
+    frequent = frequent_digests(rows, support)
     heavy = stored(_winners(rows.join(F.broadcast(frequent), "digest", "left_semi")), "heavy-digests")
     heavy = F.broadcast(heavy.filter(F.col("group_size") > 1))  # at most 1 / support rows
     rest = rows.join(heavy, "digest", "left_anti")

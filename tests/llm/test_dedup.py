@@ -43,6 +43,17 @@ def test_exact_heavy_group_is_not_shuffled(spark):
     assert "BroadcastHashJoin" in out._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("front", [True, False])
+def test_exact_sketch_counts(spark, front):
+    """A digest on a third of the rows is sketched, whether its rows come first in their partitions or are spread."""
+    hot = "id % 10000 < 3333" if front else "id % 3 = 0"
+    docs = spark.range(0, 60000, 1, 6).selectExpr("id AS doc_id", f"if({hot}, 'same', if(id % 100 = 99, 'often', cast(id AS string))) AS text")
+    got = exact_dedup.frequent_digests(exact_dedup.fingerprints(docs)).collect()
+    digests = [bytes(r.digest) for r in got]
+    assert len(digests) == len(set(digests)) <= 2000
+    assert {hashlib.sha256(x).digest() for x in (b"same", b"often")} <= set(digests)
+
+
 def find(parent: dict, x):
     while parent[x] != x:
         parent[x] = parent[parent[x]]
