@@ -1,29 +1,37 @@
 """Secret scans that look through encodings.
 
-A worklist starts with the text. Every layer is scanned with the same patterns, then its percent-encoded, backslash-
-escaped, base64 and compressed regions are decoded into further layers, until nothing new appears. Layers remember
-where each of their characters came from, so findings in decoded layers point at the text itself. A layer that was
-seen before is not opened again, which ends cycles.
+A worklist starts with the text. Every layer is scanned with the same patterns, then its percent-encoded and backslash-
+escaped characters (all of the layer at once), its base64 runs and the compressed data in it are decoded into further
+layers, until nothing new appears. Bytes become one character each. Layers
+remember where each of their characters came from, so findings in decoded layers point at the text itself. A layer
+that was seen before is not opened again, which ends cycles.
+
+Compressed data right below base64 is opened up to the first fault. Output beyond ``WINDOW`` bytes is scanned in windows that overlap; compressed data in it goes on over
+their borders, and of the rest only what is longer than ``OVERLAP`` and lies over a border can be missed.
 
 Defined cases: a null or empty text has no spans; spans are in code points of the original text; rows are independent;
-other columns are ignored. Compressed data opens into at most ``MAX_OPENED`` bytes, a guard against bombs.
+other columns are ignored. A document whose compressed data opens into more than ``MAX_OPENED`` bytes, or nests deeper
+than ``MAX_DEPTH``, is a bomb: what is left is not opened, and its span is listed as ``unopened@...``.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
-from collections.abc import Callable, Iterator
-from urllib.parse import unquote_to_bytes
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame
 
 from .batches import per_text
 
-MAX_OPENED = 1 << 26
+MAX_OPENED, MAX_DEPTH = 1 << 36, 1000
+#: Bytes of decompressed output that are one layer, and how many of them the next one repeats.
+WINDOW, OVERLAP = 1 << 26, 1 << 20
+#: Bytes given to the decompressor at once.
+PIECE = 1024
 #: The shortest base64 run that is opened.
 LEAST_BASE64 = 16
 
@@ -33,29 +41,68 @@ ASSIGN = re.compile(r"""((?:(?i:password|passwd|secret|token|api_?key)))["']?\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 
-TOKEN = re.compile(r"\S+")
-ONE_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
+ONE_PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
 ONE_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{%d,}|[A-Za-z0-9_-]{%d,})={0,2}" % (LEAST_BASE64, LEAST_BASE64))
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % LEAST_BASE64)
+WIDE = re.compile("[^\x00-\xff]")
+COMPRESSED = re.compile("\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
 
 _HEX_MAP = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _BASE64_MAP = bytes(120 if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-" else 32 for b in range(256))
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 
+class Shifts:
+    """Places in a text after some of its stretches became one character each (``width`` 1) or were cut out (0)."""
+
+    def __init__(self, width: int) -> None:
+        self.width, self.at, self.start, self.end = width, [], [], []
+
+    def add(self, at: int, start: int, end: int) -> None:
+        self.at.append(at)
+        self.start.append(start)
+        self.end.append(end)
+
+    def place(self, i: int) -> tuple[int, int]:
+        k = bisect_right(self.at, i) - 1
+        if k < 0:
+            return i, i + 1
+        if self.width and self.at[k] == i:
+            return self.start[k], self.end[k]
+        i += self.end[k] - self.at[k] - self.width
+        return i, i + 1
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        return self.place(start)[0], self.place(end - 1)[1]
+
+    def touched(self, start: int, end: int) -> bool:
+        """Whether a replaced character is in the span or beside it."""
+        return bisect_left(self.at, start - 1) < bisect_left(self.at, end + 1)
 
-class Whole:
-    """The spans of a decompressed layer: every character came from the whole region."""
 
-    def __init__(self, start: int, end: int) -> None:
-        self.span = (start, end)
+class Layer:
+    """Decoded text, where its spans are in the layer above, and the encodings passed."""
 
-    def __getitem__(self, at: int) -> tuple[int, int]:
-        return self.span
+    def __init__(self, text: str, up: Layer | None = None, span: Callable[[int, int], tuple[int, int]] | None = None, how: str = "",
+                 whole: bool = False, touched: Callable[[int, int], bool] = lambda start, end: True,
+                 source: Callable[[], Iterable[bytes]] | None = None) -> None:
+        self.text, self.up, self._span, self.touched, self.source = text, up, span, touched, source
+        self.depth = up.depth + 1 if up else 0
+        self.padded = how == "base64"
+        self.path = how if not up or not up.path else f"{up.path}{'+' if source else '>'}{how}"
+        self.whole = whole or bool(up and up.whole)
 
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        """The span in the text itself."""
+        layer = self
+        while layer.up:
+            start, end = layer._span(start, end)
+            layer = layer.up
+        return start, end
 
-Spans = list[tuple[int, int]] | Whole
-Layer = tuple[str, Spans | None, str]
+
+class Bomb(Exception):
+    pass
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -66,128 +113,196 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _decoded(raw: bytes, spans: Spans) -> tuple[str, Spans] | None:
-    """UTF-8 text of decoded bytes with the span of each character; None if it is no readable text."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    if not text or any(ord(c) < 32 and c not in "\t\n\r\f\v" for c in text):
-        return None
-    if isinstance(spans, Whole):
-        return text, spans
-    out, at = [], 0
-    for c in text:
-        n = len(c.encode())
-        out.append((spans[at][0], spans[at + n - 1][1]))
-        at += n
-    return text, out
-
-
-def _percent(text: str, start: int) -> tuple[bytes, list[tuple[int, int]]]:
-    raw, spans, i = bytearray(), [], 0
-    while i < len(text):
-        if text[i] == "%" and ONE_PERCENT.match(text, i):
-            raw += unquote_to_bytes(text[i:i + 3])
-            spans.append((start + i, start + i + 3))
-            i += 3
-        else:
-            part = text[i].encode("utf-8", "surrogatepass")
-            raw += part
-            spans += [(start + i, start + i + 1)] * len(part)
-            i += 1
-    return bytes(raw), spans
-
-
-def _escaped(text: str, start: int) -> tuple[str, list[tuple[int, int]]]:
-    out, spans, at = [], [], 0
-    for m in ONE_ESCAPE.finditer(text):
-        out += text[at:m.start()]
-        spans += [(start + i, start + i + 1) for i in range(at, m.start())]
-        out.append(chr(int(m[1] or m[2], 16)))
-        spans.append((start + m.start(), start + m.end()))
-        at = m.end()
-    out += text[at:]
-    spans += [(start + i, start + i + 1) for i in range(at, len(text))]
-    return "".join(out), spans
-
-
-def _opened(raw: bytes) -> tuple[str, bytes] | None:
-    """Compressed bytes by their first bytes: gzip or zlib."""
-    kind = "gzip" if raw[:2] == b"\x1f\x8b" else "zlib" if raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0 else ""
-    if not kind:
-        return None
-    try:
-        return kind, zlib.decompressobj(47).decompress(raw, MAX_OPENED)
-    except zlib.error:
-        return None
-
-
-def regions(text: str) -> Iterator[Layer]:
-    """The layers directly inside a text: decoded text, span of each character in ``text``, encoding."""
-    if "%" in text:
-        for m in TOKEN.finditer(text):
-            if ONE_PERCENT.search(m[0]) and (got := _decoded(*_percent(m[0], m.start()))):
-                yield got[0], got[1], "url"
-    if "\\" in text:
-        for m in TOKEN.finditer(text):
-            if not ONE_ESCAPE.search(m[0]):
-                continue
-            out, spans = _escaped(m[0], m.start())
+def _replaced(text: str, pattern: re.Pattern) -> tuple[str, Shifts]:
+    """The text with each escape as the character it stands for."""
+    out, shifts, at, size = [], Shifts(1), 0, 0
+    for m in pattern.finditer(text):
+        out.append(text[at:m.start()])
+        size += m.start() - at
+        shifts.add(size, m.start(), m.end())
+        out.append(chr(int(m[m.lastindex], 16)))
+        size, at = size + 1, m.end()
+    return "".join([*out, text[at:]]), shifts
+
+
+class Inflate:
+    """Output of the gzip members or the zlib stream that ``chunks`` begin with, up to the first fault."""
+
+    def __init__(self, chunks: Iterable[bytes]) -> None:
+        self.chunks, self.used, self.cut = chunks, 0, False
+
+    def __iter__(self) -> Iterator[bytes]:
+        d, fed, gzip = zlib.decompressobj(47), 0, None
+        for chunk in self.chunks:
+            for k in range(0, len(chunk), PIECE):
+                piece = chunk[k:k + PIECE]
+                gzip = piece[:1] == b"\x1f" if gzip is None else gzip
+                while piece:
+                    if d is None:  # after a member: padding, the next one, or something else
+                        rest = piece.lstrip(b"\0")
+                        fed += len(piece) - len(rest)
+                        if rest and (not gzip or rest[:1] != b"\x1f"):
+                            return
+                        piece, d = rest, zlib.decompressobj(31) if rest else None
+                        continue
+                    before = d.copy()
+                    try:
+                        out = d.decompress(piece)
+                    except zlib.error:
+                        yield from self._until_fault(before, piece, fed)
+                        return
+                    fed += len(piece) - len(d.unused_data)
+                    self.used = fed
+                    if out:
+                        yield out
+                    piece, d = (d.unused_data, None) if d.eof else (b"", d)
+        self.cut = d is not None
+
+    def _until_fault(self, d: zlib._Decompress, piece: bytes, fed: int) -> Iterator[bytes]:
+        for k in range(len(piece)):
             try:
-                joined = out.encode("utf-16", "surrogatepass").decode("utf-16")  # joins surrogate pairs
-            except UnicodeDecodeError:
-                continue
-            if len(joined) != len(out):
-                merged, k = [], 0
-                for c in joined:
-                    n = 2 if ord(c) > 0xFFFF and ord(out[k]) <= 0xFFFF else 1
-                    merged.append((spans[k][0], spans[k + n - 1][1]))
-                    k += n
-                spans = merged
-            yield joined, spans, "unicode"
+                out = d.decompress(piece[k:k + 1])
+            except zlib.error:
+                return
+            if out:
+                self.used = fed + k + 1
+                yield out
+
+
+def _bytes(text: str, start: int) -> Iterator[bytes]:
+    """The bytes that characters stand for, as far as they do."""
+    for k in range(start, len(text), 4 * PIECE):
+        part = text[k:k + 4 * PIECE]
+        wide = WIDE.search(part)
+        yield part[:wide.start() if wide else len(part)].encode("latin-1")
+        if wide:
+            return
+
+
+def _after(chunks: Iterable[bytes], skip: int) -> Iterator[bytes]:
+    for chunk in chunks:
+        if skip < len(chunk):
+            yield chunk[skip:]
+        skip = max(0, skip - len(chunk))
+
+
+def _windows(chunks: Iterable[bytes]) -> Iterator[tuple[int, bytes]]:
+    """(place, bytes) of overlapping windows."""
+    held, place, new = bytearray(), 0, 0
+    for chunk in chunks:
+        held += chunk
+        new += len(chunk)
+        if len(held) >= WINDOW:
+            yield place, bytes(held)
+            place += len(held) - OVERLAP
+            held, new = held[-OVERLAP:], 0
+    if new:
+        yield place, bytes(held)
+
+
+def _base64_layers(layer: Layer) -> Iterator[Layer]:
+    text, lines = layer.text, Shifts(0)
     for m in BASE64.finditer(text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            body = body[:-1]
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
+        run = lines.span(m.start(), m.end())
+        if not layer.touched(*run):
             continue
-        if opened := _opened(raw):
-            whole = Whole(m.start(), m.end())
-            if got := _decoded(opened[1], whole):
-                yield got[0], got[1], f"base64+{opened[0]}"
-            elif (again := _opened(opened[1])) and (got := _decoded(again[1], whole)):
-                yield got[0], got[1], f"base64+{opened[0]}+{again[0]}"
-            continue
-        spans = [(m.start() + i * 8 // 6, m.start() + -(-(i + 1) * 8 // 6)) for i in range(len(raw))]
-        if got := _decoded(raw, spans):
-            yield got[0], got[1], "base64"
+        end = run[1]
+        while end < min(run[1] + 2, len(layer.text)) and layer.text[end] == "=":
+            end += 1
+        body = m[0].replace("-", "+").replace("_", "/")
+        for offset in range(1):
+            size = len(body) - offset
+            size -= size % 4 == 1
+            raw = base64.b64decode(body[offset:offset + size] + "=" * (-size % 4))
+            if not (_worth_it(raw) or COMPRESSED.search(raw.decode("latin-1"))):
+                continue
+
+            def span(s: int, e: int, first: int = m.start() + offset, n: int = len(raw), end: int = end) -> tuple[int, int]:
+                start, last = lines.span(first + s * 8 // 6, first - (-min(e, n) * 8 // 6))
+                return start, end if e > n else last  # one more stands for the padding
+
+            yield Layer(raw.decode("latin-1"), layer, span, "base64")
+
+
+def _compressed_layers(layer: Layer, opened: list[int]) -> Iterator[Layer]:
+    if m := COMPRESSED.match(layer.text):
+        how = "gzip" if m[0][0] == "\x1f" else "zlib"
+        probe, out, size = Inflate(_bytes(layer.text, m.start())), bytearray(), 0
+        for chunk in probe:
+            size += len(chunk)
+            if opened[0] + size > MAX_OPENED:
+                raise Bomb(*layer.span(m.start(), m.start() + max(1, probe.used)), f"{layer.path}+{how}")
+            if size <= WINDOW:
+                out += chunk
+        if not probe.used:
+            return
+        span = (m.start(), m.start() + probe.used + (layer.padded and m.start() + probe.used == len(layer.text)))
+
+        def source(cut: bool = probe.cut, start: int = m.start()) -> Iterable[bytes]:
+            return Inflate(_after(layer.source(), start) if cut and layer.source else _bytes(layer.text, start))
+
+        longer = size > WINDOW or probe.cut and layer.source is not None
+        for place, raw in _windows(source() if longer else [bytes(out)]):
+            opened[0] += len(raw)
+            inner = Layer(raw.decode("latin-1"), layer, lambda s, e, span=span: span, how, True,
+                          source=lambda place=place, source=source: _after(source(), place))
+            if opened[0] > MAX_OPENED or inner.depth > MAX_DEPTH:
+                raise Bomb(*inner.span(0, 1), inner.path)
+            yield inner
+
+
+def regions(layer: Layer, opened: list[int]) -> Iterator[Layer]:
+    """The layers directly inside a layer."""
+    for sign, pattern, how in (("%", ONE_PERCENT, "url"), ("\\", ONE_ESCAPE, "unicode")):
+        if sign in layer.text and pattern.search(layer.text):
+            out, shifts = _replaced(layer.text, pattern)
+            yield Layer(out, layer, shifts.span, how, touched=shifts.touched)
+    yield from _base64_layers(layer)
+    if layer.padded:
+        yield from _compressed_layers(layer, opened)
 
 
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str]]]:
     """Base findings (start, kind, end) and those of decoded layers (start, end, kind@encodings)."""
-    base, deep = scan(text), set()
-    seen = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
-    todo: list[Layer] = [(text, None, "")]
+    base, deep, opened = scan(text), set(), [0]
+    best = {(s, e, k): "" for s, k, e in base}  # the shortest way to each finding that has its own characters
+    seen: set[bytes] = set()
+    todo = [iter([Layer(text)])]
     while todo:
-        layer, spans, path = todo.pop()
-        if path:
-            deep |= {(spans[s][0], spans[e - 1][1], f"{KINDS[k]}@{path}") for s, k, e in scan(layer)}
-        for inner, places, how in regions(layer):
-            key = hashlib.sha256(inner.encode("utf-8", "surrogatepass")).digest() + (b"" if spans is None else bytes(str(spans[places[0][0]]), "ascii")) + bytes(str(places[0]), "ascii")
-            if key in seen or inner == layer:
+        try:
+            layer = next(todo[-1], None)
+        except Bomb as bomb:
+            start, end, path = bomb.args
+            deep.add((start, end, f"unopened@{path}"))
+            todo.pop()
+            continue
+        if layer is None:
+            todo.pop()
+            continue
+        if not layer.text:
+            continue
+        key = hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest() + str(layer.span(0, 1)).encode()
+        if key in seen:
+            continue
+        seen.add(key)
+        if layer.whole or layer.padded:
+            try:
+                readable = not any(ord(c) < 32 and c not in "\t\n\r\f\v" for c in layer.text.encode("latin-1").decode())
+            except UnicodeDecodeError:
+                readable = False
+            if not readable:
+                todo.append(_compressed_layers(layer, opened) if layer.padded else iter(()))
+                continue
+        for s, k, e in scan(layer.text) if layer.up else ():
+            if not layer.touched(s, e):
                 continue
-            seen.add(key)
-            if spans is None:
-                own = places
-            elif isinstance(places, Whole):
-                own = Whole(spans[places.span[0]][0], spans[places.span[1] - 1][1])
+            place = (*layer.span(s, e), k)
+            if layer.whole:
+                deep.add((*place[:2], f"{KINDS[k]}@{layer.path}"))
             else:
-                own = [(spans[a][0], spans[b - 1][1]) for a, b in places]
-            todo.append((inner, own, f"{path}>{how}" if path else how))
-    return base, sorted(deep)
+                best[place] = min(best.get(place, layer.path), layer.path, key=lambda p: (len(p), p))
+        todo.append(regions(layer, opened))
+    return base, sorted(deep | {(s, e, f"{KINDS[k]}@{path}") for (s, e, k), path in best.items() if path})
 
 
 def _worth_it(raw: bytes) -> bool:

@@ -88,6 +88,20 @@ def test_secret_layers(hidden, kind):
     assert found and all(9 <= s < e <= 9 + len(hidden) for s, e in found)
 
 
+def deep(text: str) -> set[tuple[str, str]]:
+    """(kind, text of the span) of the decoded layers."""
+    return {(k, text[s:e]) for s, e, k in secret_scan.find(text)[1]}
+
+
+@pytest.mark.parametrize(("hidden", "kind"), [
+    ('pass\\u0077ord": "hunter2xyz', "assign@unicode"), ("\\u0070assword = hunter22", "assign@unicode"), ("password%3D hunter22", "assign@url"),
+    ("tok%65n : abcdefg", "assign@url"), ("\\x73ecret%3A 'abcdefg", "assign@url>unicode"), ("api%5Fkey\" : \"x/y+z==", "assign@url")])
+def test_secret_blanks_in_layers(hidden, kind):
+    text = f'é 100%25 {{"{hidden}", "plain": "\\u00e9"}} password = inthetext'
+    assert deep(text) == {(kind, hidden)}
+    assert len(secret_scan.find(text)[0]) == 1
+
+
 def test_secret_base64_span():
     hidden = b64(b"padding.. token=abcdefg12 ..tail")
     ((s, e, _),) = secret_scan.find(hidden)[1]
