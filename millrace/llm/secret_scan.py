@@ -2,7 +2,7 @@
 
 A worklist starts with the text. Every layer is scanned with the same patterns, then its percent-encoded and backslash-
 escaped characters (all of the layer at once), its base64 runs and the compressed data in it are decoded into further
-layers, until nothing new appears. Bytes become one character each. Layers
+layers, until nothing new appears. Bytes become one character each, so no byte makes a layer unreadable. Layers
 remember where each of their characters came from, so findings in decoded layers point at the text itself. A layer
 that was seen before is not opened again, which ends cycles.
 
@@ -285,14 +285,6 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, st
         if key in seen:
             continue
         seen.add(key)
-        if layer.whole or layer.padded:
-            try:
-                readable = not any(ord(c) < 32 and c not in "\t\n\r\f\v" for c in layer.text.encode("latin-1").decode())
-            except UnicodeDecodeError:
-                readable = False
-            if not readable:
-                todo.append(_compressed_layers(layer, opened) if layer.padded else iter(()))
-                continue
         for s, k, e in scan(layer.text) if layer.up else ():
             if not layer.touched(s, e):
                 continue

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import base64
 import gzip
+import io
+import random
 import re
+import tarfile
 import zlib
 from collections import Counter
 from urllib.parse import quote
@@ -102,6 +105,40 @@ def test_secret_blanks_in_layers(hidden, kind):
     assert len(secret_scan.find(text)[0]) == 1
 
 
+@pytest.mark.parametrize("bad", ["%E9", "%FF", "%00", "\\ud83d", "%80\\ud83d\\x00"])
+def test_secret_beside_bad_bytes(bad):
+    assert ("assign@url", "token%3Dabcdefg12") in deep(f"é a={bad}&token%3Dabcdefg12&b={bad}")
+    assert ("assign@unicode", "tok\\u0065n:abcdefg12") in deep(f"é {{a:{bad},tok\\u0065n:abcdefg12,b:{bad}}}")
+
+
+def archive(name: str, data: bytes) -> bytes:
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as tar:
+        info = tarfile.TarInfo(name)
+        info.size = len(data)
+        tar.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+def test_secret_in_binary():
+    assert {k for k, _ in deep(b64(b"caf\xe9\x00\xff token=abcdefg12 \xfe"))} == {"assign@base64"}
+    assert {k for k, _ in deep(b64(archive("x.env", b"token=abcdefg12\n")))} == {"assign@base64+gzip"}
+    damaged = gzip.compress(b"token=abcdefg12 " + bytes(range(256)) * 9)[:-20]
+    assert {k for k, _ in deep(b64(damaged + b"\0" * 30))} == {"assign@base64+gzip"}
+
+
+def test_secret_windows(monkeypatch):
+    """Nothing is cut: far behind, over a border, and in compressed data that goes on over borders."""
+    monkeypatch.setattr(secret_scan, "WINDOW", 4096)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 256)
+    for at in (10, 4090, 4096, 60000):
+        raw = "é".encode() * (at // 2) + b"token=abcdefg12" + b"\xc3" * 3000
+        assert {k for k, _ in deep(b64(gzip.compress(raw)))} == {"assign@base64+gzip"}
+    monkeypatch.setattr(secret_scan, "MAX_OPENED", 10000)
+    text = b64(gzip.compress(b"\0" * 20000)) + " tok%65n=abcdefg"
+    assert {k for k, _ in deep(text)} == {"unopened@base64+gzip", "assign@url"}
+
+
 def test_secret_base64_span():
     hidden = b64(b"padding.. token=abcdefg12 ..tail")
     ((s, e, _),) = secret_scan.find(hidden)[1]
