@@ -6,7 +6,9 @@ layers, until nothing new appears. Bytes become one character each, so no byte m
 remember where each of their characters came from, so findings in decoded layers point at the text itself. A layer
 that was seen before is not opened again, which ends cycles.
 
-Compressed data right below base64 is opened up to the first fault. Output beyond ``WINDOW`` bytes is scanned in windows that overlap; compressed data in it goes on over
+Base64 runs go on over line ends and are decoded at all four offsets, so whatever stands before the data doesn't put
+them out of step. Compressed data is opened wherever its header is found in decoded bytes, all gzip members, up to the
+first fault. Output beyond ``WINDOW`` bytes is scanned in windows that overlap; compressed data in it goes on over
 their borders, and of the rest only what is longer than ``OVERLAP`` and lies over a border can be missed.
 
 Defined cases: a null or empty text has no spans; spans are in code points of the original text; rows are independent;
@@ -44,6 +46,8 @@ HEX = re.compile(r"[0-9a-f]+")
 ONE_PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
 ONE_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % LEAST_BASE64)
+LINE_END = re.compile(r"(?<=[A-Za-z0-9+/_-])\r?\n[ \t]*(?=[A-Za-z0-9+/_-])")
+_LINE_END = re.compile(rb"\r?\n[ \t]*")
 WIDE = re.compile("[^\x00-\xff]")
 COMPRESSED = re.compile("\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
 
@@ -125,6 +129,17 @@ def _replaced(text: str, pattern: re.Pattern) -> tuple[str, Shifts]:
     return "".join([*out, text[at:]]), shifts
 
 
+def _unwrapped(text: str) -> tuple[str, Shifts]:
+    """The text without the line ends, and the indents after them, inside base64 runs."""
+    out, shifts, at, size = [], Shifts(0), 0, 0
+    for m in LINE_END.finditer(text):
+        out.append(text[at:m.start()])
+        size += m.start() - at
+        shifts.add(size, m.start(), m.end())
+        at = m.end()
+    return "".join([*out, text[at:]]), shifts
+
+
 class Inflate:
     """Output of the gzip members or the zlib stream that ``chunks`` begin with, up to the first fault."""
 
@@ -201,7 +216,7 @@ def _windows(chunks: Iterable[bytes]) -> Iterator[tuple[int, bytes]]:
 
 
 def _base64_layers(layer: Layer) -> Iterator[Layer]:
-    text, lines = layer.text, Shifts(0)
+    text, lines = _unwrapped(layer.text)
     for m in BASE64.finditer(text):
         run = lines.span(m.start(), m.end())
         if not layer.touched(*run):
@@ -210,7 +225,7 @@ def _base64_layers(layer: Layer) -> Iterator[Layer]:
         while end < min(run[1] + 2, len(layer.text)) and layer.text[end] == "=":
             end += 1
         body = m[0].replace("-", "+").replace("_", "/")
-        for offset in range(1):
+        for offset in range(4):
             size = len(body) - offset
             size -= size % 4 == 1
             raw = base64.b64decode(body[offset:offset + size] + "=" * (-size % 4))
@@ -225,7 +240,11 @@ def _base64_layers(layer: Layer) -> Iterator[Layer]:
 
 
 def _compressed_layers(layer: Layer, opened: list[int]) -> Iterator[Layer]:
-    if m := COMPRESSED.match(layer.text):
+    at = 0
+    while m := COMPRESSED.search(layer.text, at):
+        at = m.start() + 1
+        if not layer.touched(m.start(), m.end()):
+            continue
         how = "gzip" if m[0][0] == "\x1f" else "zlib"
         probe, out, size = Inflate(_bytes(layer.text, m.start())), bytearray(), 0
         for chunk in probe:
@@ -235,7 +254,7 @@ def _compressed_layers(layer: Layer, opened: list[int]) -> Iterator[Layer]:
             if size <= WINDOW:
                 out += chunk
         if not probe.used:
-            return
+            continue
         span = (m.start(), m.start() + probe.used + (layer.padded and m.start() + probe.used == len(layer.text)))
 
         def source(cut: bool = probe.cut, start: int = m.start()) -> Iterable[bytes]:
@@ -249,6 +268,8 @@ def _compressed_layers(layer: Layer, opened: list[int]) -> Iterator[Layer]:
             if opened[0] > MAX_OPENED or inner.depth > MAX_DEPTH:
                 raise Bomb(*inner.span(0, 1), inner.path)
             yield inner
+        if not probe.cut:
+            at = max(at, span[1])
 
 
 def regions(layer: Layer, opened: list[int]) -> Iterator[Layer]:
@@ -258,7 +279,7 @@ def regions(layer: Layer, opened: list[int]) -> Iterator[Layer]:
             out, shifts = _replaced(layer.text, pattern)
             yield Layer(out, layer, shifts.span, how, touched=shifts.touched)
     yield from _base64_layers(layer)
-    if layer.padded:
+    if layer.up:  # bytes, not the text itself
         yield from _compressed_layers(layer, opened)
 
 
@@ -301,7 +322,7 @@ def _worth_it(raw: bytes) -> bool:
     """Whether anything of a text can match: a few fast passes over the bytes."""
     lower = raw.lower()
     return (any(n in lower for n in _NAMES) or b"AKIA" in raw or b"%" in raw or b"\\" in raw
-            or b"x" * 24 in raw.translate(_HEX_MAP) or b"x" * LEAST_BASE64 in raw.translate(_BASE64_MAP))
+            or b"x" * 24 in raw.translate(_HEX_MAP) or b"x" * LEAST_BASE64 in _LINE_END.sub(b"", raw).translate(_BASE64_MAP))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -96,6 +96,10 @@ def deep(text: str) -> set[tuple[str, str]]:
     return {(k, text[s:e]) for s, e, k in secret_scan.find(text)[1]}
 
 
+def percent(raw: bytes) -> str:
+    return "".join(f"%{b:02X}" for b in raw)
+
+
 @pytest.mark.parametrize(("hidden", "kind"), [
     ('pass\\u0077ord": "hunter2xyz', "assign@unicode"), ("\\u0070assword = hunter22", "assign@unicode"), ("password%3D hunter22", "assign@url"),
     ("tok%65n : abcdefg", "assign@url"), ("\\x73ecret%3A 'abcdefg", "assign@url>unicode"), ("api%5Fkey\" : \"x/y+z==", "assign@url")])
@@ -131,14 +135,41 @@ def test_secret_windows(monkeypatch):
     """Nothing is cut: far behind, over a border, and in compressed data that goes on over borders."""
     monkeypatch.setattr(secret_scan, "WINDOW", 4096)
     monkeypatch.setattr(secret_scan, "OVERLAP", 256)
+    noise = random.Random(1).randbytes(3000)
     for at in (10, 4090, 4096, 60000):
         raw = "é".encode() * (at // 2) + b"token=abcdefg12" + b"\xc3" * 3000
         assert {k for k, _ in deep(b64(gzip.compress(raw)))} == {"assign@base64+gzip"}
+    inner = zlib.compress(noise * 3 + random.Random(2).randbytes(9000) + b" token=abcdefg12")
+    assert "assign@base64+gzip+zlib" in {k for k, _ in deep(b64(gzip.compress(noise + inner)))}
     monkeypatch.setattr(secret_scan, "MAX_OPENED", 10000)
     text = b64(gzip.compress(b"\0" * 20000)) + " tok%65n=abcdefg"
     assert {k for k, _ in deep(text)} == {"unopened@base64+gzip", "assign@url"}
 
 
+def wrapped(raw: bytes, width: int, end: str = "\n") -> str:
+    whole = b64(raw)
+    return end.join(whole[k:k + width] for k in range(0, len(whole), width))
+
+
+SECRET = b"token=abcdefg12"
+NOISE = random.Random(4).randbytes(200)
+
+
+@pytest.mark.parametrize(("hidden", "kind"), [
+    (b64(gzip.compress(gzip.compress(gzip.compress(SECRET)))), "assign@base64+gzip+gzip+gzip"),
+    (percent(gzip.compress(SECRET)), "assign@url+gzip"), ("".join(f"\\x{b:02x}" for b in zlib.compress(SECRET)), "assign@unicode+zlib"),
+    (b64(gzip.compress(b"first") + gzip.compress(b"second " + SECRET)), "assign@base64+gzip"),
+    (b64(b"head" + zlib.compress(SECRET)), "assign@base64+zlib"),
+    (wrapped(b"x" * 40 + SECRET + b"y" * 40, 64), "assign@base64"), (wrapped(b"x" * 50 + SECRET + b"y" * 40, 76, "\r\n    "), "assign@base64"),
+    ("-----BEGIN KEY-----\n" + wrapped(gzip.compress(NOISE + SECRET), 64) + "\n-----END KEY-----", "assign@base64+gzip"),
+    ("https://h.io/cb/" + b64(b"secret: abcdefghij"), "assign@base64"), ("https://h.io/c/" + b64(b"secret: abcdefghij"), "assign@base64"),
+    ("word\nnext\na\n" + b64(gzip.compress(SECRET)), "assign@base64+gzip")])
+def test_secret_bytes_at_any_depth(hidden, kind):
+    text = f"é before {hidden} after"
+    found = [(s, e) for s, e, k in secret_scan.find(text)[1] if k == kind]
+    assert found and all(9 <= s < e <= 9 + len(hidden) for s, e in found)
+
+
 def test_secret_base64_span():
     hidden = b64(b"padding.. token=abcdefg12 ..tail")
     ((s, e, _),) = secret_scan.find(hidden)[1]
