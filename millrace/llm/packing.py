@@ -54,10 +54,10 @@ def _bytes_of() -> dict[str, int]:
 
 
 class Encoder:
-    """Token ids of whole texts by a tokenizer file; strings of special tokens in a text are ordinary text.
+    """Token ids of whole texts as ``encode(text, add_special_tokens=False)`` of a tokenizer file gives them.
 
     A byte-level BPE vocabulary whose ids are the order of its merges is handed to a faster merger of the same ids,
-    which a probe confirms; any other file is used as it is.
+    which a probe confirms; any other file is used as it is, and so are texts that hold the string of an added token.
     """
 
     def __init__(self, path: str) -> None:
@@ -65,7 +65,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.merger = self._merger()
@@ -76,9 +76,8 @@ class Encoder:
         byte = _bytes_of()
         ordinary = {t: i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if all(c in byte for c in t)}
         ranks = {bytes(byte[c] for c in t): i for t, i in ordinary.items()}
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        ranks = {b: i for b, i in ranks.items() if b.decode("utf-8", "replace") not in special}
-        if any(bytes([b]) not in ranks for b in range(256)):
+        ranks = {b: i for b, i in ranks.items() if b.decode("utf-8", "replace") not in self.added}
+        if self.tokenizer.normalizer is not None or any(bytes([b]) not in ranks for b in range(256)):
             return None
         merger = tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
         probe = "It's a test; déjà vu, 日本語  12345 ~~~\n\n\t<tag attr='x'>We'LL see\u2003 \x1c🙂 supercalifragilistic" + "ab" * 60
@@ -86,7 +85,7 @@ class Encoder:
         return merger if same else None
 
     def ids(self, text: str) -> np.ndarray:
-        if self.merger is None:
+        if self.merger is None or any(t in text for t in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
         return np.array(self.merger.encode_ordinary(text), self.kind)
 

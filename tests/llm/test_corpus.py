@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from millrace.llm import language, mixing, packing, warc
@@ -30,6 +31,16 @@ def test_pieces_encode_like_whole_texts(encoder):
         assert encoder.ids(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_added_tokens_encode_as_in_the_file(encoder):
+    """The string of an added token in a text is that token, as an untouched tokenizer has it."""
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    assert encoder.merger is not None and encoder.ids("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+    rng = random.Random(5)
+    texts = ["<|endoftext|>", "<|endoftext|><|endoftext|>", "x<|endoftext|", "<|endoftext|>\n\n日本", *[
+        "".join(rng.choice(PIECES) for _ in range(rng.randrange(14))) for _ in range(3000)]]
+    assert all(encoder.ids(t).tolist() == plain.encode(t, add_special_tokens=False).ids for t in texts)
+
+
 def test_hilbert_neighbours():
     """Along the curve every step goes to a neighbouring cell, and every cell is visited once."""
     cells = sorted(((x, y, z) for x in range(8) for y in range(8) for z in range(8)), key=lambda p: packing.hilbert_key(np.array(p), 3))
