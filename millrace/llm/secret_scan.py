@@ -267,7 +267,8 @@ def _compressed_layers(layer: Layer, opened: list[int]) -> Iterator[Layer]:
                           source=lambda place=place, source=source: _after(source(), place))
             if opened[0] > MAX_OPENED or inner.depth > MAX_DEPTH:
                 raise Bomb(*inner.span(0, 1), inner.path)
-            yield inner
+            if _worth_it(raw) or COMPRESSED.search(inner.text):
+                yield inner
         if not probe.cut:
             at = max(at, span[1])
 
