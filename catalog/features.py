@@ -278,8 +278,7 @@ def chart_box_by_feature(spark, sf_dir):
 
 @query("chart_box_by_class", f"WITH {cte(DIRTY)}" + _box(DIRTY, "l_returnflag", "l_extendedprice", 8))
 def chart_box_by_class(spark, sf_dir):
-    """Histogram refinement forced, as on tables of any size."""
-    out = charts.box_stats(derived(spark, sf_dir, DIRTY), "l_returnflag", "l_extendedprice", charts.CLASS_LEVELS, 0)
+    out = charts.box_stats(derived(spark, sf_dir, DIRTY), "l_returnflag", "l_extendedprice", charts.CLASS_LEVELS)
     return rounded(out, "q1", "median", "q3")
 
 
