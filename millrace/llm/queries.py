@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, language, licenses, mixing, packing, quality, secret_scan, suffix_dedup, warc
+from . import (bottom_k, conversation_repair, exact_dedup, jaccard_join, language, licenses, mixing, packing, quality, secret_scan,
+               spelling, suffix_dedup, warc)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,3 +108,23 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 """)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op11_bottom_k")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bottom_k.near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    found = conversation_repair.repair(conversation_repair.damage(conversations), conv_col="conv")
+    every = conversations.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    none = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    return every.withColumns(none | {"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))}).drop("conv")
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(read(spark, sf_dir, "documents"), slip=spelling.slip))
