@@ -201,7 +201,7 @@ def repair(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
     blank = ~F.col("text").rlike(f"[^{WHITE[1:-1]}]")
     faults = sealed.withColumn("fault", F.when(blank, 1).when(F.col("copy"), 2)
                                .when(~_ends_well(F.col("text")), 3).otherwise(0))
-    ordered = faults.sortWithinPartitions("conv", "turn", "role", "text", "fault")
+    ordered = faults.sortWithinPartitions("conv", "turn", "role", "text", "copy")
     # pandas would make floats of integers with gaps
     plain = ordered.select(F.col("conv").cast("string").alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"),
                            F.col("turn").isNotNull().alias("numbered"), "role", "text", "fault")

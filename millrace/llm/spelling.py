@@ -109,7 +109,7 @@ def near_pairs(left: list[str], right: list[str] | None) -> Iterator[tuple[np.nd
     if right is None:
         i, j = i[i < j], j[i < j]
     length = a.shape[1]
-    step = max(1, CHUNK // length)
+    step = max(1, CHUNK // max(1, length))
     for at in range(0, len(i), step):
         p, q = i[at:at + step], j[at:at + step]
         if b.shape[1] == length:
@@ -121,12 +121,27 @@ def near_pairs(left: list[str], right: list[str] | None) -> Iterator[tuple[np.nd
         yield p[near], q[near]
 
 
+def _by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, list[tuple[list[str], list[int]]]]]:
+    """For each run of rows of one task (task, alone, side, word, n): alone, and words and counts of both sides."""
+    task, alone, sides = None, False, [([], []), ([], [])]
+    for batch in batches:
+        for t, a, side, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+            if t != task:
+                if task is not None:
+                    yield alone, sides
+                task, alone, sides = t, a, [([], []), ([], [])]
+            sides[side][0].append(word)
+            sides[side][1].append(n)
+    if task is not None:
+        yield alone, sides
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """word, near, near_n of every two words (word, n; each word once) that differ by one edit, in both directions."""
     cell = ["length", "c0", "c1"]
     placed = words.select("word", "n", F.length("word").alias("length"), *[
         (F.length("word") - F.length(F.translate("word", letters, ""))).alias(f"c{k}") for k, letters in enumerate(CLASSES[:2])])
-    cells = placed.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) * F.col("length") / BLOCK).cast("int").alias("blocks"))
+    cells = placed.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) * F.greatest("length", F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     cells = stored(cells, "cells")
     blocks = placed.join(cells, cell).withColumn("block", F.pmod(F.xxhash64("word"), "blocks").cast("int"))
 
@@ -136,29 +151,25 @@ def near_words(words: DataFrame) -> DataFrame:
     same = (F.col("length") == F.col("to_length")) & (F.col("c0") == F.col("to_c0")) & (F.col("c1") == F.col("to_c1"))
     tasks = (pairs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("to_block", F.explode(F.sequence(F.when(same, F.col("block")).otherwise(0), F.col("to_blocks") - 1)))
-             .withColumn("task", F.struct(*cell, "block", *[f"to_{c}" for c in cell], "to_block"))
+             .withColumn("task", F.concat_ws(":", *cell, "block", *[f"to_{c}" for c in cell], "to_block"))
              .withColumn("alone", same & (F.col("block") == F.col("to_block"))))
-    sides = tasks.select("task", *cell, "block", F.lit(0).alias("side")).unionAll(
-        tasks.filter(~F.col("alone")).select("task", *[f"to_{c}" for c in cell], "to_block", F.lit(1)))
-    dealt = blocks.drop("blocks").join(sides, [*cell, "block"]).select("task", "side", "word", "n")
+    sides = tasks.select("task", "alone", *cell, "block", F.lit(0).alias("side")).unionAll(
+        tasks.filter(~F.col("alone")).select("task", "alone", *[f"to_{c}" for c in cell], "to_block", F.lit(1)))
+    dealt = blocks.drop("blocks").join(sides, [*cell, "block"])
+    dealt = dealt.select("task", "alone", "side", "word", "n").repartition("task").sortWithinPartitions("task", "side")
     schema = pa.schema([("word", pa.string()), ("near", pa.string()), ("near_n", pa.int64())])
 
-    def run(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        words, n = table.column("word").combine_chunks(), table.column("n").to_numpy()
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        task = table.column("task")[0].as_py()
-        alone = all(task[c] == task[f"to_{c}"] for c in (*cell, "block"))
-        if not len(left) or not (alone or len(right)):
-            return schema.empty_table()
-        rows = [words.take(pa.array(r)).to_pylist() for r in (left, right)]
-        found = list(near_pairs(rows[0], None if alone else rows[1]))
-        p = left[np.concatenate([f[0] for f in found] or [left[:0]])]
-        q = (left if alone else right)[np.concatenate([f[1] for f in found] or [left[:0]])]
-        both, other = np.concatenate([p, q]), np.concatenate([q, p])
-        return pa.Table.from_arrays([words.take(pa.array(both)), words.take(pa.array(other)), pa.array(n[other])], schema=schema)
-
-    return dealt.groupBy("task").applyInArrow(run, "word string, near string, near_n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for alone, sides in _by_task(batches):
+            (left, left_n), (right, right_n) = sides[0], sides[0] if alone else sides[1]
+            if left and right:
+                for i, j in near_pairs(left, None if alone else right):
+                    word, near = [left[k] for k in i], [right[k] for k in j]
+                    n = [left_n[k] for k in i], [right_n[k] for k in j]
+                    yield pa.RecordBatch.from_arrays([pa.array(word + near, pa.string()), pa.array(near + word, pa.string()),
+                                                      pa.array(n[1] + n[0], pa.int64())], schema=schema)
+
+    return dealt.mapInArrow(run, "word string, near string, near_n long")
 
 
 def spelling_variants(words: DataFrame, factor: int = 5) -> DataFrame:

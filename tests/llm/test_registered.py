@@ -19,6 +19,9 @@ COLUMNS = {
     "op8_entropy_mixing": "doc_id size source_size target taken",
     "op9_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op10_exact_dedup": "doc_id keep_id group_size kept text_sha256",
+    "op11_bottom_k": "doc_id n_shingles component_id kept",
+    "op12_conversation_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
+    "op13_spelling_variants": "word form root n n_near form_n",
 }
 
 
