@@ -5,8 +5,8 @@
    number of their ``lists`` smallest values, so they meet in the list of one of the rarest of these. A document enters
    only the lists of the values that are rare enough for that; a value that every other page carries is no list.
 3. Each list has a hub, its most typical document, and hubs hold for many lists. Every document is compared with the hubs
-   of its lists. Then only documents of one hub that are still in different components are compared, so a large group
-   of near copies never gives all its pairs. Large hubs are salted.
+   of its lists. Then only documents of one hub that are still in different components are compared, in blocks whose
+   overlaps come from one matrix product; a block passes on links that join components, not all its pairs.
 4. Two documents are compared by the union's sketch: of the ``k`` smallest values of both sketches, the share that both have
    estimates the similarity. Where both sets fit their sketches this is exact; else whole sets are compared as well.
 
@@ -41,8 +41,10 @@ K, LISTS = 256, 64
 SURE = 7.0
 #: Ids that are broadcast at most (checked by a count; more are shuffled).
 BROADCAST_IDS = 1 << 20
-#: Documents of a hub compared in one task, about.
-SALT = 1000
+#: Documents of a block: a task compares two blocks.
+BLOCK = 256
+#: Distinct values of the sketches of two blocks that are counted at a time.
+COLUMNS = 1 << 13
 
 
 def least_common(n: Column, union: Column, k: int, percent: int) -> Column:
@@ -120,14 +122,122 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col
     return both.mapInArrow(run, T.StructType([both.schema["a"], both.schema["b"]])).distinct()  # a row listed twice has its set twice
 
 
-def _links(found: DataFrame, docs: DataFrame, size: int, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """a, b of compared rows (x, y) that are links."""
-    _, estimated, exact = _similar("x", "y", k, percent)
-    pairs = stored(found.filter(estimated).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), exact.alias("exact")).distinct(), "pairs")
+def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """a, b of the candidates (a, b, exact) that are links."""
+    pairs = stored(pairs, "pairs")
     rest = _verified(pairs.filter(~F.col("exact")).select("a", "b"), docs, size, percent, id_col, text_col)
     return stored(pairs.filter("exact").select("a", "b").unionAll(rest), "links")
 
 
+class _Block:
+    """Rows of one side of a task."""
+
+    def __init__(self) -> None:
+        self.ids, self.components, self.n, self.sketches = [], [], [], []
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+
+def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Block, _Block]]:
+    """Both sides of each run of rows (task, side, id, component, n, sketch) of one task."""
+    task, sides = None, (_Block(), _Block())
+    for batch in batches:
+        t, side, i, component, n = (c.to_pylist() for c in batch.columns[:5])
+        values, ends = batch.column(5).values.to_numpy(), batch.column(5).offsets.to_numpy()
+        for row in range(len(batch)):
+            if t[row] != task:
+                if task is not None:
+                    yield sides
+                task, sides = t[row], (_Block(), _Block())
+            block = sides[side[row]]
+            block.ids.append(i[row])
+            block.components.append(component[row])
+            block.n.append(n[row])
+            block.sketches.append(values[ends[row]:ends[row + 1]].copy())
+    if task is not None:
+        yield sides
+
+
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many values every sketch of ``x`` shares with every one of ``y``."""
+    rows = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    values, spots, times = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
+    shared = times[spots] > 1
+    rows, columns = rows[shared], (np.cumsum(times > 1) - 1)[spots[shared]]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    out = np.zeros((len(x), len(y)), np.float32)
+    for start in range(0, columns[-1] + 1 if len(columns) else 0, COLUMNS):
+        low, high = np.searchsorted(columns, [start, start + COLUMNS])
+        present = np.zeros((len(x) + len(y), COLUMNS), np.float32)
+        present[rows[low:high], columns[low:high] - start] = 1
+        out += present[:len(x)] @ present[len(x):].T
+    return out
+
+
+def _candidates(x: _Block, y: _Block, k: int, percent: int, forest: bool) -> Iterator[tuple[int, int, bool]]:
+    """Positions of rows of different components whose sketches allow a link, and whether they prove it.
+
+    With ``forest``, only those that join components that earlier ones (the closest first) left apart.
+    """
+    common = _overlaps(x.sketches, y.sketches)
+    n, m = np.array(x.n, float)[:, None], np.array(y.n, float)[None]
+    names = {c: at for at, c in enumerate(dict.fromkeys([*x.components, *y.components]))}
+    of_x, of_y = (np.array([names[c] for c in b.components]) for b in (x, y))
+    exact = (n <= k) & (m <= k)
+    p, union = percent / 100, (n + m) * 100 / (100 + percent)
+    spread = np.sqrt(p * (1 - p) * k * np.maximum(0.0, 1 - k / union))
+    needed = np.maximum(1, np.ceil(p * np.minimum(np.minimum(n, m), k) - SURE * spread - 1e-9))
+    likely = np.where(exact, 100 * common >= percent * (n + m - common), common >= needed)
+    likely &= (of_x[:, None] != of_y[None]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    i, j = np.nonzero(likely)
+    closest = np.argsort(-common[i, j] - 2 * k * exact[i, j], kind="stable")
+    root = list(range(len(names)))
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    for a, b in zip(i[closest].tolist(), j[closest].tolist()):
+        p, q = find(of_x[a]), find(of_y[b])
+        if forest and p == q:
+            continue
+        if not exact[a, b]:  # of the smallest values of both, those in both
+            low = np.union1d(x.sketches[a], y.sketches[b])[:k]
+            if len(np.intersect1d(low, np.intersect1d(x.sketches[a], y.sketches[b], assume_unique=True), assume_unique=True)) < needed[a, b]:
+                continue
+        root[p] = q
+        yield a, b, bool(exact[a, b])
+
+
+def _within_hubs(star: DataFrame, found: DataFrame, active: DataFrame, k: int, percent: int, forest: bool) -> DataFrame:
+    """a, b, exact: candidates among the documents of each hub that are in different components."""
+    members = star.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    unlinked = members.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                          F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("low <> high")
+    left = members.join(unlinked.select("hub", "blocks"), "hub").join(active.select("id", "n", "sketch"), "id")
+    left = left.withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = left.select(F.concat_ws(":", "hub", F.least("own", "other"), F.greatest("own", "other")).alias("task"),
+                        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), (F.col("own") == F.col("other")).alias("alone"),
+                        "id", "component", "n", "sketch")
+    both = dealt.drop("alone").unionAll(dealt.filter("alone").withColumn("side", F.lit(1)).drop("alone"))
+    schema = T.StructType([T.StructField("a", star.schema["id"].dataType), T.StructField("b", star.schema["id"].dataType), T.StructField("exact", T.BooleanType())])
+    types = pa.schema(arrow_types(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, y in _tasks(batches):
+            if len(x) and len(y):
+                pairs = [(x.ids[a], y.ids[b], sure) for a, b, sure in _candidates(x, y, k, percent, forest)]
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*pairs), types)], schema=types)
+
+    found = both.repartition("task").sortWithinPartitions("task", "side").mapInArrow(run, schema)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "exact").distinct()
+
+
 def similar_components(docs: DataFrame, size: int = 3, percent: int = 85, k: int = K, lists: int = LISTS, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component. Links: 100 * common shingles >= percent * shingles of either."""
@@ -147,21 +257,20 @@ def similar_components(docs: DataFrame, size: int = 3, percent: int = 85, k: int
     placed = entries.select("id", "typical", F.explode("rare").alias("value"))
     hubs = placed.groupBy("value").agg(F.max(F.struct("typical", "id")).alias("hub"), F.count(F.lit(1)).alias("times")).filter("times > 1")
     star = stored(placed.join(hubs.select("value", F.col("hub.id").alias("hub")), "value").filter("id <> hub").select("hub", "id").distinct(), "star")
-    allowed, _, _ = _similar("x", "y", k, percent)
+    allowed, estimated, exact = _similar("x", "y", k, percent)
     with_hub = star.join(active, "id").alias("x").join(_among(active, star.select(F.col("hub").alias("id")).distinct()).alias("y"), F.col("x.hub") == F.col("y.id"))
-    links = _links(with_hub.filter(allowed), docs, size, k, percent, id_col, text_col)
+    near = with_hub.filter(allowed).filter(estimated).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), exact.alias("exact")).distinct()
+    links = _links(near, docs, size, percent, id_col, text_col)
     found = components(links)
 
-    # what a hub didn't link: its other documents among each other, as far as they are not yet in one component
-    members = star.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_hubs = members.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high")
-    left = stored(members.join(open_hubs.select("hub", F.ceil(F.col("size") / SALT).cast("int").alias("salts")), "hub").join(active, "id"), "unlinked")
-    x = left.withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int")).alias("x")
-    y = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
-    met = ((F.col("x.hub") == F.col("y.hub")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.id") < F.col("y.id"))
-           & (F.col("x.component") != F.col("y.component")) & F.arrays_overlap("x.rare", "y.rare") & allowed)
-    more = _links(x.join(y, met), docs, size, k, percent, id_col, text_col)
-    final = found if more.isEmpty() else stored(components(links.unionAll(more)), "components")
+    # documents that their hub didn't link: first the closest of different components, then all that are left
+    for forest in (True, False):
+        more = _links(_within_hubs(star, found, active, k, percent, forest), docs, size, percent, id_col, text_col)
+        if more.isEmpty():
+            continue
+        links = stored(links.unionAll(more), "links")
+        found = components(links)
+    final = found
 
     by_first = classes.join(final.withColumnRenamed("id", "first"), "first", "left").select("n", "digest", F.coalesce("component", "first").alias("component"))
     own = F.when(F.col("r.n") > 0, F.col("component")).otherwise(F.col("r.id"))

@@ -67,9 +67,10 @@ def test_components_of_the_fixture(docs, fixture_rows, size, percent):
             assert r.component is None and r.kept
 
 
-@pytest.mark.parametrize("k,lists,salt", [(bottom_k.K, bottom_k.LISTS, bottom_k.SALT), (bottom_k.K, bottom_k.LISTS, 5), (128, 64, 1000)])
-def test_components_of_near_copies(spark, monkeypatch, k, lists, salt):
-    monkeypatch.setattr(bottom_k, "SALT", salt)
+@pytest.mark.parametrize("k,lists,block", [(bottom_k.K, bottom_k.LISTS, bottom_k.BLOCK), (bottom_k.K, bottom_k.LISTS, 5), (128, 64, 20)])
+def test_components_of_near_copies(spark, monkeypatch, k, lists, block):
+    monkeypatch.setattr(bottom_k, "BLOCK", block)
+    monkeypatch.setattr(bottom_k, "COLUMNS", 100)
     rows = cloud()
     df = spark.createDataFrame(rows, SCHEMA).repartition(6)
     found = bottom_k.similar_components(df, 3, 85, k=k, lists=lists)
