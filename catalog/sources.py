@@ -83,3 +83,42 @@ def scan_csv_long_ids(spark, sf_dir):
     path = _scratch(spark, "long-ids") + ".csv"
     read(spark, sf_dir, "orders").selectExpr(*LONG_IDS).write.option("header", True).csv(path)
     return tables.load(spark, path).withColumn("longer", F.col("longer").cast("string"))
+
+
+@query("scan_json_array", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority,
+       'a "quoted" } ] ' || o_orderstatus || chr(10) || chr(92) || '{[' AS note, o_orderkey % 7 AS inner_key
+FROM orders
+""")
+def scan_json_array(spark, sf_dir):
+    """One array of all orders in a single file, cut in many tasks."""
+    note = F.concat(F.lit('a "quoted" } ] '), "o_orderstatus", F.lit("\n\\{["))
+    rows = read(spark, sf_dir, "orders").drop("o_orderdate").withColumns({"note": note, "inner": F.array(F.struct((F.col("o_orderkey") % 7).alias("key")))})
+    path = _one_file(rows.select(F.to_json(F.struct("*")).alias("value")), "[", ",", "]", ".json")
+    found = tables.load(spark, path)
+    return found.select(*[c for c in found.columns if c != "inner"], F.col("inner")[0]["key"].alias("inner_key"))
+
+
+@query("scan_csv_multiline", """
+SELECT o_orderkey, 'first, ' || o_orderpriority || chr(10) || 'second "' || o_orderstatus || '"' || chr(10) AS note, o_totalprice
+FROM orders
+""")
+def scan_csv_multiline(spark, sf_dir):
+    """Line breaks, separators and quotes in quoted fields of a single file, read by default options."""
+    note = F.concat(F.lit("first, "), "o_orderpriority", F.lit('\nsecond "'), "o_orderstatus", F.lit('"\n'))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", note.alias("note"), "o_totalprice")
+    quoted = F.concat(F.lit('"'), F.replace("note", F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = rows.select(F.concat_ws(",", F.col("o_orderkey").cast("string"), quoted, F.col("o_totalprice").cast("string")).alias("value"))
+    return tables.load(spark, _one_file(lines, "o_orderkey,note,o_totalprice\n", "", "", ".csv"))
+
+
+def _one_file(lines, before: str, between: str, after: str, suffix: str) -> str:
+    """The lines as one file in a new folder, as the tests' tables come in one file each."""
+    spark = lines.sparkSession
+    folder = _scratch(spark, "one-file") + suffix
+    # the opening goes in front of the first line and the end behind the last; no text is gathered on the driver
+    numbered = lines.coalesce(1).withColumn("at", F.monotonically_increasing_id())
+    last = numbered.agg(F.max("at")).first()[0]
+    edged = F.concat(F.when(F.col("at") == 0, before).otherwise(between), "value", F.when(F.col("at") == last, after).otherwise(""))
+    numbered.select(edged.alias("value")).write.option("lineSep", "\n" if suffix == ".csv" else " ").text(folder)
+    return folder

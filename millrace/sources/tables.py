@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import chunks, col, null_nan
 from ..functions.parsing import NUMBER_PATTERN, text_number
+from ..functions.storage import shared_dir, stored
+from .records import csv_grammar, cut, json_grammar, spans_lines
 
 # Fixed list: the texts a CSV reader takes as a missing value.
 NA_TOKENS = (
@@ -52,18 +55,55 @@ def _infer(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str | Sequence[str], infer: bool = True, **options) -> DataFrame:
     """CSV with a header. Missing-value texts become NULL before types are inferred.
 
-    Pass ``multiLine=True`` for quoted line breaks; such files cannot be split.
+    Line breaks in quoted fields are kept. Where there are any, the records are cut in parallel and the columns stored
+    once as texts; else the files are read as they are. With ``multiLine``, ``header`` or ``encoding`` given, Spark's reader
+    alone decides.
     """
     settings = {"header": True, "quote": '"', "escape": '"', "inferSchema": False, **options}
-    raw = spark.read.options(**settings).csv(path)
+    raw = None
+    if not {"multiLine", "header", "encoding", "lineSep", "comment"} & set(options) and settings["escape"] == settings["quote"]:
+        grammar = csv_grammar(options.get("sep", options.get("delimiter", ",")), settings["quote"])
+        tables, spanning = spans_lines(spark, path, grammar)
+        raw = _cut_csv(spark, path, grammar, tables, settings) if spanning else None
+    if raw is None:
+        raw = spark.read.options(**settings).csv(path)
     cleaned = raw.select(*[
         F.when(~col(c).isin(*NA_TOKENS), col(c)).alias(c) for c in raw.columns])
     return _infer(cleaned) if infer else cleaned
 
 
+def _cut_csv(spark: SparkSession, path: str | Sequence[str], grammar, tables: DataFrame, settings: dict) -> DataFrame:
+    """All columns as texts. The first record of each file is its header; the first file's names the columns."""
+    options = {k: str(v) for k, v in settings.items() if k not in ("header", "inferSchema")}
+    records = cut(spark, path, grammar, tables).withColumn("text", F.regexp_replace("text", r"\r?\n\z", ""))
+    records = stored(records.filter(F.trim("text") != ""), "records")
+    heads = records.groupBy("file").agg(F.min(F.struct("block", "place", "text")).alias("head"))
+    first = heads.orderBy("file").first()
+    if first is None:
+        return spark.read.options(**settings).csv(path)
+    header = first["head"]["text"].removeprefix("\ufeff")
+    # the header's columns as Spark's reader names them, doubles and blanks included
+    names = spark.read.options(**settings).csv(spark.sparkContext.parallelize([header], 1)).columns
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    body = records.join(F.broadcast(heads.select("file", "head.block", "head.place")), ["file", "block", "place"], "left_anti")
+    parsed = body.select(F.from_csv("text", schema, options).alias("r"))
+    return parsed.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def read_json(spark: SparkSession, path: str | Sequence[str], lines: bool = False, **options) -> DataFrame:
-    """An array of records per file, or one record per line with ``lines=True`` (splittable)."""
-    return null_nan(spark.read.options(multiLine=not lines, **options).json(path))
+    """An array of records (or records one after the other) per file, or one record per line with ``lines=True``.
+
+    Arrays are cut into lines in parallel, however long a file is, and stored once; with ``multiLine`` or ``encoding`` given,
+    Spark's reader alone decides.
+    """
+    if lines or {"multiLine", "encoding", "lineSep"} & set(options):
+        return null_nan(spark.read.options(**{"multiLine": not lines, **options}).json(path))
+    records = cut(spark, path, json_grammar()).select(F.regexp_replace("text", r"[\r\n]", " ").alias("text"))
+    # what is between records and behind the last one
+    records = records.select(F.regexp_replace("text", r"\A[\ufeff\s,\[]+", "").alias("text")).filter(~F.col("text").rlike(r"\A[\s\]}]*\z"))
+    folder = f"{shared_dir(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
+    records.write.text(folder)
+    return null_nan(spark.read.options(**options).json(folder))
 
 
 def read_parquet(spark: SparkSession, path: str | Sequence[str], **options) -> DataFrame:
