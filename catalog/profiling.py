@@ -240,6 +240,14 @@ def ids_events(spark, sf_dir):
     return spark.createDataFrame([(c,) for c in found], "column string")
 
 
+@query("validate_ids_file_order", "WITH t AS (SELECT *, row_number() OVER () AS place FROM orders)" + _id_test("t", "place", {
+    "o_orderkey": "o_orderkey", "o_custkey": "o_custkey", "o_totalprice": "o_totalprice",
+    "o_orderdate": "epoch_us(o_orderdate)"}, ["o_orderstatus", "o_orderpriority"]))
+def ids_file_order(spark, sf_dir):
+    """Without a named order: that of the rows in the file."""
+    return spark.createDataFrame([(c,) for c in validate.id_columns(read(spark, sf_dir, "orders"))], "column string")
+
+
 @query("validate_report", f"""
 WITH {cte("wide_customer")}, s AS (
   SELECT count(*) AS n, count(DISTINCT alias) AS a, count(DISTINCT alias_code) AS ac, count(DISTINCT c_name) AS nm,

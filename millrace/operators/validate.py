@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.columns import chunks, col, is_number, is_text, is_time
 from ..functions.parsing import num_parse, text_number
 from ..functions.value_counts import cardinality, countable, judged_cardinality
+from ..sources.tables import file_order
 from .profile import COUNT_CUTS
 
 NUMERIC_SHARE = 0.9
@@ -167,7 +168,14 @@ def column_counts(df: DataFrame) -> tuple[int, dict[str, int], dict[str, int]]:
 
 def _ids(df: DataFrame, near: list[str], parsed: dict[str, int], order_by: Sequence[str], text_ids: bool) -> list[str]:
     found = {c for c in near if parsed[c] == 0} if text_ids else set()
-    ordered = [c for c in near if parsed[c] > 0] if order_by else []
+    ordered = [c for c in near if parsed[c] > 0]
+    if ordered and not order_by:  # the rows of files have an order of their own
+        places = file_order(df)
+        if places is None:
+            ordered = []
+        else:
+            order_by = unique_names([*df.columns, *[f"_place_{i}" for i in range(len(places))]])[len(df.columns):]
+            df = df.select("*", *[p.alias(c) for p, c in zip(places, order_by)])
     if ordered:
         lead = df.schema[order_by[0]].dataType
         if is_number(lead) or is_time(lead):
@@ -181,7 +189,8 @@ def id_columns(df: DataFrame, target: str | None = None, order_by: Sequence[str]
                text_ids: bool = True) -> list[str]:
     """Columns that are near-unique and never fall in row order.
 
-    Row order must be named: without ``order_by`` no number column is tested.
+    Without ``order_by`` the order is that of the files ``df`` is read from; if it comes from elsewhere (a join, a sort,
+    rows of the session), the order must be named, or no number column is tested.
     Text that never parses as a number has nothing to fall, so near-unique text
     is an ID at once (``text_ids=False`` turns this off).
     """

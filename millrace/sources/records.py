@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 #: Blocks of all files whose states are sent to the tasks, some 100 bytes each. Beyond it a larger
 #: ``spark.sql.files.maxPartitionBytes`` makes fewer.
 BLOCKS = 1 << 20
+#: Blocks whose records make a partition, if there are more blocks than shuffle partitions.
+BLOCKS_A_PARTITION = 8
 #: Place of a record that runs on behind its block: it is the last that began there.
 LAST = 1 << 62
 #: Bytes of records gathered before a batch is passed on.
@@ -157,20 +159,26 @@ def _entries(tables: DataFrame, grammar: Grammar) -> DataFrame:
 
 
 def cut(spark: SparkSession, path: str | Sequence[str], grammar: Grammar, found: DataFrame | None = None) -> DataFrame:
-    """file, block, place, text of every record; (file, block, place) is the order in the files."""
+    """file, block, place, text of every record. Its partitions and the rows in them keep the order in the files, which is
+    also that of (file, block, place)."""
     pieces = _pieces(spark, path, grammar)
     states = _entries(_tables(pieces, grammar) if found is None else found, grammar).limit(BLOCKS + 1).collect()
     if len(states) > BLOCKS:
         raise ValueError(f"more than {BLOCKS} blocks: raise spark.sql.files.maxPartitionBytes")
     begin = spark.sparkContext.broadcast({(r.file, r.start): (r.state, r.level, r.base, r.began) for r in states})
-    types = pa.schema([("file", pa.string()), ("block", pa.int64()), ("at", pa.int64()), ("place", pa.int64()), ("text", pa.string())])
+    # some blocks that follow one another make a partition
+    partitions = max(1, min(len(states), max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(states) // BLOCKS_A_PARTITION)))
+    slots = {key: at * partitions // len(states) for at, key in enumerate(sorted(begin.value))}
+    slot_of = spark.sparkContext.broadcast(slots)
+    types = pa.schema([("file", pa.string()), ("block", pa.int64()), ("at", pa.int64()), ("place", pa.int64()), ("text", pa.string()),
+                       ("slot", pa.int32())])
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         key, held = None, []
         for file, start, piece, marked in _runs(batches, grammar.marks):
             if (file, start) != key:
                 if held:
-                    yield (*(key[0], began), key[1], LAST, "".join(held))
+                        yield key[0], began, key[1], LAST, "".join(held), slot_of.value[key[0], began]
                 key, held, place = (file, start), [], 0
                 if key not in begin.value:
                     raise RuntimeError("the files were split otherwise than in the first pass; set spark.sql.files.minPartitionNum")
@@ -181,10 +189,13 @@ def cut(spark: SparkSession, path: str | Sequence[str], grammar: Grammar, found:
             held.append(piece + grammar.kept)
             if state == 0 and level == base:
                 over = began != start  # its first part lies in an earlier block
-                yield file, began, start, LAST if over else place, "".join(held)
-                held, began, place = [], start, place + 1
+                text = "".join(held)
+                if text.strip():  # no blank lines
+                    yield file, began, start, LAST if over else place, text, slot_of.value[file, began]
+                    place += not over
+                held, began = [], start
         if held:
-            yield key[0], began, key[1], LAST, "".join(held)
+            yield key[0], began, key[1], LAST, "".join(held), slot_of.value[key[0], began]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -197,11 +208,27 @@ def cut(spark: SparkSession, path: str | Sequence[str], grammar: Grammar, found:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), types)], schema=types)
 
-    parts = pieces.mapInArrow(run, "file string, block long, at long, place long, text string")
-    whole = parts.filter(F.col("place") < LAST).drop("at")
-    joined = parts.filter(F.col("place") == LAST).groupBy("file", "block", "place").agg(
-        F.array_join(F.sort_array(F.collect_list(F.struct("at", "text"))).text, "").alias("text"))
-    return whole.unionByName(joined)
+    parts = pieces.mapInArrow(run, "file string, block long, at long, place long, text string, slot int")
+    # a record that runs over blocks has a row for each; they lie together now, as the order puts them
+    dealt = parts.repartitionById(partitions, F.col("slot")).sortWithinPartitions("file", "block", "place", "at")
+    joined = pa.schema([types.field(k) for k in ("file", "block", "place", "text")])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            rows = []
+            for file, block, place, text in zip(*(batch.column(k).to_pylist() for k in joined.names)):
+                if (file, block, place) != key:
+                    if key is not None:
+                        rows.append((*key, "".join(held)))
+                    key, held = (file, block, place), []
+                held.append(text)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), joined)], schema=joined)
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t.type) for c, t in zip((*key, "".join(held)), joined)], schema=joined)
+
+    return dealt.mapInArrow(join, "file string, block long, place long, text string")
 
 
 def spans_lines(spark: SparkSession, path: str | Sequence[str], grammar: Grammar) -> tuple[DataFrame, bool]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ def _cut_csv(spark: SparkSession, path: str | Sequence[str], grammar, tables: Da
     """All columns as texts. The first record of each file is its header; the first file's names the columns."""
     options = {k: str(v) for k, v in settings.items() if k not in ("header", "inferSchema")}
     records = cut(spark, path, grammar, tables).withColumn("text", F.regexp_replace("text", r"\r?\n\z", ""))
-    records = stored(records.filter(F.trim("text") != ""), "records")
+    records = stored(records, "records")
     heads = records.groupBy("file").agg(F.min(F.struct("block", "place", "text")).alias("head"))
     first = heads.orderBy("file").first()
     if first is None:
@@ -85,7 +86,11 @@ def _cut_csv(spark: SparkSession, path: str | Sequence[str], grammar, tables: Da
     # the header's columns as Spark's reader names them, doubles and blanks included
     names = spark.read.options(**settings).csv(spark.sparkContext.parallelize([header], 1)).columns
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    body = records.join(F.broadcast(heads.select("file", "head.block", "head.place")), ["file", "block", "place"], "left_anti")
+    if heads.filter((F.col("head.block") > 0) | (F.col("head.place") > 0)).isEmpty():
+        body = records.filter((F.col("block") > 0) | (F.col("place") > 0))
+    else:  # a header longer than a block, or blocks of blank lines; stored, as a join would hide the order of the rows
+        body = records.join(heads.select("file", "head.block", "head.place"), ["file", "block", "place"], "left_anti")
+        body = stored(body.orderBy("file", "block", "place"), "records")
     parsed = body.select(F.from_csv("text", schema, options).alias("r"))
     return parsed.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(names)])
 
@@ -125,11 +130,37 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, **options) -> D
     raise ValueError(f"cannot tell the format of {path!r}; pass fmt='csv', 'json' or 'parquet'")
 
 
+def file_order(df: DataFrame) -> list[Column] | None:
+    """Columns whose order is that of the rows in their files, for a table that is a scan of files with no more than
+    columns and filters on top; else None.
+
+    Parquet numbers its rows; in text files a row's place is its block and its turn in there. Records that were cut in
+    parallel are stored in the order of their files.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.children().size():
+        if plan.nodeName() not in ("Project", "Filter", "SubqueryAlias"):
+            return None
+        plan = plan.children().apply(0)
+    for places in ([F.col("_metadata.row_index")], [F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]):
+        order = [F.col("_metadata.file_path"), *places]
+        try:
+            df.select(*order)
+        except AnalysisException:
+            continue
+        return order
+    return None
+
+
 def preview(df: DataFrame, order_by: Sequence[str] = (), n: int = 5) -> DataFrame:
-    """The first ``n`` rows as text, blanks for missing values."""
-    head = df.orderBy(*[col(c) for c in order_by]) if order_by else df
-    return head.limit(n).select(*[
-        F.coalesce(col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
+    """The first ``n`` rows as text, blanks for missing values; by default in the order of the files, if df is read from some."""
+    order = [col(c) for c in order_by] or file_order(df)
+    shown = [F.coalesce(col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]
+    if not order:
+        return df.limit(n).select(*shown)
+    keys = [o.alias(f"_order_{i}") for i, o in enumerate(order)]
+    names = [f"_order_{i}" for i in range(len(order))]
+    return df.select(*shown, *keys).orderBy(*names).limit(n).drop(*names)
 
 
 def preview_schema(df: DataFrame) -> DataFrame:

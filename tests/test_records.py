@@ -57,6 +57,14 @@ def test_csv_is_cut_in_many_tasks_and_in_file_order(spark, tmp_path, small_block
     assert "".join(r.text for r in found) == csv_text(rows) and len(found) == 121
 
 
+def test_csv_with_a_long_header_and_blank_lines(spark, tmp_path, small_blocks):
+    (tmp_path / "a.csv").write_text("\n" * 700 + '"id","' + "long\nname " * 80 + '"\n\n1,x\n')
+    (tmp_path / "b.csv").write_text('id,other\n2,"y\n"\n')
+    df = tables.read_csv(spark, str(tmp_path))
+    assert df.columns == ["id", "long\nname " * 80]
+    assert sorted(tuple(r) for r in df.collect()) == [(1, "x"), (2, "y\n")]
+
+
 def test_csv_without_line_breaks_stays_a_plain_scan(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,t\n1,"a,b"\n2,5" pipe\n3,"say ""hi"""\n')
     df = tables.read_csv(spark, str(tmp_path))
@@ -118,3 +126,33 @@ def test_too_many_blocks(spark, tmp_path, small_blocks, monkeypatch):
     monkeypatch.setattr(records, "BLOCKS", 2)
     with pytest.raises(ValueError, match="maxPartitionBytes"):
         tables.read_json(spark, str(tmp_path))
+
+
+def test_rows_keep_the_order_of_the_files(spark, tmp_path, small_blocks):
+    from millrace.operators import validate
+
+    rows = values(7, 200)
+    rng = random.Random(3)
+    down = sorted((rng.random() for _ in rows), reverse=True)
+    for r, d in zip(rows, down):
+        r.update(up=r["id"] + 0.5, down=d)
+    for part, name in ((rows[:120], "a"), (rows[120:], "b")):
+        (tmp_path / f"{name}.json").write_text(json.dumps(part))
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(map(json.dumps, part)))
+        for kind, kept in (("lines", True), ("plain", False)):
+            out = io.StringIO()
+            names = ["id", "up", "down", *(["text"] if kept else [])]
+            writer = csv.DictWriter(out, names, lineterminator="\n", extrasaction="ignore")
+            writer.writeheader()
+            writer.writerows(part)
+            (tmp_path / kind).mkdir(exist_ok=True)
+            (tmp_path / kind / f"{name}.csv").write_text(out.getvalue())
+    spark.createDataFrame([(r["id"], r["up"], r["down"]) for r in rows], "id long, up double, down double").coalesce(1).write.parquet(f"{tmp_path}/p.parquet")
+    found = [tables.read_json(spark, f"{tmp_path}/*.json"), tables.read_json(spark, f"{tmp_path}/*.jsonl", lines=True),
+             tables.read_csv(spark, f"{tmp_path}/lines"), tables.read_csv(spark, f"{tmp_path}/plain"), tables.read_parquet(spark, f"{tmp_path}/p.parquet")]
+    for df in found:
+        assert validate.id_columns(df, text_ids=False) == [c for c in df.columns if c in ("id", "up")], df.columns
+        assert [r.id for r in tables.preview(df, n=3).collect()] == ["0", "1", "2"]
+    mixed = found[-1].orderBy("down")
+    assert tables.file_order(mixed) is None and validate.id_columns(mixed) == []
+    assert tables.file_order(found[-1].filter("id > 3").select("up")) is not None
