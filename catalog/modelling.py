@@ -1,9 +1,10 @@
 from __future__ import annotations
 
+import dataclasses
 import uuid
 
 from millrace.functions.storage import shared_dir
-from millrace.operators import folds, metrics, models, report, selection
+from millrace.operators import calibration, folds, metrics, models, report, selection
 from millrace.operators.importance import importance, linear_importance, permutation_drops, permutation_importance
 from millrace.sources import sinks
 from pyspark.sql import functions as F
@@ -415,3 +416,42 @@ SELECT o_orderkey, o_orderstatus, CAST(ntile(5) OVER (PARTITION BY o_orderstatus
 def folds_stratified_hash(spark, sf_dir):
     out = folds.stratified_folds(read(spark, sf_dir, "orders"), ["o_orderkey"], "o_orderstatus", 5, 42)
     return out.select("o_orderkey", "o_orderstatus", "fold")
+
+
+SIGMOID_SCORES = [
+    ("low", "-l_extendedprice / 20000", "l_quantity < 17"), ("middle", "-abs(l_extendedprice / 20000 - 1.5)", "l_quantity BETWEEN 17 AND 34"),
+    ("high", "l_extendedprice / 20000 + l_discount", "l_quantity > 34")]
+
+
+@query("svc_probabilities", f"""
+WITH RECURSIVE s AS ({union([f"SELECT '{c}' AS class, CAST({f} AS DOUBLE) AS f, {hit} AS hit FROM lineitem" for c, f, hit in SIGMOID_SCORES])}),
+c AS (SELECT class, count(*) AS n, count(*) FILTER (WHERE hit) AS h FROM s GROUP BY class),
+newton(k, class, a, b) AS (
+  SELECT 0, class, CAST(0 AS DOUBLE), ln((h + 1) / (n - h + 1)) FROM c
+  UNION ALL
+  SELECT k + 1, class, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+  FROM (SELECT k, class, a, b, sum((p - t) * f) AS ga, sum(p - t) AS gb, sum(p * (1 - p) * f * f) AS haa, sum(p * (1 - p) * f) AS hab,
+               sum(p * (1 - p)) AS hbb
+        FROM (SELECT k, class, a, b, f, 1 / (1 + exp(-(a * f + b))) AS p, CASE WHEN hit THEN (h + 1) / (h + 2) ELSE 1 / (n - h + 2) END AS t
+              FROM newton JOIN s USING (class) JOIN c USING (class) WHERE k < 20)
+        GROUP BY k, class, a, b))
+SELECT class, n, h AS hits, round(a, 5) AS slope, round(b, 5) AS intercept FROM newton JOIN c USING (class) WHERE k = 20
+""")
+def svc_probabilities(spark, sf_dir):
+    """The sigmoids that turn scores of three classes into probabilities, fitted on given scores."""
+    lines = read(spark, sf_dir, "lineitem")
+    scores = [lines.selectExpr(f"'{c}' AS class", f"CAST({f} AS DOUBLE) AS score", f"{hit} AS hit") for c, f, hit in SIGMOID_SCORES]
+    scores = scores[0].unionAll(scores[1]).unionAll(scores[2])
+    found = spark.createDataFrame([(c, *v) for c, v in calibration.fit_sigmoids(scores).items()], "class string, slope double, intercept double")
+    counts = scores.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("hits"))
+    return rounded(counts.join(found, "class"), "slope", "intercept", digits=5)
+
+
+@query("model_svc_probabilities")
+def model_svc_probabilities(spark, sf_dir):
+    """Held-out area under the curve of the margin classifier's probabilities, learned from out-of-fold scores."""
+    settings = dataclasses.replace(QUICK, margin_folds=3)
+    table, names, n_classes = selection.modelling_table(_events(spark, sf_dir), "level", "classification", ["event_id"])
+    trainer = selection._Trainer(table, "classification", "roc_auc", len(names), n_classes, 5)
+    predicted = selection._predict(trainer.fit(models.margin_classifier(settings)), trainer.test, "classification")
+    return metrics.roc_auc_ovr(predicted, "label", "scores", n_classes)

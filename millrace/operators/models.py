@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from .calibration import CalibratedMargin
 
 SCALED = "scaled"
 FOURIER = "fourier"
@@ -39,6 +40,8 @@ class Settings:
     step_size: float = 0.1
     linear_iterations: int = 1000
     margin_iterations: int = 100
+    #: folds of out-of-fold scores from which the margin classifier learns probabilities; 0: raw scores only
+    margin_folds: int = 0
     alpha: float = 1.0
     fourier_size: int = 128
     seed: int = 42
@@ -147,12 +150,13 @@ def boosted_classifier(s: Settings = Settings()) -> Builder:
 
 
 def margin_classifier(s: Settings = Settings()) -> Builder:
-    """Support vector classifier with an approximated RBF kernel, C = 1."""
+    """Support vector classifier with an approximated RBF kernel, C = 1; with ``margin_folds`` it gives probabilities."""
     def build(facts: TrainingFacts) -> Estimator:
         svc = LinearSVC(featuresCol=FOURIER, regParam=1.0 / facts.n_rows, maxIter=s.margin_iterations,
                         standardization=False)
         last = svc if facts.n_classes <= 2 else OneVsRest(classifier=svc, featuresCol=FOURIER)
-        return Pipeline(stages=[_scaler(), _fourier(s, facts), last])
+        margins = Pipeline(stages=[_scaler(), _fourier(s, facts), last])
+        return CalibratedMargin(margins, facts.n_classes, s.margin_folds) if s.margin_folds else margins
     return build
 
 
