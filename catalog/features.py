@@ -250,6 +250,31 @@ def chart_trend_band(spark, sf_dir):
     return rounded(out, "x", "fitted", "lower", "upper")
 
 
+@query("chart_bootstrap_band", """
+WITH laws AS (SELECT k, sum(exp(-1) / CAST(factorial(CAST(k AS INTEGER)) AS DOUBLE)) OVER (ORDER BY k) AS below FROM range(12) AS r(k)),
+factors AS (SELECT r, CAST(CAST('0x' || substr(md5('42|' || CAST(r AS STRING)), 1, 15) AS BIGINT) AS UHUGEINT) * 2 + 1 AS c FROM range(40) AS q(r)),
+drawn AS (
+  SELECT r, l_quantity AS x, l_extendedprice AS y,
+    CAST((CAST(CAST('0x' || substr(md5(CAST(l_orderkey AS STRING) || '|' || CAST(l_linenumber AS STRING)), 1, 15) AS BIGINT) AS UHUGEINT) * c)
+      % CAST('18446744073709551616' AS UHUGEINT) // CAST('281474976710656' AS UHUGEINT) AS INTEGER) AS v
+  FROM lineitem, factors),
+weights AS (SELECT v, count(k) AS w FROM range(65536) AS q(v) LEFT JOIN laws ON below <= (v + 0.5::DOUBLE) / 65536 GROUP BY v),
+sums AS (
+  SELECT r, sum(w) AS n, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy
+  FROM drawn JOIN weights USING (v) GROUP BY r),
+lines AS (SELECT (sxy - sx * sy / n) / (sxx - sx * sx / n) AS b, sx / n AS mx, sy / n AS my FROM sums),
+t AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, min(l_quantity) AS lo,
+        max(l_quantity) AS hi FROM lineitem),
+g AS (SELECT i, lo + i / 99.0::DOUBLE * (hi - lo) AS x, a + b * (lo + i / 99.0::DOUBLE * (hi - lo)) AS fitted FROM t, range(100) AS q(i))
+SELECT round(x, 4) AS x, round(fitted, 3) AS fitted, round(quantile_cont(my + lines.b * (x - mx), 0.025), 3) AS lower,
+       round(quantile_cont(my + lines.b * (x - mx), 0.975), 3) AS upper
+FROM g, lines GROUP BY i, x, fitted
+""")
+def chart_bootstrap_band(spark, sf_dir):
+    out = charts.bootstrap_band(read(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", ["l_orderkey", "l_linenumber"], replicates=40)
+    return rounded(rounded(out, "x"), "fitted", "lower", "upper", digits=3)
+
+
 @query("chart_scatter_points", """
 SELECT o_orderkey, o_custkey AS x, o_totalprice AS y FROM orders
 """)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,6 +65,61 @@ def trend_band(df: DataFrame, x: str, y: str, points: int = 100) -> DataFrame:
     return grid.select("x", "fitted", (F.col("fitted") - half).alias("lower"), (F.col("fitted") + half).alias("upper"))
 
 
+def _poisson_weights() -> np.ndarray:
+    """How often a bootstrap draws a row, for each value of 16 bits: the Poisson law with mean 1."""
+    below = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    return np.searchsorted(below, (np.arange(1 << 16) + 0.5) / (1 << 16), side="right").astype(float)
+
+
+def _replicate_multipliers(replicates: int, seed: int) -> list[int]:
+    return [2 * int(hashlib.md5(f"{seed}|{r}".encode()).hexdigest()[:15], 16) + 1 for r in range(replicates)]
+
+
+def bootstrap_lines(df: DataFrame, x: str, y: str, keys: Sequence[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """``replicate, slope, intercept``: least-squares lines of Poisson bootstrap replicates.
+
+    A row's weight in a replicate follows from the hash of its key alone, times the replicate's odd multiplier, so nothing
+    is drawn, moved or repeated: each task passes on five sums per replicate. Rows that lack x or y are left out.
+    """
+    a, b = col(x).cast("double"), col(y).cast("double")
+    rows = df.select(key_hash(keys).alias("hash"), a.alias("x"), b.alias("y")).dropna(subset=["x", "y"])
+    rows = rows.select(F.coalesce("hash", F.lit(0)).alias("hash"), "x", "y").where("not isnan(x) and not isnan(y)")
+    middle = rows.agg(F.avg("x"), F.avg("y")).first()
+    x_mean, y_mean = middle[0] or 0.0, middle[1] or 0.0
+    factors = np.array(_replicate_multipliers(replicates, seed), np.uint64)
+    names = ["n", "sx", "sy", "sxx", "sxy"]
+    schema = pa.schema([("replicate", pa.int32()), *[(c, pa.float64()) for c in names]])
+
+    def run(batches):
+        weights, sums = _poisson_weights(), np.zeros((5, replicates))
+        for batch in batches:
+            for part in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
+                h, u, v = (c.to_numpy(zero_copy_only=False) for c in part.columns)
+                u, v = u - x_mean, v - y_mean
+                drawn = weights[(h.astype(np.uint64)[:, None] * factors[None]) >> np.uint64(48)]
+                sums += np.stack([np.ones(len(u)), u, v, u * u, u * v]) @ drawn
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates), pa.int32()), *[pa.array(s) for s in sums]], schema=schema)
+
+    total = rows.mapInArrow(run, "replicate int, " + ", ".join(f"{c} double" for c in names)).groupBy("replicate").agg(
+        *[F.sum(c).alias(c) for c in names])
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    slope = (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.nullif(F.col("sxx") - F.col("sx") * F.col("sx") / n, F.lit(0.0))
+    lines = total.select("replicate", slope.alias("slope"), (F.col("sx") / n).alias("mx"), (F.col("sy") / n).alias("my"))
+    return lines.select("replicate", "slope", (F.col("my") + y_mean - F.col("slope") * (F.col("mx") + x_mean)).alias("intercept"))
+
+
+def bootstrap_band(df: DataFrame, x: str, y: str, keys: Sequence[str], replicates: int = 1000, points: int = 100, seed: int = 42) -> DataFrame:
+    """``x, fitted, lower, upper`` along an even grid: the line, and between which the middle 95 % of the replicates' lines lie."""
+    grid = trend(df, x, y).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    at = F.col("x_min") + F.col("_i") / F.lit(float(max(points - 1, 1))) * (F.col("x_max") - F.col("x_min"))
+    grid = grid.select("_i", at.alias("x"), (F.col("intercept") + F.col("slope") * at).alias("fitted"))
+    lines = bootstrap_lines(df, x, y, keys, replicates, seed).agg(F.collect_list(F.struct("slope", "intercept")).alias("_lines"))
+    # replicates x points: both are arguments, the rows of the table play no part any more
+    each = grid.join(F.broadcast(lines)).select("_i", "x", "fitted", F.explode("_lines").alias("_line"))
+    value = F.col("_line.intercept") + F.col("_line.slope") * F.col("x")
+    return each.groupBy("_i", "x", "fitted").agg(F.percentile(value, F.lit(0.025)).alias("lower"), F.percentile(value, F.lit(0.975)).alias("upper")).drop("_i")
+
+
 def scatter_points(df: DataFrame, x: str, y: str, keys: Sequence[str], n: int | None = None) -> DataFrame:
     """All points, or ``n`` drawn by key hash, so that the same points come back every time."""
     both = df.where(col(x).isNotNull() & col(y).isNotNull())
