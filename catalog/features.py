@@ -48,6 +48,20 @@ def encode_onehot(spark, sf_dir):
     return out.select(*KEYS, "l_returnflag_N", "l_returnflag_R")
 
 
+@query("encode_onehot_sparse", """
+WITH a AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT l_returnflag AS v FROM lineitem)),
+b AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT l_partkey AS v FROM lineitem WHERE l_partkey % 5 > 0))
+SELECT l_orderkey, l_linenumber, CAST(a.code - 1 AS INTEGER) AS slot FROM lineitem JOIN a ON l_returnflag = v WHERE a.code > 0
+UNION ALL
+SELECT l_orderkey, l_linenumber, CAST(b.code - 1 + (SELECT max(code) FROM a) AS INTEGER) FROM lineitem JOIN b ON l_partkey = v WHERE b.code > 0
+""")
+def encode_onehot_sparse(spark, sf_dir):
+    """Slots of a short and of a long column with gaps, the long one numbered range by range."""
+    lines = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_returnflag", "IF(l_partkey % 5 > 0, l_partkey, NULL) AS part")
+    levels = FE.fit_sparse_levels(lines, ["l_returnflag", "part"], broadcast_levels=10)
+    return FE.one_hot_slots(lines, ["l_returnflag", "part"], levels).select("l_orderkey", "l_linenumber", F.explode("slots").alias("slot"))
+
+
 @query("encode_sex", f"""
 WITH {cte("people")}
 SELECT c_custkey, CAST("S-E X" = 'male' AS INTEGER) AS sex,

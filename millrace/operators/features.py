@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,6 +156,54 @@ def one_hot(df: DataFrame, columns: Sequence[str], levels: dict[str, list] | Non
     return df.select(*[col(c) for c in df.columns if c not in cols], *flags)
 
 
+@dataclass(frozen=True)
+class SparseLevels:
+    """Codes of some columns, where each column's slots begin, and how many slots there are."""
+
+    codes: tuple[Codes, ...]
+    offsets: tuple[int, ...]
+    width: int
+
+
+def fit_sparse_levels(df: DataFrame, columns: Sequence[str], broadcast_levels: int = BROADCAST_LEVELS) -> SparseLevels:
+    """A slot per level but the first of each column, numbered in the order of columns and levels, however many there are."""
+    codes = fit_codes(df, list(columns), broadcast_levels)
+    sizes = [max(c.table.count() - 1, 0) for c in codes]
+    width = sum(sizes)
+    if width >= 1 << 31:
+        raise ValueError(f"{width} levels are more than a vector has places")
+    return SparseLevels(tuple(codes), tuple(itertools.accumulate([0, *sizes[:-1]])), width)
+
+
+def one_hot_slots(df: DataFrame, columns: Sequence[str], levels: SparseLevels | None = None, output: str = "slots") -> DataFrame:
+    """Add ``output``: the ascending slots of a row's levels; null, first and unknown levels have none. The sources go."""
+    cols = present(df, columns)
+    levels = levels or fit_sparse_levels(df, cols)
+    taken = {c.lower() for c in df.columns}
+    names = {c.column: next(n for n in (f"_code_{i}" + "_" * k for k in itertools.count()) if n not in taken) for i, c in enumerate(levels.codes)}
+    coded = apply_codes(df, levels.codes, names)
+    slots = [F.when(col(names[c.column]) > 0, col(names[c.column]) - 1 + F.lit(at)) for c, at in zip(levels.codes, levels.offsets)]
+    found = F.filter(F.array(*slots).cast("array<int>"), lambda s: s.isNotNull()) if slots else F.array().cast("array<int>")
+    return coded.select(*[col(c) for c in df.columns if c not in cols], found.alias(output))
+
+
+def sparse_features(df: DataFrame, features: Sequence[str], width: int, slots: str = "slots", output: str = "features") -> DataFrame:
+    """Replace number and flag columns and the slots by one sparse vector: the numbers' places first, then ``width`` slots.
+
+    The vector is written as the structure that a vector is stored as and read back as a vector, so no row passes through
+    Python and no column or attribute is made per level.
+    """
+    numbers = [F.coalesce(_double(df, c), F.lit(0.0)) for c in features]
+    filled = F.filter(F.array(*[F.struct(F.lit(i).alias("at"), n.alias("value")) for i, n in enumerate(numbers)]), lambda e: e.value != 0) if numbers else None
+    spots = F.transform(col(slots), lambda s: s + F.lit(len(numbers)))
+    ones = F.transform(col(slots), lambda s: F.lit(1.0))
+    vector = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(len(numbers) + width).alias("size"),
+        (F.concat(filled.at, spots) if numbers else spots).alias("indices"), (F.concat(filled.value, ones) if numbers else ones).alias("values"))
+    kept = [c for c in df.columns if c not in features and c != slots]
+    return stored(df.select(*[col(c) for c in kept], vector.alias(output)), "sparse", read_as={output: VectorUDT()})
+
+
 def is_sex_name(name: str) -> bool:
     return re.sub("[^a-z0-9]", "", name.lower()) == "sex"
 
