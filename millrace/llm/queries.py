@@ -110,7 +110,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-@query("op11_bottom_k")
+@query("op11_bottom_k", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x20\x09-\x0D]+') IF x <> ''] AS words FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct([words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] FOR i IN range(1, len(words) - 1)]) END AS shingles FROM w),
+e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+reached(doc_id, r) AS (SELECT a, a FROM links UNION SELECT doc_id, b FROM reached JOIN links ON a = r),
+c AS (SELECT doc_id, min(r) AS component FROM reached GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, coalesce(component, s.doc_id) AS component_id,
+       coalesce(component, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c USING (doc_id)
+""")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bottom_k.near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
