@@ -5,6 +5,7 @@ import uuid
 
 from millrace.functions.storage import shared_dir
 from millrace.operators import calibration, folds, metrics, models, report, selection
+from millrace.operators.features import assemble
 from millrace.operators.importance import importance, linear_importance, permutation_drops, permutation_importance
 from millrace.sources import sinks
 from pyspark.sql import functions as F
@@ -455,3 +456,21 @@ def model_svc_probabilities(spark, sf_dir):
     trainer = selection._Trainer(table, "classification", "roc_auc", len(names), n_classes, 5)
     predicted = selection._predict(trainer.fit(models.margin_classifier(settings)), trainer.test, "classification")
     return metrics.roc_auc_ovr(predicted, "label", "scores", n_classes)
+
+
+@query("model_linear_collinear", """
+WITH t AS (SELECT l_quantity AS x, l_discount * 100 AS z, l_quantity + l_discount * 100 AS v, l_extendedprice AS y FROM lineitem),
+m AS (SELECT stddev_samp(x) AS sx, stddev_samp(z) AS sz, stddev_samp(v) AS sv, var_samp(x) AS xx, var_samp(z) AS zz, covar_samp(x, z) AS xz,
+             covar_samp(x, y) AS xy, covar_samp(z, y) AS zy FROM t),
+b AS (SELECT *, (zz * xy - xz * zy) / (xx * zz - xz * xz) * sx AS b1, (xx * zy - xz * xy) / (xx * zz - xz * xz) * sz AS b2 FROM m),
+n AS (SELECT *, (sx * b1 + sz * b2) / (sx * sx + sz * sz + sv * sv) AS along FROM b)
+SELECT round(b1 - sx * along, 4) AS x, round(b2 - sz * along, 4) AS z, round(sv * along, 4) AS v FROM n
+""")
+def model_linear_collinear(spark, sf_dir):
+    """Scaled coefficients of minimum norm where one feature is the sum of two others."""
+    rows = read(spark, sf_dir, "lineitem").selectExpr(
+        "l_quantity AS x", "l_discount * 100 AS z", "l_quantity + l_discount * 100 AS v", "l_extendedprice AS label")
+    table = assemble(rows, ["x", "z", "v"])
+    model = models.linear_regression(models.Settings(minimum_norm=True))(models.TrainingFacts(table.count(), 3)).fit(table)
+    found = spark.createDataFrame([tuple(map(float, model.stages[-1].coefficients))], "x double, z double, v double")
+    return rounded(found, "x", "z", "v")

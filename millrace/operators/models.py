@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from .calibration import CalibratedMargin
+from .least_norm import MinimumNormRegression
 
 SCALED = "scaled"
 FOURIER = "fourier"
@@ -42,6 +43,8 @@ class Settings:
     margin_iterations: int = 100
     #: folds of out-of-fold scores from which the margin classifier learns probabilities; 0: raw scores only
     margin_folds: int = 0
+    #: least squares of minimum norm, for features that depend on one another; else Spark's solver, with the same predictions
+    minimum_norm: bool = False
     alpha: float = 1.0
     fourier_size: int = 128
     seed: int = 42
@@ -165,7 +168,8 @@ def _solver(facts: TrainingFacts) -> str:
 
 
 def linear_regression(s: Settings = Settings()) -> Builder:
-    return lambda facts: Pipeline(stages=[_scaler(), LinearRegression(featuresCol=SCALED, solver=_solver(facts))])
+    return lambda facts: Pipeline(stages=[_scaler(), MinimumNormRegression(featuresCol=SCALED) if s.minimum_norm else LinearRegression(
+        featuresCol=SCALED, solver=_solver(facts))])
 
 
 def ridge(s: Settings = Settings()) -> Builder:
