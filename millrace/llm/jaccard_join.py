@@ -3,12 +3,13 @@
 1. Documents with equal sets are one from here on (the one with the smallest id).
 2. Shingles are ordered by how often they occur, rarest first, with a table of counters of fixed size. Two similar
    sets share a shingle in their prefixes, the rarest few of each.
-3. Documents with the same prefix and size form a group. Groups meet in the buckets of their prefix shingles; size and
-   position bounds drop group pairs that cannot be similar.
-4. In a bucket every group is first paired with one hub only, and every member of a group with the group's first one;
-   the pairs are expanded to members and verified on whole sets. Buckets then hold few components. Only groups of
-   different components in one bucket are paired after that, so a large group of near copies never gives all its
-   pairs, and yet no component is missed.
+3. Documents with the same prefix and size form a group. Groups meet in the buckets of their prefix shingles; a bucket has
+   a hub, its most common prefix, and hubs hold for many buckets. Every group is paired with the hubs of its buckets, and
+   every member of a group with the group's first one. The sizes and the shingles that both prefixes have bound the
+   common shingles; the pairs left are expanded to members and verified on whole sets.
+4. Then only groups of one hub that are still in different components are paired, in blocks whose common prefix
+   shingles come from one matrix product: first the closest that would join components, then all that the bound
+   leaves. So a large group of near copies never gives all its pairs, and yet no component is missed.
 
 Verification compares whole sets of 64-bit shingle hashes. Defined cases: a null or empty text, or one without words,
 has no set and links with nothing; fewer words than a shingle are one shingle; rows with one id are one document; a
@@ -24,7 +25,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +34,7 @@ from millrace.functions.storage import stored
 
 from . import bit_filter
 from .batches import arrow_types, rows_to_batches
+from .bottom_k import BROADCAST_IDS, _overlaps
 from .components import components
 from .names import fresh
 from .shingles import shingle_set
@@ -41,6 +43,8 @@ from .shingles import shingle_set
 #: 16 MB, one byte each. Beyond a few billion shingles only frequencies above the counters' mean still show.
 COUNTER_BITS, CHUNK_BITS = 24, 18
 MOST = 255
+#: Groups of a block and prefix shingles in it, both on average: a task compares two blocks.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 
 
 def _lower(text: bytes) -> bytes:
@@ -110,7 +114,7 @@ def _counters(rows: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, counters: Any, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n, digest, group (hash of size and prefix), central (how common the prefix is) and the prefix in order."""
+    """id, n, group (hash of size and prefix), central (how common the prefix is) and the prefix in order."""
     def make() -> tuple[Callable, Callable]:
         counts = counters.value
 
@@ -123,18 +127,27 @@ def _prefixes(docs: DataFrame, counters: Any, size: int, percent: int, id_col: s
             order = np.argsort((often << np.uint64(56)) | (found >> np.uint64(8)), kind="stable")[:n - -(-percent * n // 100) + 1]
             prefix = found[order]
             group = hashlib.blake2b(n.to_bytes(8, "little") + prefix.tobytes(), digest_size=8).digest()
-            return (n, hashlib.blake2b(found.tobytes(), digest_size=16).digest(), int.from_bytes(group, "little", signed=True),
-                    int(np.median(often[order])), prefix.view(np.int64).tolist())
+            return n, int.from_bytes(group, "little", signed=True), int(np.median(often[order])), prefix.view(np.int64).tolist()
 
         return one, lambda: iter(())
 
-    return _sets(docs, size, make, "n long, digest binary, grp long, central long, prefix array<long>", id_col, text_col)
+    return _sets(docs, size, make, "n long, grp long, central long, prefix array<long>", id_col, text_col)
 
 
-def _may_be_similar(n: Column, at: Column, m: Column, to: Column, percent: int) -> Column:
-    """Size and position bounds for two sets of sizes n and m with a common shingle at positions ``at`` and ``to``."""
-    most = 1 + F.least(n - at, m - to) - 1
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (most * (100 + percent) >= percent * (n + m))
+def _may_be_similar(n: Any, m: Any, common: Any, greatest: Callable, percent: int) -> Any:
+    """Whether sets of sizes n and m with ``common`` shingles in both prefixes may be similar (columns or arrays).
+
+    Of the two prefixes, take the one that ends first in the order: the other holds all of its shingles that both sets
+    have, so only shingles behind it add to ``common``.
+    """
+    behind = greatest(_behind(n, percent), _behind(m, percent))
+    return (100 * n >= percent * m) & (100 * m >= percent * n) & (common > 0) & ((common + behind) * (100 + percent) >= percent * (n + m))
+
+
+def _behind(n: Any, percent: int) -> Any:
+    """Shingles of a set behind its prefix."""
+    needed = percent * n + 99
+    return (F.floor(needed / 100) if isinstance(n, Column) else needed // 100) - 1
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -154,11 +167,11 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_co
     return _sets(docs, size, make, "hashes binary", id_col, text_col)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of ids whose whole sets are similar; only the sets of documents in pairs are made and moved."""
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of ids whose whole sets are similar, and all pairs; only sets of documents in pairs are made and moved."""
     pairs = stored(pairs, "pairs")
     if pairs.isEmpty():
-        return pairs
+        return pairs, pairs
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
     sets = stored(_whole_sets(docs, ids, size, id_col, text_col), "sets")
     both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("of_a")), "a")
@@ -174,7 +187,97 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, schema).distinct()  # a row listed twice has its set twice
+    return stored(both.mapInArrow(run, schema).distinct(), "links"), pairs  # a row listed twice has its set twice
+
+
+class _Block:
+    """Rows of one side of a task: groups, each with one of its components."""
+
+    def __init__(self) -> None:
+        self.groups, self.components, self.n, self.shared = [], [], [], []
+
+
+def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Block, _Block]]:
+    """Both sides of each run of rows (task, side, grp, component, n, shared) of one task."""
+    task, sides = None, (_Block(), _Block())
+    for batch in batches:
+        names, side, groups, parts, n = (c.to_pylist() for c in batch.columns[:5])
+        values, ends = batch.column(5).values.to_numpy(), batch.column(5).offsets.to_numpy()
+        for row, name in enumerate(names):
+            if name != task:
+                if task is not None:
+                    yield sides
+                task, sides = name, (_Block(), _Block())
+            block = sides[side[row]]
+            block.groups.append(groups[row])
+            block.components.append(parts[row])
+            block.n.append(n[row])
+            block.shared.append(values[ends[row]:ends[row + 1]].copy())
+    if task is not None:
+        yield sides
+
+
+def _candidates(x: _Block, y: _Block, percent: int, forest: bool) -> Iterator[tuple[int, int]]:
+    """Positions of rows of different components whose prefixes allow a link; with ``forest``, only those that would join
+    components that earlier ones (the closest first) leave apart."""
+    if not (x.groups and y.groups):
+        return
+    common = _overlaps(x.shared, y.shared).astype(np.int64)
+    n, m = np.array(x.n, np.int64)[:, None], np.array(y.n, np.int64)[None]
+    names = {c: at for at, c in enumerate(dict.fromkeys([*x.components, *y.components]))}
+    of_x, of_y = (np.array([names[c] for c in b.components]) for b in (x, y))
+    equal = np.array(x.groups)[:, None] == np.array(y.groups)[None]  # the same prefix
+    likely = (of_x[:, None] != of_y[None]) & (equal | _may_be_similar(n, m, common, np.maximum, percent))
+    i, j = np.nonzero(likely)
+    closest = np.argsort(-(common + _behind(np.minimum(n, m), percent))[i, j] / np.maximum(n, m)[i, j], kind="stable")
+    root = list(range(len(names)))
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    for a, b in zip(i[closest].tolist(), j[closest].tolist()):
+        if forest:
+            p, q = find(of_x[a]), find(of_y[b])
+            if p == q:
+                continue
+            root[p] = q
+        yield a, b
+
+
+def _within_hubs(star: DataFrame, placed: DataFrame, active: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """a, b: documents of groups of one hub that are in different components and may be similar."""
+    units = stored(placed.groupBy("grp", "component").agg(F.min("id").alias("first")), "units")
+    mixed = units.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    rows = (star.unionAll(mixed.select(F.col("grp").alias("hub"), "grp")).distinct().join(units.select("grp", "component"), "grp")
+            .join(active.select("grp", "n", "shared"), "grp", "left")
+            .withColumns({"n": F.coalesce("n", F.lit(0)), "shared": F.coalesce("shared", F.array().cast("array<bigint>"))}))
+    weight = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.size("shared")) / BLOCK_SHINGLES)
+    unlinked = (rows.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(weight).cast("int").alias("blocks"))
+                .filter("low <> high").select("hub", "blocks"))
+    left = (rows.join(unlinked, "hub").withColumn("own", F.pmod(F.xxhash64("grp", "component"), "blocks").cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    alone = F.col("own") == F.col("other")
+    sides = F.when(alone, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.when(F.col("own") > F.col("other"), 1).otherwise(0)))
+    dealt = left.select(F.concat_ws(":", "hub", F.least("own", "other"), F.greatest("own", "other")).alias("task"), F.explode(sides).alias("side"),
+                        "grp", "component", "n", "shared")
+    kind = units.schema["component"].dataType
+    schema = T.StructType([T.StructField("x", T.LongType()), T.StructField("in_x", kind), T.StructField("y", T.LongType()), T.StructField("in_y", kind)])
+    types = pa.schema(arrow_types(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, y in _tasks(batches):
+            found = [(x.groups[a], x.components[a], y.groups[b], y.components[b]) for a, b in _candidates(x, y, percent, forest)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found), types)], schema=types)
+
+    found = dealt.repartition("task").sortWithinPartitions("task", "side").mapInArrow(run, schema).distinct()
+    of = units.select("grp", "component", F.col("first").alias("id")) if forest else placed
+    of_x = of.select(F.col("grp").alias("x"), F.col("component").alias("in_x"), F.col("id").alias("a"))
+    of_y = of.select(F.col("grp").alias("y"), F.col("component").alias("in_y"), F.col("id").alias("b"))
+    return found.join(of_x, ["x", "in_x"]).join(of_y, ["y", "in_y"]).select("a", "b")
 
 
 def similar_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,40 +294,35 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col
     groups = stored(members.groupBy("grp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("members")), "groups")
     # one document speaks for its group; an id listed twice adds equal rows only
     leaders = prefixes.join(groups.select("grp", F.col("first").alias("id")), ["id", "grp"], "left_semi")
-    entries = leaders.select("grp", "n", "central", F.posexplode("prefix").alias("at", "shingle"))
-    bucket = Window.partitionBy("shingle")
-    buckets = (entries.withColumns({"least": F.min("grp").over(bucket), "most": F.max("grp").over(bucket),
-                                    "hub": F.max(F.struct("central", "grp", "n", "at")).over(bucket)}).filter("least <> most"))
-    buckets = stored(buckets.select("shingle", "grp", "n", "at", F.col("hub.grp").alias("hub"),
-                                    F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at")), "buckets")
-    shared = groups.filter("members > 1").select("grp").unionAll(buckets.select("grp").distinct()).distinct()
+    entries = leaders.select("grp", "n", "central", F.explode("prefix").alias("shingle"))
+    hubs = (entries.groupBy("shingle").agg(F.min("grp").alias("least"), F.max("grp").alias("most"), F.max(F.struct("central", "grp")).grp.alias("hub"))
+            .filter("least <> most").select("shingle", "hub"))
+    met = stored(entries.select("grp", "n", "shingle").join(hubs, "shingle"), "met")
+    active = stored(met.groupBy("grp", "n").agg(F.collect_set("shingle").alias("shared")), "active")  # at most a prefix each
+    star = stored(met.select("hub", "grp").distinct(), "star")
+
+    common = F.size(F.array_intersect("x.shared", "y.shared"))
+    near = (star.filter("hub <> grp").join(active, "grp").alias("x").join(active.alias("y"), F.col("x.hub") == F.col("y.grp"))
+            .filter(_may_be_similar(F.col("x.n"), F.col("y.n"), common, F.greatest, percent)).select("x.grp", "x.hub"))
+    firsts_of = groups.select(F.col("grp").alias("hub"), F.col("first").alias("b"))
+    many = groups.filter("members > 1").select("grp", F.col("first").alias("b"))
+    pairs = (members.join(near.join(firsts_of, "hub").select("grp", "b").unionAll(many), "grp").filter("id <> b")
+             .select(F.col("id").alias("a"), "b").distinct())
+    links, tested = _verified(pairs, docs, size, percent, id_col, text_col)
+    final = components(links)
+    shared = many.select("grp").unionAll(active.select("grp")).distinct()
     members = stored(members.join(shared, "grp", "left_semi"), "shared-members")
 
-    star = (buckets.filter((F.col("grp") != F.col("hub")) & _may_be_similar(F.col("n"), F.col("at"), F.col("hub_n"), F.col("hub_at"), percent))
-            .select("grp", "hub").distinct()
-            .join(groups.select(F.col("grp").alias("hub"), F.col("first").alias("b")), "hub").select("grp", "b"))
-    star = star.unionAll(groups.filter("members > 1").select("grp", F.col("first").alias("b")))
-    pairs = members.join(star, "grp").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    links = stored(_verified(pairs, docs, size, percent, id_col, text_col), "links")
-    found = components(links)
-
-    placed = stored(members.join(found, "id", "left").select("id", "grp", F.coalesce("component", "id").alias("component")), "placed")
-    spread = placed.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = buckets.join(spread, "grp")
-    open_buckets = mixed.groupBy("shingle").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least <> most").select("shingle")
-    left = stored(mixed.join(open_buckets, "shingle", "left_semi").select("shingle", "grp", "n", "at", "low", "high"), "open-buckets")
-    x, y = left.alias("x"), left.alias("y")
-    crossed = (x.join(y, "shingle")
-               .filter((F.col("x.grp") < F.col("y.grp")) & ((F.col("x.low") != F.col("y.high")) | (F.col("x.high") != F.col("y.low")))
-                       & _may_be_similar(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), percent))
-               .select(F.col("x.grp").alias("grp"), F.col("y.grp").alias("other")).distinct())
-    crossed = crossed.unionAll(spread.filter("low <> high").select("grp", F.col("grp").alias("other")))
-    right = placed.select(F.col("grp").alias("other"), F.col("id").alias("b"), F.col("component").alias("its"))
-    cross_pairs = (crossed.join(placed, "grp").join(right, "other").filter("component <> its")
-                   .select(F.col("id").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"))
-    more = stored(_verified(cross_pairs, docs, size, percent, id_col, text_col), "more-links")
-    every = links if more.isEmpty() else links.unionAll(more)
-    final = stored(found if every is links else components(every), "components")
+    # groups that their hub didn't link: first the closest of different components, then all that are left
+    for forest in (True, False):
+        placed = stored(members.join(final, "id", "left").select("id", "grp", F.coalesce("component", "id").alias("component")), "placed")
+        pairs = _within_hubs(star, placed, active, percent, forest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more, these = _verified(pairs.join(done, ["a", "b"], "left_anti"), docs, size, percent, id_col, text_col)
+        tested = tested.unionAll(these)
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            final = components(links)
 
     by_first = classes.join(final.withColumnRenamed("id", "first"), "first", "left").select("n", "digest", F.coalesce("component", "first").alias("component"))
     own = F.when(F.col("r.n") > 0, F.col("component")).otherwise(F.col("r.id"))
@@ -237,4 +335,5 @@ def drop_similar(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str
     found = stored(similar_components(docs, size, percent, id_col, text_col), "similar")
     other = fresh(docs, "_lost")
     lost = found.filter("id <> component").select(F.col("id").alias(other)).distinct()
-    return docs.join(lost, col(id_col) == F.col(other), "left_anti")
+    few = lost.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # then the documents stay where they are
+    return docs.join(F.broadcast(lost) if few else lost, col(id_col) == F.col(other), "left_anti")
