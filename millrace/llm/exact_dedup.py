@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from millrace.functions.columns import col
 from millrace.functions.storage import stored
 
+from .drops import without
 from .names import fresh
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -75,11 +76,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` without the rows that lose to an equal text. Ids must tell documents apart."""
     groups = stored(exact_groups(docs, id_col, text_col, support), "exact-groups")
     kept = F.col("id").eqNullSafe(F.col("keep_id"))
-    other = fresh(docs, "_lost")
-    lost = groups.filter(~kept).select(F.col("id").alias(other))
-    out = docs.join(lost, col(id_col).eqNullSafe(F.col(other)), "left_anti")
+    out = without(docs, groups.filter(~kept).select("id"), id_col)
     twice = groups.filter(kept).groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if not twice.isEmpty():  # a document listed more than once
+        other = fresh(docs, "_twice")
         twice = stored(twice.select(F.col("id").alias(other)), "listed-twice")
         same = col(id_col).eqNullSafe(F.col(other))
         listed = out.join(twice, same, "left_semi").dropDuplicates([id_col])

@@ -34,9 +34,9 @@ from millrace.functions.storage import stored
 
 from . import bit_filter
 from .batches import arrow_types, rows_to_batches
-from .bottom_k import BROADCAST_IDS, _overlaps
+from .bottom_k import _overlaps
 from .components import components
-from .names import fresh
+from .drops import without
 from .shingles import shingle_set
 
 #: Counters of the shingle frequencies (as bits), and how many go in one row. Their size does not grow with the data:
@@ -333,7 +333,4 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col
 def drop_similar(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the one whose id names it. Rows without an id stay."""
     found = stored(similar_components(docs, size, percent, id_col, text_col), "similar")
-    other = fresh(docs, "_lost")
-    lost = found.filter("id <> component").select(F.col("id").alias(other)).distinct()
-    few = lost.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # then the documents stay where they are
-    return docs.join(F.broadcast(lost) if few else lost, col(id_col) == F.col(other), "left_anti")
+    return without(docs, found.filter("id <> component").select("id"), id_col)

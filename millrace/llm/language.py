@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from millrace.functions.columns import col
 
 from .batches import per_text
-from .names import fresh
+from .drops import without
 
 SLICES, SLICE_CHARS, LANGUAGES = 256, 600, 500
 BLOCK = 512
@@ -123,8 +123,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def drop_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the documents whose language is rejected. Few are, so only their ids are joined."""
+    """``docs`` without the documents whose language is rejected."""
     found = identify(docs, id_col, text_col, lang_col)
-    other = fresh(docs, "_lost")
-    lost = found.filter("rejected").select(F.col("id").alias(other))
-    return docs.join(lost, col(id_col).eqNullSafe(F.col(other)), "left_anti")
+    return without(docs, found.filter("rejected").select("id"), id_col)

@@ -12,6 +12,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -127,10 +128,13 @@ def hilbert_key(point: np.ndarray, bits: int = BITS) -> int:
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end: int = END,
             row_tokens: int = ROW_TOKENS) -> DataFrame:
-    """Rows of at most ``row_tokens`` tokens: id, start, doc_tokens (with the end token), key (Hilbert) and tokens."""
+    """Rows of at most ``row_tokens`` tokens: id, start, doc_tokens (with the end token), key (Hilbert), copies and tokens.
+
+    A row that repeats the one before it (a document that a mix takes twice) is encoded and listed once, with its ``copies``.
+    """
     where = path or default_tokenizer()
     source = docs.select(col(id_col).alias("id"), col(text_col).cast("binary").alias("text"))
-    schema = T.StructType([source.schema["id"], *T._parse_datatype_string("start long, doc_tokens long, key long, tokens binary").fields])
+    schema = T.StructType([source.schema["id"], *T._parse_datatype_string("start long, doc_tokens long, key long, copies long, tokens binary").fields])
     types = arrow_types(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,14 +142,15 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         table = directions(encoder.vocabulary + 1)
 
         def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for i, text in zip(*batch.columns):
-                    ids = np.append(encoder.ids((text.as_py() or b"").decode()), encoder.kind.type(end))
-                    mean = sum(table[ids[k:k + 65536]].sum(0, dtype=np.float64) for k in range(0, len(ids), 65536)) / np.sqrt(len(ids))
-                    cell = np.clip((np.tanh(mean / 4) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
-                    key = hilbert_key(cell)
-                    for start in range(0, len(ids), row_tokens):
-                        yield i, (start, len(ids), key, ids[start:start + row_tokens].tobytes())
+            each = ((i.as_py(), text.as_py() or b"") for batch in batches for i, text in zip(*batch.columns))
+            for (i, text), same in itertools.groupby(each):
+                copies = sum(1 for _ in same)
+                ids = np.append(encoder.ids(text.decode()), encoder.kind.type(end))
+                mean = sum(table[ids[k:k + 65536]].sum(0, dtype=np.float64) for k in range(0, len(ids), 65536)) / np.sqrt(len(ids))
+                cell = np.clip((np.tanh(mean / 4) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+                key = hilbert_key(cell)
+                for start in range(0, len(ids), row_tokens):
+                    yield i, (start, len(ids), key, copies, ids[start:start + row_tokens].tobytes())
 
         yield from rows_to_batches(rows(), types)
 
@@ -203,10 +208,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     if sequence & (sequence - 1):
         raise ValueError("sequences must be a power of two long")
     tokens = stored(encoded(docs, id_col, text_col, path), "tokens")
-    total = tokens.filter("start = 0").agg(F.sum("doc_tokens")).first()[0] or 0
+    total = tokens.filter("start = 0").agg(F.sum(F.col("doc_tokens") * F.col("copies"))).first()[0] or 0
     order = ["key", "id", "start"]
     ordered = (tokens.repartitionByRange(max(1, -(-total // PARTITION_TOKENS)), *order).sortWithinPartitions(*order)
-               .select("id", "start", "doc_tokens", "tokens"))
+               .select("id", "start", "doc_tokens", "copies", "tokens"))
     schema = T.StructType([ordered.schema["id"], *T._parse_datatype_string(
         "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long").fields])
     types = arrow_types(schema)
@@ -214,7 +219,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        rows = ((i.as_py(), at.as_py(), n.as_py(), np.frombuffer(t.as_py(), kind)) for b in batches for i, at, n, t in zip(*b.columns))
+        rows = ((i.as_py(), at.as_py(), n.as_py(), np.frombuffer(t.as_py(), kind)) for b in batches for i, at, n, copies, t in zip(*b.columns)
+                for _ in range(copies.as_py()))
         placed = ((i, (*v[:4], first + v[4], v[5])) for i, v in fill(rows, sequence))
         yield from rows_to_batches(placed, types, 8192)
 
