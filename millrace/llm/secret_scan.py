@@ -4,7 +4,9 @@ A worklist starts with the text. Every layer is scanned with the same patterns,
 escaped characters (all of the layer at once), its base64 runs and the compressed data in it are decoded into further
 layers, until nothing new appears. Bytes become one character each, so no byte makes a layer unreadable. Layers
 remember where each of their characters came from, so findings in decoded layers point at the text itself. A layer
-that was seen before is not opened again, which ends cycles.
+that was seen before is not opened again, which ends cycles. Escapes of escapes are peeled one level a layer for
+``ESCAPES`` levels; whatever is nested deeper is then decoded to its fixpoint in one pass over the text, so the number of
+layers does not grow with the depth of the nesting (the readings in between are not scanned one by one).
 
 Base64 runs go on over line ends and are decoded at all four offsets, so whatever stands before the data doesn't put
 them out of step. Compressed data is opened wherever its header is found in decoded bytes, all gzip members, up to the
@@ -30,6 +32,8 @@ from pyspark.sql import DataFrame
 from .batches import per_text
 
 MAX_OPENED, MAX_DEPTH = 1 << 36, 1000
+#: Layers of escapes inside one another that are scanned each; deeper ones are decoded to the end at once.
+ESCAPES = 4
 #: Bytes of decompressed output that are one layer, and how many of them the next one repeats.
 WINDOW, OVERLAP = 1 << 26, 1 << 20
 #: Bytes given to the decompressor at once.
@@ -45,6 +49,7 @@ HEX = re.compile(r"[0-9a-f]+")
 
 ONE_PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
 ONE_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
+ESCAPE_RUN = re.compile(r"[%\\][%\\ux0-9A-Fa-f]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % LEAST_BASE64)
 LINE_END = re.compile(r"(?<=[A-Za-z0-9+/_-])\r?\n[ \t]*(?=[A-Za-z0-9+/_-])")
 _LINE_END = re.compile(rb"\r?\n[ \t]*")
@@ -92,6 +97,7 @@ class Layer:
                  source: Callable[[], Iterable[bytes]] | None = None) -> None:
         self.text, self.up, self._span, self.touched, self.source = text, up, span, touched, source
         self.depth = up.depth + 1 if up else 0
+        self.escapes = up.escapes + 1 if up and how in ("url", "unicode") else 0
         self.padded = how == "base64"
         self.path = how if not up or not up.path else f"{up.path}{'+' if source else '>'}{how}"
         self.whole = whole or bool(up and up.whole)
@@ -129,6 +135,36 @@ def _replaced(text: str, pattern: re.Pattern) -> tuple[str, Shifts]:
     return "".join([*out, text[at:]]), shifts
 
 
+def _escaped(out: list[str]) -> int:
+    """How many characters at the end of ``out`` are one escape."""
+    for size, sign in ((3, "%"), (4, "\\x"), (6, "\\u")):
+        tail = "".join(out[-size:])
+        if len(tail) == size and tail.startswith(sign) and all(c in "0123456789abcdefABCDEF" for c in tail[len(sign):]):
+            return size
+    return 0
+
+
+def _settled(text: str) -> tuple[str, Shifts]:
+    """The text with escapes decoded until none is left, those that decoded characters complete included."""
+    parts, shifts, at, size = [], Shifts(1), 0, 0
+    for m in ESCAPE_RUN.finditer(text):
+        parts.append(text[at:m.start()])
+        size += m.start() - at
+        out, spans = [], []  # characters, and the (start, end) that each stands for
+        for i, c in enumerate(m[0], m.start()):
+            out.append(c)
+            spans.append((i, i + 1))
+            while n := _escaped(out):
+                code = "".join(out[-n:]).lstrip("%\\ux")
+                out[-n:], spans[-n:] = [chr(int(code, 16))], [(spans[-n][0], i + 1)]
+        for k, (start, end) in enumerate(spans):
+            if end - start > 1:
+                shifts.add(size + k, start, end)
+        parts.extend(out)
+        size, at = size + len(out), m.end()
+    return "".join([*parts, text[at:]]), shifts
+
+
 def _unwrapped(text: str) -> tuple[str, Shifts]:
     """The text without the line ends, and the indents after them, inside base64 runs."""
     out, shifts, at, size = [], Shifts(0), 0, 0
@@ -277,8 +313,11 @@ def regions(layer: Layer, opened: list[int]) -> Iterator[Layer]:
     """The layers directly inside a layer."""
     for sign, pattern, how in (("%", ONE_PERCENT, "url"), ("\\", ONE_ESCAPE, "unicode")):
         if sign in layer.text and pattern.search(layer.text):
-            out, shifts = _replaced(layer.text, pattern)
-            yield Layer(out, layer, shifts.span, how, touched=shifts.touched)
+            deep = layer.escapes >= ESCAPES
+            out, shifts = _settled(layer.text) if deep else _replaced(layer.text, pattern)
+            yield Layer(out, layer, shifts.span, "escapes" if deep else how, touched=shifts.touched)
+            if deep:
+                break
     yield from _base64_layers(layer)
     if layer.up:  # bytes, not the text itself
         yield from _compressed_layers(layer, opened)

@@ -176,6 +176,32 @@ def test_secret_base64_span():
     assert base64.b64decode(hidden[s - s % 4:e + -e % 4]).strip(b".p ding") .startswith(b"token=abcdefg12") and s > 8
 
 
+def brute_settled(text):
+    """Escapes replaced one by one, the one that ends first first."""
+    while m := min(re.finditer(r"%([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})", text), key=lambda m: m.end(), default=None):
+        text = text[:m.start()] + chr(int(m[m.lastindex], 16)) + text[m.end():]
+    return text
+
+
+def test_secret_escapes_settle():
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice(["%", "25", "5c", "\\", "u00", "x", "41", "3", "z", "%25", "\\u005c"]) for _ in range(rng.randrange(30)))
+        out, shifts = secret_scan._settled(text)
+        assert out == brute_settled(text)
+        ends = [shifts.span(i, i + 1) for i in range(len(out))]
+        assert [s for s, _ in ends] == [0, *[e for _, e in ends[:-1]]][:len(ends)] and (not ends or ends[-1][1] == len(text))
+
+
+@pytest.mark.parametrize("nest", ["%" + "25" * 300_000 + "70", "\\" + "u005c" * 100_000 + "u0070", "%5cu0025" + "5cu0025" * 50_000 + "70", "%25" * 2 + "70"])
+def test_secret_deep_escapes(nest):
+    text = f"é {nest}assword=hunter22 and more"
+    _, found = secret_scan.find(text)
+    whole = [(s, e, k) for s, e, k in found if text[s:e] == nest + "assword=hunter22"]
+    assert whole if nest != "%25%2570" else not whole
+    assert sum(len(k) for *_, k in found) < 1000
+
+
 def test_secret_scan_ends():
     assert secret_scan.find("%2525252541 \\u005cu005cu0041 " + "QUFB" * 50) is not None
 
