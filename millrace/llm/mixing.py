@@ -81,7 +81,7 @@ def balance(histogram: DataFrame, targets: DataFrame, cap: float = CAP, close: f
     """source, unit, lam, full: the dual's solution. ``histogram``: source, size, n.
 
     Newton steps kept between the bounds seen so far; a step that leaves them is halved into them. ``full`` sources
-    need every copy and have no finite multiplier.
+    need every copy and have no finite multiplier. A dual that isn't solved in ``rounds`` steps raises.
     """
     unit = histogram.groupBy("source").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("unit"))
     state = (targets.alias("t").join(unit.alias("u"), F.col("t.source").eqNullSafe(F.col("u.source")))
@@ -109,7 +109,9 @@ def balance(histogram: DataFrame, targets: DataFrame, cap: float = CAP, close: f
                 .withColumns({"low": F.when(F.col("done"), F.col("low")).otherwise(low), "high": F.when(F.col("done"), F.col("high")).otherwise(high), "done": F.col("done") | near})
                 .withColumn("lam", F.when(F.col("done"), F.col("lam")).otherwise(F.when(outside, wide).otherwise(newton))))
         state = stored(step.drop("got", "slope"), "balance")
-    return state
+    if state.filter(~F.col("done")).isEmpty():
+        return state
+    raise RuntimeError(f"the dual did not converge in {rounds} rounds")
 
 
 def _unit_hash(key: Column, seed: int) -> Column:
