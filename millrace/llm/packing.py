@@ -63,13 +63,19 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
+        self.tokenizer = self._read()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.merger = self._merger()
+        if self.merger is not None:
+            self.tokenizer = None  # read again for the first text that needs it
+
+    def _read(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def _merger(self):
         import tiktoken
@@ -87,6 +93,7 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         if self.merger is None or any(t in text for t in self.added):
+            self.tokenizer = self.tokenizer or self._read()
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
         return np.array(self.merger.encode_ordinary(text), self.kind)
 
@@ -139,6 +146,8 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(where)
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+            pool.release_unused()  # what earlier tasks of a reused worker and the reading of the file left
         table = directions(encoder.vocabulary + 1)
 
         def rows() -> Iterator[tuple]:
