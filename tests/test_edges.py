@@ -12,6 +12,7 @@ from millrace.functions.columns import null_nan
 from millrace.functions.running import running_sum
 from millrace.functions.value_counts import cardinality, judged_cardinality, modes
 from millrace.operators import charts, clean, features, folds, metrics, profile, report, validate
+from millrace.operators import importance as importance_module
 from millrace.operators.importance import permuted_rows
 from millrace.plans import prepare
 from millrace.sources import sinks, tables
@@ -212,6 +213,20 @@ def test_r2_of_constant_target_is_null(spark):
     assert metrics.regression_scores(df).first()["r2"] is None
 
 
+def test_ring_partitions_are_counted_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(importance_module, "RING_ROWS", 64)
+    df = spark.range(1000).selectExpr("id", "array(cast(id as double)) AS x")
+    out = permuted_rows(df, "x", ["id"], 2, 42)
+    assert out.rdd.getNumPartitions() == 2 * 16  # few bytes in few tasks would score all rows there
+    step = {(r["repeat"], r["x"][0]): r["_next"][0] for r in out.collect()}
+    for r in range(2):
+        at, seen = 0.0, set()
+        while at not in seen:
+            seen.add(at)
+            at = step[r, at]
+        assert len(seen) == 1000
+
+
 def test_permuted_rows_are_a_permutation(spark):
     df = spark.range(1000).selectExpr("id", "array(double(id)) AS x")
     out = permuted_rows(df.repartition(7), "x", ["id"], 3, 42)
