@@ -33,7 +33,7 @@ from millrace.functions.columns import col
 from millrace.functions.storage import stored
 
 from . import bit_filter
-from .batches import arrow_types, rows_to_batches
+from .batches import arrow_types, release, rows_to_batches
 from .bottom_k import _overlaps
 from .components import components
 from .drops import without
@@ -58,6 +58,7 @@ def _sets(docs: DataFrame, size: int, make: Callable, fields: str, id_col: str,
     types = arrow_types(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         one, end = make()
 
         def rows() -> Iterator[tuple]:
@@ -98,6 +99,7 @@ def _summaries(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
 def _counters(rows: DataFrame) -> np.ndarray:
     """The tasks' counters added up, each at most MOST: 2 ** COUNTER_BITS bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(*batch.columns):
@@ -127,7 +129,7 @@ def _prefixes(docs: DataFrame, counters: Any, size: int, percent: int, id_col: s
             order = np.argsort((often << np.uint64(56)) | (found >> np.uint64(8)), kind="stable")[:n - -(-percent * n // 100) + 1]
             prefix = found[order]
             group = hashlib.blake2b(n.to_bytes(8, "little") + prefix.tobytes(), digest_size=8).digest()
-            return n, int.from_bytes(group, "little", signed=True), int(np.median(often[order])), prefix.view(np.int64).tolist()
+            return n, int.from_bytes(group, "little", signed=True), int(np.median(often[order])), prefix.view(np.int64)
 
         return one, lambda: iter(())
 
@@ -179,6 +181,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col
     schema = T.StructType([both.schema["a"], both.schema["b"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
@@ -268,6 +271,7 @@ def _within_hubs(star: DataFrame, placed: DataFrame, active: DataFrame, percent:
     types = pa.schema(arrow_types(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for x, y in _tasks(batches):
             found = [(x.groups[a], x.components[a], y.groups[b], y.components[b]) for a, b in _candidates(x, y, percent, forest)]
             if found:

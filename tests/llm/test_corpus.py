@@ -8,12 +8,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from millrace.llm import language, mixing, packing, warc
+from millrace.llm.batches import rows_to_batches
 
 PIECES = ["a", "b", "the", "Don", "'", "'s", "'ll", "''", " ", "  ", "\n", "\n\n", "\t", "\r\n", "1", "23", "²", "Ⅷ", "_", ".", "!!", "(", "é", "д",
           "日本", "́", " ", "　", "\x1c", "\x85", "\xa0", "😀", "“", "’", "<|endoftext|>", "&", "\x00", "ª", "٣", "ñ", "-", "​"]
@@ -208,3 +210,15 @@ def test_pipeline(spark, tmp_path, docs, keyed):
 def test_pipeline_keeps_clean_documents(spark):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert language.drop_unknown(documents).count() >= 0.995 * documents.count()
+
+
+def test_batches_of_large_arrays_are_passed_on_early():
+    rows = ((k, (np.zeros(1 << 17, np.int64),)) for k in range(16))  # 1 MB each
+    out = list(rows_to_batches(rows, [("id", pa.int64()), ("values", pa.list_(pa.int64()))]))
+    assert [b.num_rows for b in out] == [4, 4, 4, 4]
+
+
+def test_pieces_of_white_space_encode_like_whole_texts(encoder):
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    for text in ("a  b", "a   ", " \n\n a\n", "\t\t", "  ", " ", "it's 'll 've12 3!!  ?\n \n", "a  b ", "\x1c\x1c a", "\r\n\r\n x"):
+        assert encoder.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
