@@ -12,6 +12,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import collections
 import itertools
 import os
 import zlib
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from millrace.functions.columns import col
 from millrace.functions.storage import stored
 
-from .batches import arrow_types, rows_to_batches
+from .batches import arrow_types, release, rows_to_batches
 
 SEQUENCE = 1024
 END = 0
@@ -38,7 +39,8 @@ PARTITION_TOKENS = 1 << 21
 ROW_TOKENS = 8192
 
 #: Fixed value: how byte-level tokenizers of this family cut a text into words.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Same pieces as 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+, without runs that are given back.
+WORDS = r"'(?:[stmd]|re|ve|ll)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
 def default_tokenizer() -> str:
@@ -81,9 +83,11 @@ class Encoder:
         import tiktoken
 
         byte = _bytes_of()
-        ordinary = {t: i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if all(c in byte for c in t)}
-        ranks = {bytes(byte[c] for c in t): i for t, i in ordinary.items()}
-        ranks = {b: i for b, i in ranks.items() if b.decode("utf-8", "replace") not in self.added}
+        added = {t.encode() for t in self.added}
+        # one translation of the vocabulary's text; characters outside the byte alphabet become one beyond Latin-1
+        to_byte = collections.defaultdict(lambda: 0x100, {ord(c): b for c, b in byte.items()})
+        ordinary = ((t.translate(to_byte), i) for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items())
+        ranks = {b: i for t, i in ordinary if "\u0100" not in t and (b := t.encode("latin-1")) not in added}
         if self.tokenizer.normalizer is not None or any(bytes([b]) not in ranks for b in range(256)):
             return None
         merger = tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
@@ -146,16 +150,15 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(where)
-        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
-            pool.release_unused()  # what earlier tasks of a reused worker and the reading of the file left
-        table = directions(encoder.vocabulary + 1)
+        release()
+        table = directions(encoder.vocabulary + 1).T.copy()  # a row for each direction: sums of plain arrays
 
         def rows() -> Iterator[tuple]:
             each = ((i.as_py(), text.as_py() or b"") for batch in batches for i, text in zip(*batch.columns))
             for (i, text), same in itertools.groupby(each):
                 copies = sum(1 for _ in same)
                 ids = np.append(encoder.ids(text.decode()), encoder.kind.type(end))
-                mean = sum(table[ids[k:k + 65536]].sum(0, dtype=np.float64) for k in range(0, len(ids), 65536)) / np.sqrt(len(ids))
+                mean = np.array([sum(axis[ids[k:k + 65536]].sum(dtype=np.float64) for k in range(0, len(ids), 65536)) for axis in table]) / np.sqrt(len(ids))
                 cell = np.clip((np.tanh(mean / 4) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
                 key = hilbert_key(cell)
                 for start in range(0, len(ids), row_tokens):
