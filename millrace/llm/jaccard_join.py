@@ -33,7 +33,7 @@ from millrace.functions.columns import col
 from millrace.functions.storage import stored
 
 from . import bit_filter
-from .batches import arrow_types, release, rows_to_batches
+from .batches import arrow_types, release, rows_to_batches, small_batches
 from .bottom_k import _overlaps
 from .components import components
 from .drops import without
@@ -152,10 +152,8 @@ def _behind(n: Any, percent: int) -> Any:
     return (F.floor(needed / 100) if isinstance(n, Column) else needed // 100) - 1
 
 
-def _whole_sets(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """id and set of (at least) the documents named; the texts stay where they are."""
-    bits = docs.sparkSession.sparkContext.broadcast(bit_filter.build(ids.select(F.xxhash64("id").alias("key"))))
-
+def _whole_sets(docs: DataFrame, bits: Any, size: int, id_col: str, text_col: str) -> DataFrame:
+    """id and set of (at least) the documents in the broadcast filter; the texts stay where they are."""
     def make() -> tuple[Callable, Callable]:
         words = bits.value
 
@@ -175,7 +173,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col
     if pairs.isEmpty():
         return pairs, pairs
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-    sets = stored(_whole_sets(docs, ids, size, id_col, text_col), "sets")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter.build(ids.select(F.xxhash64("id").alias("key"))))
+    sets = stored(_whole_sets(docs, bits, size, id_col, text_col), "sets")
+    bits.unpersist()
     both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("of_a")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("of_b")), "b").select("a", "b", "of_a", "of_b"))
     schema = T.StructType([both.schema["a"], both.schema["b"]])
@@ -286,6 +286,11 @@ def _within_hubs(star: DataFrame, placed: DataFrame, active: DataFrame, percent:
 
 def similar_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component. Links: 100 * common shingles >= percent * shingles of either."""
+    with small_batches(docs.sparkSession):
+        return _similar_components(docs, size, percent, id_col, text_col)
+
+
+def _similar_components(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     summaries = stored(_summaries(docs, size, id_col, text_col), "summaries")
     rows = summaries.filter("chunk is null").select("id", "n", "digest")
@@ -294,6 +299,7 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col
     firsts = classes.select(F.col("first").alias("id"))
 
     prefixes = stored(_prefixes(docs, counters, size, percent, id_col, text_col), "prefixes")
+    counters.unpersist()
     members = stored(prefixes.select("id", "grp").join(firsts, "id", "left_semi").distinct(), "members")
     groups = stored(members.groupBy("grp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("members")), "groups")
     # one document speaks for its group; an id listed twice adds equal rows only

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import col
 
-from .batches import per_text
+from .batches import per_text, small_batches
 from .drops import without
 
 SLICES, SLICE_CHARS, LANGUAGES = 256, 600, 500
@@ -124,5 +124,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def drop_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the documents whose language is rejected."""
-    found = identify(docs, id_col, text_col, lang_col)
-    return without(docs, found.filter("rejected").select("id"), id_col)
+    with small_batches(docs.sparkSession):
+        found = identify(docs, id_col, text_col, lang_col)
+        return without(docs, found.filter("rejected").select("id"), id_col)

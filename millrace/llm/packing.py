@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from millrace.functions.columns import col
 from millrace.functions.storage import stored
 
-from .batches import arrow_types, release, rows_to_batches
+from .batches import arrow_types, release, rows_to_batches, small_batches
 
 SEQUENCE = 1024
 END = 0
@@ -219,7 +219,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """
     if sequence & (sequence - 1):
         raise ValueError("sequences must be a power of two long")
-    tokens = stored(encoded(docs, id_col, text_col, path), "tokens")
+    with small_batches(docs.sparkSession):
+        tokens = stored(encoded(docs, id_col, text_col, path), "tokens")
     total = tokens.filter("start = 0").agg(F.sum(F.col("doc_tokens") * F.col("copies"))).first()[0] or 0
     order = ["key", "id", "start"]
     ordered = (tokens.repartitionByRange(max(1, -(-total // PARTITION_TOKENS)), *order).sortWithinPartitions(*order)

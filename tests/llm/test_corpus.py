@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from millrace.llm import language, mixing, packing, warc
-from millrace.llm.batches import rows_to_batches
+from millrace.llm import drops, jaccard_join, language, mixing, packing, warc
+from millrace.llm.batches import SMALL, rows_to_batches, small_batches
 
 PIECES = ["a", "b", "the", "Don", "'", "'s", "'ll", "''", " ", "  ", "\n", "\n\n", "\t", "\r\n", "1", "23", "²", "Ⅷ", "_", ".", "!!", "(", "é", "д",
           "日本", "́", " ", "　", "\x1c", "\x85", "\xa0", "😀", "“", "’", "<|endoftext|>", "&", "\x00", "ª", "٣", "ñ", "-", "​"]
@@ -218,6 +218,45 @@ def test_batches_of_large_arrays_are_passed_on_early():
     assert [b.num_rows for b in out] == [4, 4, 4, 4]
 
 
+def test_tasks_over_texts_hold_a_few_megabytes(spark, monkeypatch):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    texts = spark.range(0, 400, 1, 1).selectExpr("id doc_id", "concat(id, repeat(' word', 10000)) text")  # 20 MB in one task
+    before = {key: spark.conf.get(key) for key in SMALL}
+    with small_batches(spark):
+        found = [r.size for r in texts.mapInArrow(sizes, "size long").collect()]
+    assert sum(found) > 16 << 20 and max(found) < 6 << 20
+
+    held = []
+
+    def recorded(stored):
+        def run(df, *args, **kwargs):
+            held.append({key: int(spark.conf.get(key)) for key in SMALL})
+            return stored(df, *args, **kwargs)
+        return run
+
+    for module in (jaccard_join, packing, drops):
+        monkeypatch.setattr(module, "stored", recorded(module.stored))
+    few = spark.createDataFrame([(k, f"a b c d e f {k // 2}", "en") for k in range(6)], "doc_id long, text string, lang string")
+    for step, at_least in ((jaccard_join.similar_components, 5), (packing.pack, 1), (language.drop_unknown, 1)):
+        held.clear()
+        step(few)
+        assert len(held) >= at_least and all(h == SMALL for h in held)
+    assert {key: spark.conf.get(key) for key in SMALL} == before
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for value, inside in (("1m", "1m"), ("1g", str(4 << 20))):
+        spark.conf.set(key, value)
+        try:
+            with small_batches(spark):
+                assert spark.conf.get(key) == inside
+            assert spark.conf.get(key) == value
+        finally:
+            spark.conf.set(key, before[key])
+
+
 def test_pieces_of_white_space_encode_like_whole_texts(encoder):
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
     for text in ("a  b", "a   ", " \n\n a\n", "\t\t", "  ", " ", "it's 'll 've12 3!!  ?\n \n", "a  b ", "\x1c\x1c a", "\r\n\r\n x"):
