@@ -1,9 +1,9 @@
 """Suffix arrays by induced sorting, and permuted common prefixes.
 
 Suffixes are classified as smaller (S) or larger (L) than the next one. Leftmost S suffixes start substrings that
-induced sorting puts in order; their names form a shorter string, sorted recursively; from the sorted leftmost ones the
-whole array is induced in one pass to the right and one to the left. Bytes have few buckets, so their passes move
-whole stretches of a bucket at a time in numpy; the recursion, on many names but few suffixes, goes one by one.
+induced sorting puts in order; their names form a shorter string, whose suffixes are sorted by doubling; from the sorted
+leftmost ones the whole array is induced in one pass to the right and one to the left. Bytes have few buckets, so their
+passes move whole stretches of a bucket at a time in numpy; the many names have too few suffixes each for that.
 """
 
 from __future__ import annotations
@@ -115,7 +115,7 @@ def _named(text: np.ndarray, order: np.ndarray, spots: np.ndarray) -> tuple[np.n
 
 def suffix_array(text: np.ndarray, buckets: int) -> np.ndarray:
     """Sorted suffix starts of ``text``: symbols below ``buckets`` (at most 2 ** 16), the last one the only 0."""
-    text = np.asarray(text, np.int64)
+    text = np.asarray(text).astype(np.uint16)  # 16 bits are sorted by radix
     if len(text) == 1:
         return np.zeros(1, np.int64)
     small = smaller(text)
@@ -131,63 +131,34 @@ def suffix_array(text: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _by_names(text: np.ndarray, count: int) -> np.ndarray:
-    """Suffix order of a string of names below ``count`` that ends in its only 0; it is induced one suffix at a time."""
+    """Suffix order of a string of names below ``count`` that ends in its only 0, by doubling the names compared.
+
+    Suffixes that share their first names are a group. Only groups of several are sorted again, by the ranks of the
+    suffixes that follow those names, so a round costs a sort of what is still open, and there are as many rounds as the
+    longest common prefix has binary digits.
+    """
     n = len(text)
-    if n == 1:
-        return np.zeros(1, np.int64)
-    small = smaller(text)
-    spots = leftmost(small)
-    sizes = np.bincount(text, minlength=count)
-    ends = np.cumsum(sizes)
-    heads, tails = (ends - sizes).tolist(), ends.tolist()
-    # the name before each suffix if that one is larger (smaller), else -1; the last entry is for empty places
-    to_large, to_small = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
-    to_large[1:n] = np.where(small[:-1], -1, text[:-1])
-    to_small[1:n] = np.where(small[:-1], text[:-1], -1)
-    large, little = to_large.tolist(), to_small.tolist()
-
-    def induce(first: np.ndarray) -> np.ndarray:
-        out = np.full(n, -1, np.int64)
-        names = text[first]
-        order = np.argsort(names, kind="stable")
-        rank = np.arange(len(first)) - np.searchsorted(names[order], names[order])
-        starts = np.bincount(names, minlength=count)
-        out[ends[names[order]] - starts[names[order]] + rank] = first[order]
-        out = out.tolist()
-        at = heads[:]
-        for i in out:
-            c = large[i]
-            if c >= 0:
-                k = at[c]
-                out[k] = i - 1
-                at[c] = k + 1
-        at = tails[:]
-        for i in reversed(out):
-            c = little[i]
-            if c >= 0:
-                at[c] = k = at[c] - 1
-                out[k] = i - 1
-        return np.array(out)
-
-    chosen = np.zeros(n, bool)
-    chosen[spots] = True
-    rough = induce(spots)
-    order = rough[chosen[rough]]
-    length = np.zeros(n, np.int64)
-    length[spots] = np.r_[spots[1:], n - 1] - spots + 1
-    same = length[order[:-1]] == length[order[1:]]
-    open_, at = np.flatnonzero(same), 0
-    while len(open_):
-        x, y = order[open_], order[open_ + 1]
-        differ = text[x + at] != text[y + at]
-        same[open_[differ]] = False
-        open_ = open_[~differ & (length[x] > at + 1)]
-        at += 1
-    names = np.zeros(n, np.int64)
-    names[order] = np.r_[0, np.cumsum(~same)]
-    if same.any():
-        order = spots[_by_names(names[spots], int((~same).sum()) + 1)]
-    return induce(order)
+    bits = max(1, (count - 1).bit_length())
+    per = 63 // bits  # names in the first number
+    padded = np.r_[text, np.zeros(per - 1, np.int64)]
+    key = padded[:n].copy()
+    for k in range(1, per):
+        key = key << bits | padded[k:n + k]
+    order, rank = np.empty(n, np.int64), np.empty(n, np.int64)
+    places, spots = np.arange(n), np.arange(n)
+    step = per
+    while True:  # no open suffix has the end among its first names, so there is one ``step`` further on
+        by = np.argsort(key)
+        key, spots = key[by], spots[by]
+        order[places] = spots
+        edge = np.r_[True, key[1:] != key[:-1], True]
+        rank[spots] = places[np.maximum.accumulate(np.where(edge[:-1], np.arange(len(places)), 0))]
+        several = ~(edge[:-1] & edge[1:])
+        places, spots = places[several], spots[several]
+        if not len(places):
+            return order
+        key = rank[spots] * n + rank[spots + step]
+        step *= 2
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:

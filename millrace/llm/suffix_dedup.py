@@ -22,7 +22,7 @@ empty table gives an empty result; other columns are ignored. Cuts may fall insi
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,35 +45,62 @@ SHARD_BYTES = 1 << 20
 CROWD = SHARD_BYTES // WINDOW
 #: Bytes of a text looked at together; the next part begins a window's length before its end.
 PART = 1 << 22
+#: Short texts are joined until they have so many bytes: enough to outweigh the calls, few enough for a core's cache.
+JOINED = 1 << 17
 
 
 def stretches(text: bytes, window: int = WINDOW, anchor: int = ANCHOR) -> Iterator[tuple[np.ndarray, ...]]:
-    """Anchor hash, content hash, start and number of strings of each stretch, for each part of a text."""
-    for base in range(0, max(1, len(text) - window + 1), PART - window + 1):
-        part = text[base:base + PART]
-        n = len(part) - window + 1
-        if n < 1:
-            return
-        total, down = sums(part)
-        m = len(part) - anchor + 1
-        with np.errstate(over="ignore"):
-            h = mixed((total[anchor:] - total[:-anchor]) * down[:m])
-        least = (h >> np.uint64(24) << np.uint64(24)) | np.arange(m, dtype=np.uint64)  # equal ones: leftmost
-        width, span = window - anchor + 1, 1
-        while span * 2 <= width:
-            least, span = np.minimum(least[:-span], least[span:]), span * 2
-        if span < width:
-            least = np.minimum(least[:len(least) - (width - span)], least[width - span:])
-        at = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
-        edge = np.empty(n + 1, bool)
-        edge[0] = edge[n] = True
-        np.not_equal(at[1:], at[:-1], out=edge[1:n])
-        edge = np.flatnonzero(edge)
-        start, end = edge[:-1], edge[1:]
-        stop = end + window - 1
-        with np.errstate(over="ignore"):
-            content = mixed((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
-        yield h[at[start]], content, start + base, end - start
+    """Anchor hash, content hash, start and number of strings of the stretches of a text, some at a time."""
+    for _, *found in all_stretches([text], window, anchor):
+        yield tuple(found)
+
+
+def all_stretches(texts: Iterable[bytes], window: int = WINDOW, anchor: int = ANCHOR) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same for many texts, and before it the number of the text. Short texts are looked at together."""
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        for base in range(0, len(text) - window + 1, PART - window + 1):
+            part = text[base:base + PART]
+            held.append((k, base, part))
+            size += len(part)
+            if size >= JOINED:
+                yield _part_stretches(held, window, anchor)
+                held, size = [], 0
+    if held:
+        yield _part_stretches(held, window, anchor)
+
+
+def _part_stretches(parts: list[tuple[int, int, bytes]], window: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """The stretches of parts (number of the text, place in it, bytes) that are as long as the window at least."""
+    text = b"".join(part for _, _, part in parts)
+    number, base, size = (np.array(x, np.int64) for x in zip(*((k, b, len(part)) for k, b, part in parts)))
+    close = np.cumsum(size)
+    first = close - size
+    n = len(text) - window + 1
+    total, down = sums(text)
+    m = len(text) - anchor + 1
+    with np.errstate(over="ignore"):
+        h = mixed((total[anchor:] - total[:-anchor]) * down[:m])
+    least = (h >> np.uint64(24) << np.uint64(24)) | np.arange(m, dtype=np.uint64)  # equal ones: leftmost
+    width, span = window - anchor + 1, 1
+    while span * 2 <= width:
+        least, span = np.minimum(least[:-span], least[span:]), span * 2
+    if span < width:
+        least = np.minimum(least[:len(least) - (width - span)], least[width - span:])
+    at = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
+    edge = np.empty(n + 1, bool)
+    edge[0] = edge[n] = True
+    np.not_equal(at[1:], at[:-1], out=edge[1:n])
+    edge[first[1:]] = edge[first[1:] - window + 1] = True  # what lies between the two crosses into the next part
+    edge = np.flatnonzero(edge)
+    start, end = edge[:-1], edge[1:]
+    owner = np.searchsorted(first, start, side="right") - 1
+    inside = start + window <= close[owner]
+    start, end, owner = start[inside], end[inside], owner[inside]
+    stop = end + window - 1
+    with np.errstate(over="ignore"):
+        content = mixed((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
+    return number[owner], h[at[start]], content, start - first[owner] + base[owner], end - start
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -84,9 +111,8 @@ def _anchors(source: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
             for batch in batches:
-                for text in batch.column(0):
-                    for anchor, *_ in stretches(text.as_py() or b"", window):
-                        yield (anchor,)
+                for _, anchor, *_ in all_stretches((text.as_py() or b"" for text in batch.column(0)), window):
+                    yield (anchor,)
 
         for (anchor,) in _gathered(each()):
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64))], ["anchor"])
@@ -119,11 +145,10 @@ def _suspects(source: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
             ids, texts = batch.columns
 
             def each(texts: pa.Array = texts) -> Iterator[tuple]:
-                for k, text in enumerate(texts):
-                    for anchor, *more in stretches(text.as_py() or b"", window):
-                        keep = np.flatnonzero(bit_filter.may_hold(words, anchor))
-                        if len(keep):
-                            yield np.full(len(keep), k), anchor[keep].view(np.int64), *(x[keep].astype(np.uint64).view(np.int64) for x in more)
+                for k, anchor, content, *more in all_stretches((text.as_py() or b"" for text in texts), window):
+                    keep = np.flatnonzero(bit_filter.may_hold(words, anchor))
+                    if len(keep):
+                        yield k[keep], *(x[keep].view(np.int64) for x in (anchor, content)), *(x[keep] for x in more)
 
             for k, *values in _gathered(each()):
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(k)), *map(pa.array, values)], schema=types)
@@ -175,13 +200,12 @@ def repeats(ids: list, starts: list[int], contents: list[bytes], window: int = W
     text = np.r_[np.frombuffer(raw, np.uint8).astype(np.int64) + 2, 0]
     text[first[1:] - 1] = 1
     order = suffix_array(text, 258)
-    prefix = common_prefixes(text, order, window)
     owner = np.repeat(np.arange(len(contents)), sizes + 1)
     offset = np.arange(len(text)) - first[owner]
     valid = offset + window <= sizes[owner]
     row = order[valid[order]]
     # strings of one group are neighbours among the valid ones, see the common prefix of each with the one before it
-    group = np.cumsum(prefix[row] < window)
+    group = np.cumsum(common_prefixes(text, row, window)[row] < window)
     place = np.array(starts, np.int64)[owner[row]] + offset[row]
     doc = np.array([rank[i] for i in ids], np.int64)[owner[row]]
     by = np.lexsort((place, doc, group))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -129,6 +130,60 @@ def test_suffix_array(part, times):
         assert prefix[b] == next((k for k in range(11) if k == 10 or text[a + k:a + k + 1] != text[b + k:b + k + 1]), 10)
 
 
+def lines_run(call) -> int:
+    """Lines of our own code that a call executes: what is done one by one in Python shows here."""
+    count = 0
+
+    def trace(frame, event, arg):
+        nonlocal count
+        count += event == "line"
+        return trace
+
+    sys.settrace(trace)
+    try:
+        call()
+    finally:
+        sys.settrace(None)
+    return count
+
+
+def test_suffix_array_names_take_no_loop():
+    """The many different names of a long text are sorted in numpy; the result is that of plain sorting."""
+    rng = np.random.default_rng(5)
+    part = rng.integers(1, 258, 2000)
+    text = np.r_[rng.integers(1, 258, 9000), part, rng.integers(1, 258, 3000), part, part[:700], np.full(500, 7), 0]
+    raw = text.astype(">u2").tobytes()
+    order = suffix_array.suffix_array(text, 258)
+    assert order.tolist() == sorted(range(len(text)), key=lambda i: raw[2 * i:])
+    short, long = (np.r_[x, 0] for x in (text[:4000], np.tile(text[:-1], 3)))
+    assert lines_run(lambda: suffix_array.suffix_array(long, 258)) < 2 * lines_run(lambda: suffix_array.suffix_array(short, 258))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 5), max_size=50), st.integers(1, 5))
+def test_suffix_order_of_names(part, times):
+    text = part * times + [0]
+    assert suffix_array._by_names(np.array(text), max(text) + 1).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+def test_suffix_dedup_short_texts_together(monkeypatch):
+    """Short texts are hashed together, with the stretches that each has alone, whatever lies beside it."""
+    rng = random.Random(6)
+    words = [rng.randbytes(rng.randrange(1, 9)) for _ in range(30)]
+    texts = [b" ".join(rng.choices(words, k=rng.randrange(60))) for _ in range(400)] + [b"", b"a" * 99, b"a" * 100, b"a" * 350, b"ab" * 200]
+    rng.shuffle(texts)
+    alone = [(k, *row) for k, text in enumerate(texts) for found in suffix_dedup.stretches(text) for row in zip(*(x.tolist() for x in found))]
+    assert {k for k, *_ in alone} == {k for k, text in enumerate(texts) if len(text) >= 100}
+    calls, sums = [], suffix_dedup.sums
+    monkeypatch.setattr(suffix_dedup, "sums", lambda text: calls.append(len(text)) or sums(text))
+    for joined in (1, 1000, 1 << 17):
+        calls.clear()
+        monkeypatch.setattr(suffix_dedup, "JOINED", joined)
+        together = [row for found in suffix_dedup.all_stretches(texts) for row in zip(*(x.tolist() for x in found))]
+        assert together == alone
+    assert len(calls) == 1
+
+
 def removal_by_hand(rows: list[tuple], window: int) -> dict:
     seen, out = set(), {}
     for i, text in sorted(rows):
